@@ -71,6 +71,11 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {**ORACLE_CPE}
 
+from vulnxml.plans.queries_text import ORACLE_TEXT, QUERIES_TEXT  # noqa: E402
+
+QUERIES.update(QUERIES_TEXT)
+ORACLE.update(ORACLE_TEXT)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
