@@ -237,18 +237,16 @@ def _q_pmi(spark, sf):
 Q["G5_pmi_edges"] = _q_pmi
 S["G5_pmi_edges"] = with_fx([], (
     "select word_a, count(*) as n_edges, round(max(pmi), 6) as max_pmi, round(min(pmi), 6) as min_pmi from ("
-    "select p.word_a, p.word_b, ln((p.cnt / n.nw) / (fa.f * fb.f / (n.nw * n.nw))) as pmi from pairs p "
-    "join wf fa on fa.word = p.word_a join wf fb on fb.word = p.word_b, nwin n) e where pmi > 0 "
-    "group by word_a union all "
-    "select word_b, count(*), round(max(pmi), 6), round(min(pmi), 6) from ("
-    "select p.word_a, p.word_b, ln((p.cnt / n.nw) / (fa.f * fb.f / (n.nw * n.nw))) as pmi from pairs p "
-    "join wf fa on fa.word = p.word_a join wf fb on fb.word = p.word_b, nwin n) e where pmi > 0 group by word_b"),
+    "select word_a, word_b, pmi from pmi1 where pmi > 0 union all select word_b, word_a, pmi from pmi1 where pmi > 0) e "
+    "group by word_a"),
     [WORDS_CTE, TOK_CTE, PAIRS_SQL,
      ("nwin", "select cast(sum(greatest(len(words) - 20, 0) + 1) as double) as nw from dw"),
      ("wf", "select word, cast(sum(greatest(hi - lo + 1, 0)) as double) as f from (select word, hi, case when prev_hi "
             "is null then lo0 else greatest(lo0, prev_hi + 1) end as lo from (select word, least(pos, greatest(n - 20, "
             "0)) as hi, greatest(0, pos - 19) as lo0, lag(least(pos, greatest(n - 20, 0))) over (partition by doc_id, "
-            "word order by pos) as prev_hi from gt) a) b group by word")])
+            "word order by pos) as prev_hi from gt) a) b group by word"),
+     ("pmi1", "select p.word_a, p.word_b, ln((p.cnt / n.nw) / (fa.f * fb.f / (n.nw * n.nw))) as pmi "
+              "from pairs p join wf fa on fa.word = p.word_a join wf fb on fb.word = p.word_b, nwin n")])
 
 Q["G6_tfidf_edges"] = lambda spark, sf: G.tfidf_edges(_dw(spark, sf)).select(
     "doc_id", "word", F.round("weight", R6).alias("weight"))
