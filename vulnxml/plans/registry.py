@@ -76,6 +76,11 @@ from vulnxml.plans.queries_text import ORACLE_TEXT, QUERIES_TEXT  # noqa: E402
 QUERIES.update(QUERIES_TEXT)
 ORACLE.update(ORACLE_TEXT)
 
+from vulnxml.plans.queries_rank import ORACLE_RANK, QUERIES_RANK  # noqa: E402
+
+QUERIES.update(QUERIES_RANK)
+ORACLE.update(ORACLE_RANK)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
