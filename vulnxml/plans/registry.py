@@ -81,6 +81,11 @@ from vulnxml.plans.queries_rank import ORACLE_RANK, QUERIES_RANK  # noqa: E402
 QUERIES.update(QUERIES_RANK)
 ORACLE.update(ORACLE_RANK)
 
+from vulnxml.plans.queries_vocab import ORACLE_VOCAB, QUERIES_VOCAB  # noqa: E402
+
+QUERIES.update(QUERIES_VOCAB)
+ORACLE.update(ORACLE_VOCAB)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
