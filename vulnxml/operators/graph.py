@@ -51,34 +51,66 @@ def word_window_freq(dw: DataFrame, w: int = WINDOW) -> DataFrame:
     return cover.groupBy("word").agg(F.sum("_c").cast("bigint").alias("window_freq"))
 
 
+def encode_words(dw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Dictionary-encode the corpus once: (vocab(word, wid), docs(doc_id,
+    n_tokens, wids array<long>)). Pair counting then shuffles integer keys
+    instead of two strings per row."""
+    toks = dw.select("doc_id", F.posexplode("words").alias("pos", "word"))
+    vocab = with_sequential_id(toks.select("word").distinct(), ["word"], "wid")
+    ids = (toks.join(vocab, "word")
+           .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("_s"))
+           .select("doc_id", F.col("_s.wid").alias("wids")))
+    enc = dw.select("doc_id", "n_tokens").join(ids, "doc_id", "left")
+    return vocab, enc
+
+
+def _pair_ids(enc: DataFrame, w: int) -> DataFrame:
+    """Canonical id pairs (a < b) with their window counts, one packed long key."""
+    # One row per (doc, offset d): the ids zipped with themselves shifted by d
+    # give every pair at distance d. Work is O(L * w) per doc, built-in
+    # expressions only, and no row ever holds more than one doc.
+    shifted = enc.filter(F.col("n_tokens") > 1).select(
+        "n_tokens", "wids", F.explode(F.sequence(F.lit(1), F.lit(w - 1))).alias("d"))
+    zipped = F.arrays_zip(F.col("wids").alias("a"), F.slice("wids", F.col("d") + 1, F.col("n_tokens")).alias("b"))
+    pairs = (shifted.select("n_tokens", "d", F.posexplode(zipped).alias("i", "z"))
+             .select("n_tokens", "d", "i", F.col("z.a").alias("wi"), F.col("z.b").alias("wj"))
+             .filter(F.col("wj").isNotNull() & (F.col("wi") != F.col("wj"))))
+    m = F.greatest(F.col("n_tokens") - w, F.lit(0))
+    j = F.col("i") + F.col("d")
+    weight = F.least(F.col("i"), m) - F.greatest(F.lit(0), j - w + 1) + 1
+    key = F.least("wi", "wj") * F.lit(1 << 32) + F.greatest("wi", "wj")
+    agg = pairs.select(key.alias("k"), weight.alias("c")).groupBy("k").agg(F.sum("c").cast("bigint").alias("cnt"))
+    return agg.select(F.shiftright("k", 32).alias("a"), (F.col("k") % F.lit(1 << 32)).alias("b"), "cnt")
+
+
 def pair_window_count(dw: DataFrame, w: int = WINDOW, mirrored: bool = True) -> DataFrame:
     """(word_a, word_b, cnt) = over all windows, the positional pairs of
     different words, counted in both orders (repeats count)."""
-    first = dw.select("doc_id", "n_tokens", "words", F.posexplode("words").alias("i", "wi"))
-    pairs = first.select(
-        "n_tokens", "i", "wi",
-        F.posexplode(F.slice("words", F.col("i") + 2, w - 1)).alias("d", "wj"))
-    m = F.greatest(F.col("n_tokens") - w, F.lit(0))
-    j = F.col("i") + 1 + F.col("d")
-    weight = F.least(F.col("i"), m) - F.greatest(F.lit(0), j - w + 1) + 1
-    canon = (pairs.filter(F.col("wi") != F.col("wj"))
-             .select(F.least("wi", "wj").alias("word_a"), F.greatest("wi", "wj").alias("word_b"), weight.alias("c"))
-             .groupBy("word_a", "word_b").agg(F.sum("c").cast("bigint").alias("cnt")))
+    vocab, enc = encode_words(dw)
+    canon = _decode(_pair_ids(enc, w), vocab)
     if not mirrored:
         return canon
     return canon.unionByName(canon.select(F.col("word_b").alias("word_a"), F.col("word_a").alias("word_b"), "cnt"))
 
 
+def _decode(pairs: DataFrame, vocab: DataFrame, value_col: str = "cnt") -> DataFrame:
+    va = vocab.select(F.col("wid").alias("a"), F.col("word").alias("word_a"))
+    vb = vocab.select(F.col("wid").alias("b"), F.col("word").alias("word_b"))
+    return pairs.join(va, "a").join(vb, "b").select("word_a", "word_b", value_col)
+
+
 def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
     """(word_a, word_b, pmi) with pmi = ln((c/n) / (fa*fb/n^2)) > 0, both
-    orders. Computed on the canonical pairs, mirrored at the end."""
+    orders. Computed on canonical integer pairs, decoded and mirrored at the end."""
     n = total_windows(dw, w).first()["n_windows"]
-    freq = word_window_freq(dw, w)
-    canon = pair_window_count(dw, w, mirrored=False)
-    fa = freq.select(F.col("word").alias("word_a"), F.col("window_freq").alias("fa"))
-    fb = freq.select(F.col("word").alias("word_b"), F.col("window_freq").alias("fb"))
+    vocab, enc = encode_words(dw)
+    freq = word_window_freq(dw, w).join(vocab, "word").select("wid", "window_freq")
+    canon = _pair_ids(enc, w)
+    fa = freq.select(F.col("wid").alias("a"), F.col("window_freq").alias("fa"))
+    fb = freq.select(F.col("wid").alias("b"), F.col("window_freq").alias("fb"))
     pmi = F.log((F.col("cnt") / F.lit(float(n))) / (F.col("fa") * F.col("fb") / F.lit(float(n) * float(n))))
-    edges = canon.join(fa, "word_a").join(fb, "word_b").select("word_a", "word_b", pmi.alias("pmi")).filter("pmi > 0")
+    edges = canon.join(fa, "a").join(fb, "b").select("a", "b", pmi.alias("pmi")).filter("pmi > 0")
+    edges = _decode(edges, vocab, "pmi")
     return edges.unionByName(edges.select(F.col("word_b").alias("word_a"), F.col("word_a").alias("word_b"), "pmi"))
 
 
