@@ -86,6 +86,11 @@ from vulnxml.plans.queries_vocab import ORACLE_VOCAB, QUERIES_VOCAB  # noqa: E40
 QUERIES.update(QUERIES_VOCAB)
 ORACLE.update(ORACLE_VOCAB)
 
+from vulnxml.plans.queries_io import ORACLE_IO, QUERIES_IO  # noqa: E402
+
+QUERIES.update(QUERIES_IO)
+ORACLE.update(ORACLE_IO)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
