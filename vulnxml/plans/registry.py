@@ -91,6 +91,11 @@ from vulnxml.plans.queries_io import ORACLE_IO, QUERIES_IO  # noqa: E402
 QUERIES.update(QUERIES_IO)
 ORACLE.update(ORACLE_IO)
 
+from vulnxml.plans.queries_stream import ORACLE_STREAM, QUERIES_STREAM  # noqa: E402
+
+QUERIES.update(QUERIES_STREAM)
+ORACLE.update(ORACLE_STREAM)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
