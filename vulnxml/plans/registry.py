@@ -96,6 +96,11 @@ from vulnxml.plans.queries_stream import ORACLE_STREAM, QUERIES_STREAM  # noqa:
 QUERIES.update(QUERIES_STREAM)
 ORACLE.update(ORACLE_STREAM)
 
+from vulnxml.plans.queries_pages import ORACLE_PAGES, QUERIES_PAGES  # noqa: E402
+
+QUERIES.update(QUERIES_PAGES)
+ORACLE.update(ORACLE_PAGES)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
