@@ -130,3 +130,43 @@ def test_stratified_split_counts(spark):
     assert len(rows) == 103 and sum(r["split"] == "test" for r in rows) == 103 // 4
     again = {tuple(r) for r in stratified_split(docs.repartition(7), labels, 1, 4, 7).collect()}
     assert again == {tuple(r) for r in rows}
+
+
+def test_page_extraction_rules():
+    from vulnxml.operators.pages import extract
+    html = ("<html><head><title>T &amp; U</title><script>var t='</p>';</script></head><body><h1>Head</h1>"
+            "<p>first<p>second</p><article><p>a1</p><p>a2 <b>bold</b></p></article>"
+            "<div class=\"col-12 col-md-10\"><p>x</p><p>y</p><p>third</p></div></body></html>")
+    assert extract("title", html) == "T & U"
+    assert extract("h1", html) == "Head"
+    assert extract("first_p", html) == "first"
+    assert extract("article_p2", html) == "a2 bold"
+    assert extract("gentoo_security", html) == "third"
+    assert extract("launchpad", html) == ""
+
+
+def test_route_urls(spark):
+    from vulnxml.operators.pages import route_urls
+    df = spark.createDataFrame([("https://bugzilla.redhat.com/show_bug.cgi?id=1",), ("https://access.redhat.com/x",),
+                                ("https://lists.fedoraproject.org/archives/list/x",), ("https://example.org/",)],
+                               "url string")
+    assert [r["rule"] for r in route_urls(df).collect()] == ["bugzilla_redhat", "access_redhat", "fedora_archives", ""]
+
+
+def test_stream_equals_batch(spark):
+    from vulnxml.plans.queries_stream import _q_batch, _q_stream
+    sf = "/root/testdata/sf0.001"
+    assert {tuple(r) for r in _q_stream(spark, sf).collect()} == {tuple(r) for r in _q_batch(spark, sf).collect()}
+
+
+def test_label_groups_cover_and_bound(spark):
+    from vulnxml.operators.cluster import split_label_groups
+    rows = [(f"L{i}", t, float((i * 7 + t * 3) % 5 + 1)) for i in range(11) for t in range(6) if (i + t) % 3]
+    feats = spark.createDataFrame(rows, "label string, term_id long, weight double")
+    groups = split_label_groups(feats, max_leaf=3, max_iter=3, seed=1).collect()
+    labels = [r["label"] for r in groups]
+    assert sorted(labels) == sorted({r[0] for r in rows})  # every label exactly once
+    sizes = {}
+    for r in groups:
+        sizes[r["group_id"]] = sizes.get(r["group_id"], 0) + 1
+    assert max(sizes.values()) <= 3 and sorted(sizes) == list(range(len(sizes)))

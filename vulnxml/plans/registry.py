@@ -101,6 +101,11 @@ from vulnxml.plans.queries_pages import ORACLE_PAGES, QUERIES_PAGES  # noqa: E40
 QUERIES.update(QUERIES_PAGES)
 ORACLE.update(ORACLE_PAGES)
 
+from vulnxml.plans.queries_cluster import ORACLE_CLUSTER, QUERIES_CLUSTER  # noqa: E402
+
+QUERIES.update(QUERIES_CLUSTER)
+ORACLE.update(ORACLE_CLUSTER)
+
 
 def register(name: str, fn: Query, sql: str | None = None) -> None:
     QUERIES[name] = fn
