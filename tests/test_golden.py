@@ -170,3 +170,10 @@ def test_label_groups_cover_and_bound(spark):
     for r in groups:
         sizes[r["group_id"]] = sizes.get(r["group_id"], 0) + 1
     assert max(sizes.values()) <= 3 and sorted(sizes) == list(range(len(sizes)))
+
+
+def test_entry_smoke(spark):
+    import __spark_entry__ as E
+    rows = E.entry(spark).collect()
+    assert len(rows) == 1 and rows[0]["n_true"] > 0
+    assert set(E.oracle_sql()) <= set(E.queries())

@@ -207,3 +207,49 @@ Q["I16_read_pages"] = _q_pages
 S["I16_read_pages"] = "select page_id, url, cast(length(html) as bigint) as n_chars from pages"
 
 QUERIES_IO, ORACLE_IO = Q, S
+
+
+def _q_wide_csv(spark, sf):
+    rl = fx_doclabels(spark, sf).select(F.col("doc_id").cast("string").alias("report_id"), "label")
+    names = [r["label"] for r in fx_labelmap(spark, sf).orderBy("label_id").collect()]  # label-sized header
+    reports = docs(spark, sf).select(F.col("doc_id").cast("string").alias("report_id"),
+                                     F.col("source").alias("description"))
+    path = IO.scratch_dir(spark, "widecsv")
+    IO.write_reports_wide(reports, rl, names, path)
+    rep, back, header = IO.read_reports_wide(spark, path, "report_id", ["description"], ["report_id", "description"])
+    return back.select(F.col("report_id").cast("bigint").alias("doc_id"), "label")
+
+
+QUERIES_IO["I1_reports_wide_roundtrip"] = _q_wide_csv
+ORACLE_IO["I1_reports_wide_roundtrip"] = with_fx(["fx_doclabels"], "select doc_id, label from fx_doclabels")
+
+
+def _q_records(spark, sf):
+    ids = fx_truth(spark, sf).groupBy("doc_id").agg(F.array_sort(F.collect_list("label_id")).alias("label_ids"))
+    corpus = docs(spark, sf).select("doc_id", "text").join(ids, "doc_id")
+    path = IO.scratch_dir(spark, "records")
+    IO.write_text_category_records(corpus, path)
+    back = spark.read.parquet(path)
+    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
+                       F.array_join("catgy", ",").alias("catgy"))
+
+
+QUERIES_IO["I11_text_category_records"] = _q_records
+ORACLE_IO["I11_text_category_records"] = with_fx(["fx_truth"], (
+    "select d.doc_id, cast(length(d.text) as bigint) as n_chars, t.catgy from documents d join (select doc_id, "
+    "array_to_string(list_sort(list(label_id)), ',') as catgy from fx_truth group by doc_id) t using (doc_id)"))
+
+
+def _q_graph_files(spark, sf):
+    from vulnxml.operators import graph as G
+    from vulnxml.operators.split import shuffle_docs
+    sh = shuffle_docs(doc_split(spark, sf), 42)
+    dw = G.doc_words(docs(spark, sf)).join(sh, "doc_id")
+    nodes, edges = G.assemble_graph(dw)
+    out = IO.scratch_dir(spark, "graph")
+    IO.write_graph(nodes, edges, out)
+    back = spark.read.parquet(os.path.join(out, "edges"))
+    return back.groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"))
+
+
+QUERIES_IO["I15_write_graph"] = _q_graph_files
