@@ -99,9 +99,8 @@ def _decode(pairs: DataFrame, vocab: DataFrame, value_col: str = "cnt") -> DataF
     return pairs.join(va, "a").join(vb, "b").select("word_a", "word_b", value_col)
 
 
-def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
-    """(word_a, word_b, pmi) with pmi = ln((c/n) / (fa*fb/n^2)) > 0, both
-    orders. Computed on canonical integer pairs, decoded and mirrored at the end."""
+def pmi_edges_ids(dw: DataFrame, w: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """G5 in id space: (vocab(word, wid), edges(a, b, pmi) in both orders)."""
     n = total_windows(dw, w).first()["n_windows"]
     vocab, enc = encode_words(dw)
     freq = word_window_freq(dw, w).join(vocab, "word").select("wid", "window_freq")
@@ -110,8 +109,15 @@ def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
     fb = freq.select(F.col("wid").alias("b"), F.col("window_freq").alias("fb"))
     pmi = F.log((F.col("cnt") / F.lit(float(n))) / (F.col("fa") * F.col("fb") / F.lit(float(n) * float(n))))
     edges = canon.join(fa, "a").join(fb, "b").select("a", "b", pmi.alias("pmi")).filter("pmi > 0")
-    edges = _decode(edges, vocab, "pmi")
-    return edges.unionByName(edges.select(F.col("word_b").alias("word_a"), F.col("word_a").alias("word_b"), "pmi"))
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pmi"))
+    return vocab, both
+
+
+def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
+    """(word_a, word_b, pmi) with pmi = ln((c/n) / (fa*fb/n^2)) > 0, both
+    orders. Computed on canonical integer pairs, decoded at the end."""
+    vocab, edges = pmi_edges_ids(dw, w)
+    return _decode(edges, vocab, "pmi")
 
 
 def tfidf_edges(dw: DataFrame) -> DataFrame:
@@ -129,27 +135,23 @@ def assemble_graph(dw_split: DataFrame, w: int = WINDOW) -> tuple[DataFrame, Dat
     then test docs; one edge table (src, dst, weight, kind).
 
     dw_split: doc_words output plus ``split`` and ``doc_index`` (D3)."""
-    spark = dw_split.sparkSession
     n_train = dw_split.filter("split = 'train'").count()
-    vocab = dw_split.select(F.explode("words").alias("word")).distinct()
-    vocab = with_sequential_id(vocab, ["word"], "word_index")
+    # The pair encoder's word ids already follow code point order from 0.
+    vocab, pmi_ids = pmi_edges_ids(dw_split, w)
     n_vocab = vocab.count()
     doc_nodes = dw_split.select(
         "doc_id", F.when(F.col("split") == "train", F.col("doc_index"))
         .otherwise(F.col("doc_index") + n_train + n_vocab).alias("node_id"),
         F.when(F.col("split") == "train", "train_doc").otherwise("test_doc").alias("kind"),
         F.col("doc_id").cast("string").alias("name"))
-    word_nodes = vocab.select(F.lit(None).cast("long").alias("doc_id"), (F.col("word_index") + n_train).alias("node_id"),
+    word_nodes = vocab.select(F.lit(None).cast("long").alias("doc_id"), (F.col("wid") + n_train).alias("node_id"),
                               F.lit("word").alias("kind"), F.col("word").alias("name"))
     nodes = doc_nodes.unionByName(word_nodes)
-    wid = word_nodes.select(F.col("name").alias("word"), "node_id")
-    pmi = (pmi_edges(dw_split, w)
-           .join(wid.withColumnRenamed("word", "word_a").withColumnRenamed("node_id", "src"), "word_a")
-           .join(wid.withColumnRenamed("word", "word_b").withColumnRenamed("node_id", "dst"), "word_b")
-           .select("src", "dst", F.col("pmi").alias("weight"), F.lit("pmi").alias("kind")))
+    pmi = pmi_ids.select((F.col("a") + n_train).alias("src"), (F.col("b") + n_train).alias("dst"),
+                         F.col("pmi").alias("weight"), F.lit("pmi").alias("kind"))
+    wid = vocab.select("word", (F.col("wid") + n_train).alias("dst"))
     tfidf = (tfidf_edges(dw_split)
              .join(doc_nodes.select("doc_id", F.col("node_id").alias("src")), "doc_id")
-             .join(wid.withColumnRenamed("node_id", "dst"), "word")
+             .join(wid, "word")
              .select("src", "dst", "weight", F.lit("tfidf").alias("kind")))
-    del spark
     return nodes, pmi.unionByName(tfidf)
