@@ -118,7 +118,7 @@ def feature_text(description, urls, cpes, page_text=None) -> Column:
 
 def words(col) -> Column:
     """Whitespace tokens, empty strings removed."""
-    return F.filter(F.split(text_or_empty(col), r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(text_or_empty(col), r"\s+"), "")
 
 
 def truncate_words(col, n: int) -> Column:

@@ -7,9 +7,13 @@ starts 0..M. Closed forms (exact, equal to enumerating the windows):
   the union of [max(0, p - w + 1), min(p, M)];
 * positions a < b (b - a < w) share min(a, M) - max(0, b - w + 1) + 1 windows.
 
-Pairs are generated per token from the next w - 1 tokens of the same row
-(at most w - 1 rows per token), summed under a canonical (least, greatest)
-key with map-side partial aggregation, and mirrored at the end.
+The corpus is tokenised and encoded once (word id = xxhash64 of the word,
+computed in-row; a collision check on the vocabulary falls back to exact
+sequential ids) and that table is checkpointed; window counts, pairs, PMI and
+TF-IDF edges are all derived from it with integer keys. Pairs come from the
+id array zipped with itself shifted by d = 1..w-1 (O(L * w) rows per doc,
+built-in expressions only), summed with map-side partial aggregation, and
+decoded to words only at the end.
 """
 
 from __future__ import annotations
@@ -17,15 +21,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnxml.functions.text import basic_cleaning, words
+from vulnxml.functions.text import basic_cleaning, text_or_empty, words
 from vulnxml.operators.ids import with_sequential_id
+from vulnxml.session import cut_lineage
 
 WINDOW = 20
+# Characters that are not word characters or whitespace are deleted (as P1).
+NON_WORD = r"[^\p{L}\p{N}_\s]"
 
 
 def doc_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", clean: bool = True) -> DataFrame:
     """(doc_id, words array, n_tokens) - computed in-row, nothing collected."""
-    text = basic_cleaning(text_col) if clean else F.col(text_col)
+    text = F.regexp_replace(F.lower(text_or_empty(text_col)), NON_WORD, "") if clean else F.col(text_col)
     return (docs.select(F.col(id_col).alias("doc_id"), words(text).alias("words"))
             .withColumn("n_tokens", F.size("words")))
 
@@ -52,20 +59,59 @@ def word_window_freq(dw: DataFrame, w: int = WINDOW) -> DataFrame:
 
 
 def encode_words(dw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Dictionary-encode the corpus once: (vocab(word, wid), docs(doc_id,
-    n_tokens, wids array<long>)). Pair counting then shuffles integer keys
-    instead of two strings per row."""
+    """Exact dictionary encoding with dense ids in code point order:
+    (vocab(word, wid), docs(doc_id, n_tokens, wids array<long>))."""
     toks = dw.select("doc_id", F.posexplode("words").alias("pos", "word"))
     vocab = with_sequential_id(toks.select("word").distinct(), ["word"], "wid")
     ids = (toks.join(vocab, "word")
-           .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "wid"))).alias("_s"))
+           .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "wid"))).alias("_s"))
            .select("doc_id", F.col("_s.wid").alias("wids")))
     enc = dw.select("doc_id", "n_tokens").join(ids, "doc_id", "left")
     return vocab, enc
 
 
+def encode_docs(dw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Encode once, in-row: wid = xxhash64(word). Two reliable checkpoints come
+    from one pass over the text: the id arrays (hash-partitioned by doc over
+    the shuffle partitions, which evens out very unequal doc lengths) and the
+    vocabulary. If two words of the vocabulary share a hash, the exact
+    sequential encoding is used instead."""
+    spark = dw.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = dw.select("doc_id", "n_tokens", "words",
+                     F.transform("words", lambda x: F.xxhash64(x)).alias("wids")).persist()
+    enc = cut_lineage(base.select("doc_id", "n_tokens", "wids").repartition(parts, "doc_id"))
+    vocab = cut_lineage(base.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("wids").alias("wid"))))
+                        .select("col.word", "col.wid").distinct())
+    base.unpersist()
+    clash = vocab.groupBy("wid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if clash.limit(1).count() > 0:
+        vocab, exact = encode_words(dw)
+        return cut_lineage(vocab), cut_lineage(exact)
+    return vocab, enc
+
+
+def window_freq_ids(enc: DataFrame, w: int = WINDOW) -> DataFrame:
+    """G3 on ids, in-row: each doc's (wid, pos) pairs sorted, each compared with
+    its predecessor to take the union of covered window starts; only the
+    per-word sums are shuffled (after map-side partial aggregation)."""
+    n = F.col("n_tokens")
+    srt = F.sort_array(F.arrays_zip(F.col("wids").alias("w"), F.sequence(F.lit(0), n - 1).alias("p")))
+    per = enc.filter(n > 0).select("n_tokens", srt.alias("s"))
+    prev_w = F.concat(F.array(F.lit(None).cast("long")), F.slice(F.col("s.w"), 1, n - 1))
+    prev_p = F.concat(F.array(F.lit(None).cast("int")), F.slice(F.col("s.p"), 1, n - 1))
+    z = F.arrays_zip(F.col("s.w").alias("w"), F.col("s.p").alias("p"), prev_w.alias("pw"), prev_p.alias("pp"))
+    rows = per.select("n_tokens", F.explode(z).alias("z"))
+    m = F.greatest(n - w, F.lit(0))
+    hi = F.least(F.col("z.p"), m)
+    lo = F.greatest(F.lit(0), F.col("z.p") - w + 1)
+    lo = F.when(F.col("z.pw") == F.col("z.w"), F.greatest(lo, F.least(F.col("z.pp"), m) + 1)).otherwise(lo)
+    return (rows.select(F.col("z.w").alias("wid"), F.greatest(hi - lo + 1, F.lit(0)).alias("c"))
+            .groupBy("wid").agg(F.sum("c").cast("bigint").alias("window_freq")))
+
+
 def _pair_ids(enc: DataFrame, w: int) -> DataFrame:
-    """Canonical id pairs (a < b) with their window counts, one packed long key."""
+    """Canonical id pairs (a < b) with their window counts."""
     # One row per (doc, offset d): the ids zipped with themselves shifted by d
     # give every pair at distance d. Work is O(L * w) per doc, built-in
     # expressions only, and no row ever holds more than one doc.
@@ -78,46 +124,52 @@ def _pair_ids(enc: DataFrame, w: int) -> DataFrame:
     m = F.greatest(F.col("n_tokens") - w, F.lit(0))
     j = F.col("i") + F.col("d")
     weight = F.least(F.col("i"), m) - F.greatest(F.lit(0), j - w + 1) + 1
-    key = F.least("wi", "wj") * F.lit(1 << 32) + F.greatest("wi", "wj")
-    agg = pairs.select(key.alias("k"), weight.alias("c")).groupBy("k").agg(F.sum("c").cast("bigint").alias("cnt"))
-    return agg.select(F.shiftright("k", 32).alias("a"), (F.col("k") % F.lit(1 << 32)).alias("b"), "cnt")
+    return (pairs.select(F.least("wi", "wj").alias("a"), F.greatest("wi", "wj").alias("b"), weight.alias("c"))
+            .groupBy("a", "b").agg(F.sum("c").cast("bigint").alias("cnt")))
+
+
+def _decode(pairs: DataFrame, vocab: DataFrame, value_col: str = "cnt") -> DataFrame:
+    va = vocab.select(F.col("wid").alias("a"), F.col("word").alias("word_a"))
+    vb = vocab.select(F.col("wid").alias("b"), F.col("word").alias("word_b"))
+    return pairs.join(va, "a").join(vb, "b").select("word_a", "word_b", value_col)
 
 
 def pair_window_count(dw: DataFrame, w: int = WINDOW, mirrored: bool = True) -> DataFrame:
     """(word_a, word_b, cnt) = over all windows, the positional pairs of
     different words, counted in both orders (repeats count)."""
-    vocab, enc = encode_words(dw)
+    vocab, enc = encode_docs(dw)
     canon = _decode(_pair_ids(enc, w), vocab)
     if not mirrored:
         return canon
     return canon.unionByName(canon.select(F.col("word_b").alias("word_a"), F.col("word_a").alias("word_b"), "cnt"))
 
 
-def _decode(pairs: DataFrame, vocab: DataFrame, value_col: str = "cnt") -> DataFrame:
-    va = vocab.select(F.col("wid").alias("a"), F.col("word").alias("word_a"))
-    vb = vocab.select(F.col("wid").alias("b"), F.col("word").alias("word_b"))
-    return pairs.join(va, "a").join(vb, "b").select("word_a", "word_b", value_col)
-
-
-def pmi_edges_ids(dw: DataFrame, w: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """G5 in id space: (vocab(word, wid), edges(a, b, pmi) in both orders)."""
-    n = total_windows(dw, w).first()["n_windows"]
-    vocab, enc = encode_words(dw)
-    freq = word_window_freq(dw, w).join(vocab, "word").select("wid", "window_freq")
-    canon = _pair_ids(enc, w)
+def pmi_ids(vocab: DataFrame, enc: DataFrame, w: int = WINDOW) -> DataFrame:
+    """G5 in id space: (a, b, pmi) in both orders, pmi > 0."""
+    n = float(enc.agg(F.sum(F.greatest(F.col("n_tokens") - w, F.lit(0)) + 1)).first()[0] or 0)
+    freq = window_freq_ids(enc, w)
     fa = freq.select(F.col("wid").alias("a"), F.col("window_freq").alias("fa"))
     fb = freq.select(F.col("wid").alias("b"), F.col("window_freq").alias("fb"))
-    pmi = F.log((F.col("cnt") / F.lit(float(n))) / (F.col("fa") * F.col("fb") / F.lit(float(n) * float(n))))
-    edges = canon.join(fa, "a").join(fb, "b").select("a", "b", pmi.alias("pmi")).filter("pmi > 0")
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pmi"))
-    return vocab, both
+    pmi = F.log((F.col("cnt") / F.lit(n)) / (F.col("fa") * F.col("fb") / F.lit(n * n)))
+    edges = _pair_ids(enc, w).join(fa, "a").join(fb, "b").select("a", "b", pmi.alias("pmi")).filter("pmi > 0")
+    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pmi"))
 
 
 def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
     """(word_a, word_b, pmi) with pmi = ln((c/n) / (fa*fb/n^2)) > 0, both
     orders. Computed on canonical integer pairs, decoded at the end."""
-    vocab, edges = pmi_edges_ids(dw, w)
-    return _decode(edges, vocab, "pmi")
+    vocab, enc = encode_docs(dw)
+    return _decode(pmi_ids(vocab, enc, w), vocab, "pmi")
+
+
+def tfidf_ids(enc: DataFrame) -> DataFrame:
+    """G6 in id space: (doc_id, wid, weight = tf * ln(N / df))."""
+    n_docs = enc.count()
+    tf = (enc.select("doc_id", F.explode("wids").alias("wid"))
+          .groupBy("doc_id", "wid").agg(F.count(F.lit(1)).alias("tf")))
+    df_ = tf.groupBy("wid").agg(F.count(F.lit(1)).alias("df"))
+    return tf.join(df_, "wid").select("doc_id", "wid", (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
+                                      .alias("weight"))
 
 
 def tfidf_edges(dw: DataFrame) -> DataFrame:
@@ -135,23 +187,27 @@ def assemble_graph(dw_split: DataFrame, w: int = WINDOW) -> tuple[DataFrame, Dat
     then test docs; one edge table (src, dst, weight, kind).
 
     dw_split: doc_words output plus ``split`` and ``doc_index`` (D3)."""
-    n_train = dw_split.filter("split = 'train'").count()
-    # The pair encoder's word ids already follow code point order from 0.
-    vocab, pmi_ids = pmi_edges_ids(dw_split, w)
+    docs = cut_lineage(dw_split)
+    n_train = docs.filter("split = 'train'").count()
+    vocab, enc = encode_docs(docs.select("doc_id", "n_tokens", "words"))
+    # Word node ids follow code point order: numbered on the (vocabulary-sized) table.
+    wnode = with_sequential_id(vocab, ["word"], "word_index").select(
+        "word", "wid", (F.col("word_index") + n_train).alias("node_id"))
     n_vocab = vocab.count()
-    doc_nodes = dw_split.select(
+    doc_nodes = docs.select(
         "doc_id", F.when(F.col("split") == "train", F.col("doc_index"))
         .otherwise(F.col("doc_index") + n_train + n_vocab).alias("node_id"),
         F.when(F.col("split") == "train", "train_doc").otherwise("test_doc").alias("kind"),
         F.col("doc_id").cast("string").alias("name"))
-    word_nodes = vocab.select(F.lit(None).cast("long").alias("doc_id"), (F.col("wid") + n_train).alias("node_id"),
-                              F.lit("word").alias("kind"), F.col("word").alias("name"))
+    word_nodes = wnode.select(F.lit(None).cast("long").alias("doc_id"), "node_id", F.lit("word").alias("kind"),
+                              F.col("word").alias("name"))
     nodes = doc_nodes.unionByName(word_nodes)
-    pmi = pmi_ids.select((F.col("a") + n_train).alias("src"), (F.col("b") + n_train).alias("dst"),
-                         F.col("pmi").alias("weight"), F.lit("pmi").alias("kind"))
-    wid = vocab.select("word", (F.col("wid") + n_train).alias("dst"))
-    tfidf = (tfidf_edges(dw_split)
+    ida = wnode.select(F.col("wid").alias("a"), F.col("node_id").alias("src"))
+    idb = wnode.select(F.col("wid").alias("b"), F.col("node_id").alias("dst"))
+    pmi = (pmi_ids(vocab, enc, w).join(ida, "a").join(idb, "b")
+           .select("src", "dst", F.col("pmi").alias("weight"), F.lit("pmi").alias("kind")))
+    tfidf = (tfidf_ids(enc)
              .join(doc_nodes.select("doc_id", F.col("node_id").alias("src")), "doc_id")
-             .join(wid, "word")
+             .join(wnode.select("wid", F.col("node_id").alias("dst")), "wid")
              .select("src", "dst", "weight", F.lit("tfidf").alias("kind")))
     return nodes, pmi.unionByName(tfidf)
