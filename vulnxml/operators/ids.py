@@ -49,3 +49,16 @@ def with_sequential_id(df: DataFrame, order_cols: list, id_col: str = "seq_id",
 def small_row_number(df: DataFrame, order_cols: list, id_col: str, start: int = 0) -> DataFrame:
     """Ordered ids for label-sized tables (labels, rules, groups): one window."""
     return df.withColumn(id_col, (F.row_number().over(Window.orderBy(*order_cols)) - 1 + start).cast("bigint"))
+
+
+# Largest row count of a table that may be broadcast after an explicit check.
+BROADCAST_CHECK_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
+               max_rows: int = BROADCAST_CHECK_ROWS) -> DataFrame:
+    """Join with ``small`` broadcast only when a bounded count proves it has at
+    most ``max_rows`` rows (one cheap job); otherwise a normal shuffle join."""
+    if small.limit(max_rows + 1).count() <= max_rows:
+        return big.join(F.broadcast(small), on, how)
+    return big.join(small, on, how)

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Largest key matrix (rows) that is broadcast whole.
 BROADCAST_MAX_ROWS = 200_000
+# Byte budget of a broadcast vector table (rows are checked against it / row size).
+BROADCAST_BYTES = 256 << 20
 # Rows per key block / query chunk in the blocked plan.
 BLOCK_ROWS = 50_000
 
@@ -154,9 +156,16 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, dim: int, id_col: str =
     tokens: (doc_id, pos, word); vectors: (word, vec). Sums run per (doc, dim)
     with map-side partial aggregation; then one re-assembly per doc."""
     n_tok = tokens.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    comps = (tokens.join(vectors.select(word_col, "vec"), word_col)
-             .select(id_col, F.posexplode("vec").alias("d", "x"))
-             .groupBy(id_col, "d").agg(F.sum("x").alias("s")))
+    # Count each (doc, word) once, then weight its vector by the count: the
+    # per-dimension rows are one per distinct (doc, word), not one per token.
+    # Tokens without a vector add nothing: dropped first by a semi join.
+    from vulnxml.operators.ids import join_small
+    vec_tab = vectors.select(word_col, "vec")
+    tf = (join_small(tokens, vectors.select(word_col), word_col, "left_semi")
+          .groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf")))
+    comps = (join_small(tf, vec_tab, word_col, max_rows=BROADCAST_BYTES // (8 * dim + 64))
+             .select(id_col, "_tf", F.posexplode("vec").alias("d", "x"))
+             .groupBy(id_col, "d").agg(F.sum(F.col("x") * F.col("_tf")).alias("s")))
     per_doc = comps.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("d", "s"))).alias("_m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)) / F.col("_n"))
