@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 # Largest key matrix (rows) that is broadcast whole.
 BROADCAST_MAX_ROWS = 200_000
+# Similarities are compared after rounding to this many decimals (ties -> key).
+SIM_DECIMALS = 9
 # Byte budget of a broadcast vector table (rows are checked against it / row size).
 BROADCAST_BYTES = 256 << 20
 # Rows per key block / query chunk in the blocked plan.
@@ -46,7 +48,9 @@ def _best_in_block(q_ids, q_vecs, keys, kmat):
     """Per query: best cosine key in one block (ties -> smallest key)."""
     qn = np.linalg.norm(q_vecs, axis=1, keepdims=True)
     q = q_vecs / np.where(qn > 0, qn, 1.0)
-    sims = q @ kmat.T
+    # Rounded so that mathematically equal similarities (common with count
+    # vectors) tie exactly and fall to the key order, whatever the float path.
+    sims = np.round(q @ kmat.T, SIM_DECIMALS)
     best_sim = sims.max(axis=1)
     # smallest key among the maxima: keys are pre-sorted ascending.
     idx = np.argmax(sims >= best_sim[:, None], axis=1)
@@ -173,11 +177,17 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, dim: int, id_col: str =
             .select(id_col, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(vec).alias("vec")))
 
 
+def token_bucket(tok, dim: int):
+    """Bucket of a token: md5 prefix as an integer, modulo dim (the same value
+    in any engine that has md5)."""
+    return F.pmod(F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
+
+
 def hashed_text_vectors(df: DataFrame, text_col: str, dim: int = 64, id_col: str = "key") -> DataFrame:
-    """Bag-of-words vector of a short text: each whitespace token adds 1 at
-    bucket pmod(xxhash64(token), dim). Stands in for a sentence encoder."""
-    toks = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), lambda w: w != "")
-    buckets = F.transform(toks, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
+    """Bag-of-words vector of a short text (a library key): each whitespace
+    token adds 1 at its md5 bucket. Stands in for a sentence encoder."""
+    toks = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")
+    buckets = F.transform(toks, lambda t: token_bucket(t, dim))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
     return df.select(F.col(id_col), vec.alias("vec"))

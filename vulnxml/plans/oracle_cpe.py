@@ -36,6 +36,23 @@ CPE_CTES = [
                  "count(*) over (partition by key) as k from matcher) x where cnt * k >= tot"),
     ("pred_exact", "select t.report_id, s.label, t.key as matched_key from test t join selected s using (key)"),
     ("truth", "select distinct c.report_id, c.label from clabels c join test t using (report_id)"),
+    # Nearest training key for test keys without an exact hit: cosine over
+    # md5-bucket token counts (64 buckets), rounded to 9 places, ties -> key.
+    ("tkeys", "select distinct key from train"),
+    ("mkeys", "select distinct key from test where key not in (select key from selected)"),
+    ("kv", "select key, bucket, count(*) as c from (select key, cast(('0x' || substr(md5(t), 1, 8)) as bigint) % 64 "
+           "as bucket from (select key, unnest(list_filter(string_split_regex(key, '\\s+'), lambda w: w <> '')) as t "
+           "from (select key from tkeys union select key from mkeys) a) b) c group by key, bucket"),
+    ("norms", "select key, sqrt(sum(c * c)) as nrm from kv group by key"),
+    ("dots", "select q.key as query, k.key as tkey, sum(q.c * k.c) as dot from kv q join kv k on q.bucket = k.bucket "
+             "where q.key in (select key from mkeys) and k.key in (select key from tkeys) group by 1, 2"),
+    ("sims", "select m.key as query, t.key as tkey, round(coalesce(d.dot / nullif(nq.nrm * nt.nrm, 0), 0), 9) as sim "
+             "from mkeys m cross join tkeys t left join dots d on d.query = m.key and d.tkey = t.key "
+             "left join norms nq on nq.key = m.key left join norms nt on nt.key = t.key"),
+    ("nearest", "select query, tkey from (select *, row_number() over (partition by query order by sim desc, tkey) "
+                "as rn from sims) x where rn = 1"),
+    ("pred_nearest", "select t.report_id, s.label, n.tkey as matched_key from test t join nearest n on n.query = t.key "
+                     "join selected s on s.key = n.tkey"),
 ]
 
 
@@ -52,6 +69,8 @@ ORACLE_CPE = {
     "A2_build_matcher": cpe_sql("select key, label, cast(cnt as bigint) as cnt from matcher"),
     "A3_select_labels": cpe_sql("select key, label, cast(cnt as bigint) as cnt from selected"),
     "J3_match_exact": cpe_sql("select report_id, label, matched_key from pred_exact"),
+    "J3_match_or_nearest": cpe_sql("select report_id, label, matched_key from pred_exact union all "
+                                   "select report_id, label, matched_key from pred_nearest"),
     "M6_set_precision_recall": cpe_sql(
         "select cast(count(*) filter (where p.report_id is not null and t.report_id is not null) as bigint) "
         "as n_correct, cast(count(p.report_id) as bigint) as n_pred, cast(count(t.report_id) as bigint) as n_true, "

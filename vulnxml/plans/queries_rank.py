@@ -233,7 +233,7 @@ Q["R9_nearest_key"] = _q_r9
 S["R9_nearest_key"] = with_fx([], (
     "select query, key as nearest, round(sim, 6) as sim from (select cast(e.vec_id as varchar) as query, k.key, "
     "list_cosine_similarity(cast(e.embedding as double[]), k.vec) as sim, row_number() over (partition by e.vec_id "
-    "order by list_cosine_similarity(cast(e.embedding as double[]), k.vec) desc, k.key) as rn from embeddings e "
+    "order by round(list_cosine_similarity(cast(e.embedding as double[]), k.vec), 9) desc, k.key) as rn from embeddings e "
     "cross join keys k where cast(e.vec_id as varchar) not in (select key from keys)) x where rn = 1"), [KEYS])
 
 
