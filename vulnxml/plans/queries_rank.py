@@ -320,26 +320,34 @@ def _sint(*parts):
 
 
 Q["R11_sample_candidates"] = _q_r11
-S["R11_sample_candidates"] = with_fx(["fx_labels", "fx_groups"], (
-    "select doc_id, label, is_true from chosen union all select doc_id, label, false from fill"),
-    [("truth", "select distinct doc_id, label from fx_labels"),
-     ("tg", "select distinct t.doc_id, g.group_id from truth t join fx_groups g using (label)"),
-     ("pool", "select distinct tg.doc_id, g.label from tg join fx_groups g using (group_id)"),
-     ("pool2", "select p.doc_id, p.label, t.doc_id is not null as is_true from pool p left join truth t "
-               "on t.doc_id = p.doc_id and t.label = p.label"),
-     ("chosen", "select doc_id, label, is_true from (select *, row_number() over (partition by doc_id order by "
-                f"is_true desc, {_sint('doc_id', 'label')}, label) as r from pool2) x where r <= 8"),
-     ("nlab", "select count(*) as n from (select distinct label from fx_groups) x"),
-     ("perm", "select label, row_number() over (order by " + _sint('label') + ", label) - 1 as p "
-              "from (select distinct label from fx_groups) x"),
-     ("have", "select d.doc_id, coalesce(c.h, 0) as h from (select distinct doc_id from truth) d left join "
-              "(select doc_id, count(*) as h from chosen group by doc_id) c using (doc_id)"),
-     ("slots", "select h.doc_id, h.h, j.j, (" + _sint('h.doc_id') + " + j.j) % (select n from nlab) as p from have h, "
-               "(select unnest(generate_series(0, least(8, (select n from nlab)) - 1)) as j) j "
-               "where h.h < least(8, (select n from nlab))"),
-     ("fill", "select doc_id, label from (select s.doc_id, pm.label, s.h, row_number() over (partition by s.doc_id "
-              "order by s.j) as k from slots s join perm pm using (p) where not exists (select 1 from chosen c where "
-              "c.doc_id = s.doc_id and c.label = pm.label)) x where k <= least(8, (select n from nlab)) - h")])
+def _r11_ctes(keep_positives: bool):
+    order = "is_true desc, " if keep_positives else ""
+    return [
+        ("truth", "select distinct doc_id, label from fx_labels"),
+        ("tg", "select distinct t.doc_id, g.group_id from truth t join fx_groups g using (label)"),
+        ("pool", "select distinct tg.doc_id, g.label from tg join fx_groups g using (group_id)"),
+        ("pool2", "select p.doc_id, p.label, t.doc_id is not null as is_true from pool p left join truth t "
+                  "on t.doc_id = p.doc_id and t.label = p.label"),
+        ("chosen", "select doc_id, label, " + ("is_true" if keep_positives else "false as is_true") + " from (select *, "
+                   f"row_number() over (partition by doc_id order by {order}{_sint('doc_id', 'label')}, label) as r "
+                   "from pool2) x where r <= 8"),
+        ("nlab", "select count(*) as n from (select distinct label from fx_groups) x"),
+        ("perm", "select label, row_number() over (order by " + _sint('label') + ", label) - 1 as p "
+                 "from (select distinct label from fx_groups) x"),
+        ("have", "select d.doc_id, coalesce(c.h, 0) as h from (select distinct doc_id from truth) d left join "
+                 "(select doc_id, count(*) as h from chosen group by doc_id) c using (doc_id)"),
+        ("slots", "select h.doc_id, h.h, j.j, (" + _sint('h.doc_id') + " + j.j) % (select n from nlab) as p from have h, "
+                  "(select unnest(generate_series(0, least(8, (select n from nlab)) - 1)) as j) j "
+                  "where h.h < least(8, (select n from nlab))"),
+        ("fill", "select doc_id, label from (select s.doc_id, pm.label, s.h, row_number() over (partition by s.doc_id "
+                 "order by s.j) as k from slots s join perm pm using (p) where not exists (select 1 from chosen c where "
+                 "c.doc_id = s.doc_id and c.label = pm.label)) x where k <= least(8, (select n from nlab)) - h"),
+        ("cands", "select doc_id, label, is_true from chosen union all select doc_id, label, false from fill"),
+    ]
+
+
+S["R11_sample_candidates"] = with_fx(["fx_labels", "fx_groups"], "select doc_id, label, is_true from cands",
+                                     _r11_ctes(True))
 
 
 def _q_r13(spark, sf):
@@ -353,5 +361,20 @@ def _q_r13(spark, sf):
 
 
 Q["R13_best_candidates_targets"] = _q_r13
+S["R13_best_candidates_targets"] = with_fx(["fx_labels", "fx_groups"], (
+    "select f.doc_id, f.slot, coalesce(r.new_label, f.label) as label, cast(case when r.new_label is not null then 1 "
+    "else f.target end as int) as target from flagged f left join repl r on r.doc_id = f.doc_id and r.slot = f.slot"),
+    _r11_ctes(False) + [
+        ("slotted", "select doc_id, cast(row_number() over (partition by doc_id order by label) as bigint) as slot, label "
+                    "from cands"),
+        ("flagged", "select s.doc_id, s.slot, s.label, case when t.doc_id is null then 0 else 1 end as target "
+                    "from slotted s left join truth t on t.doc_id = s.doc_id and t.label = s.label"),
+        ("missing", "select doc_id, label, row_number() over (partition by doc_id order by label) as k from truth t "
+                    "where not exists (select 1 from slotted s where s.doc_id = t.doc_id and s.label = t.label)"),
+        ("free", "select doc_id, slot, row_number() over (partition by doc_id order by slot) as k from flagged "
+                 "where target = 0"),
+        ("repl", "select f.doc_id, f.slot, m.label as new_label from free f join missing m on m.doc_id = f.doc_id "
+                 "and m.k = f.k"),
+    ])
 
 QUERIES_RANK, ORACLE_RANK = Q, S
