@@ -177,3 +177,23 @@ def test_entry_smoke(spark):
     rows = E.entry(spark).collect()
     assert len(rows) == 1 and rows[0]["n_true"] > 0
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_vector_blocked_paths_equal_broadcast(spark, monkeypatch):
+    import vulnxml.operators.vectors as V
+    rows = [(i, [float((i * 3 + d) % 7 - 3) for d in range(4)]) for i in range(40)]
+    vecs = spark.createDataFrame(rows, "doc_id long, vec array<double>")
+    weights = spark.createDataFrame([(j, [float((j + d) % 5 - 2) for d in range(4)], 0.5 * j) for j in range(9)],
+                                    "label_id long, w array<double>, bias double")
+    keys = spark.createDataFrame([(str(j), [float((j * 2 + d) % 5 - 2) for d in range(4)]) for j in range(9)],
+                                 "key string, vec array<double>")
+    queries = vecs.selectExpr("cast(doc_id as string) as query", "vec")
+    small = sorted(tuple(r) for r in V.linear_scores(vecs, weights).collect())
+    near_small = sorted(tuple(r) for r in V.nearest_key(queries, keys).collect())
+    monkeypatch.setattr(V, "BROADCAST_MAX_ROWS", 2)
+    monkeypatch.setattr(V, "BLOCK_ROWS", 4)
+    big = sorted(tuple(r) for r in V.linear_scores(vecs, weights).collect())
+    near_big = sorted(tuple(r) for r in V.nearest_key(queries, keys).collect())
+    assert [(a, b) for a, b, _ in small] == [(a, b) for a, b, _ in big]
+    assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(small, big))
+    assert [(a, b) for a, b, _ in near_small] == [(a, b) for a, b, _ in near_big]

@@ -122,7 +122,7 @@ def linear_scores(vectors: DataFrame, weights: DataFrame, id_col: str = "doc_id"
     spark = vectors.sparkSession
     n = weights.count()
     if n > BROADCAST_MAX_ROWS:
-        raise ValueError(f"weight matrix has {n} rows; more than {BROADCAST_MAX_ROWS} labels is out of scope")
+        return _linear_blocked(vectors, weights, n, id_col, label_col, bias_col)
     cols = [label_col, "w"] + ([bias_col] if bias_col else [])
     rows = weights.select(*cols).orderBy(label_col).collect()
     lab = np.array([int(r[label_col]) for r in rows], dtype=np.int64)
@@ -145,6 +145,38 @@ def linear_scores(vectors: DataFrame, weights: DataFrame, id_col: str = "doc_id"
             .mapInArrow(run, f"{id_col} long, {label_col} long, score double"))
 
 
+def _linear_blocked(vectors: DataFrame, weights: DataFrame, n_labels: int, id_col: str, label_col: str,
+                    bias_col: str | None) -> DataFrame:
+    """R4 for weight matrices too large to broadcast: labels cut into bounded
+    blocks, docs into bounded chunks; each (block, chunk) is one cogrouped task
+    doing one NumPy block product."""
+    import pandas as pd
+    n_blocks = max(1, -(-n_labels // BLOCK_ROWS))
+    n_docs = vectors.count()
+    n_chunks = max(1, -(-n_docs // BLOCK_ROWS))
+    b = F.col(bias_col).cast("double") if bias_col else F.lit(0.0)
+    wb = (weights.select(F.col(label_col).cast("long").alias("label"), F.col("w").cast("array<double>").alias("w"),
+                         b.alias("bias"))
+          .withColumn("blk", F.pmod(F.col("label"), F.lit(n_blocks)))
+          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>"))))
+    vb = (vectors.select(F.col(id_col).cast("long").alias("doc"), F.col("vec").cast("array<double>").alias("vec"))
+          .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(n_chunks)))
+          .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))))
+
+    def block(wp: pd.DataFrame, vp: pd.DataFrame) -> pd.DataFrame:
+        if len(wp) == 0 or len(vp) == 0:
+            return pd.DataFrame({"doc": [], "label": [], "score": []})
+        w = np.array(list(wp["w"]), dtype=np.float64)
+        x = np.array(list(vp["vec"]), dtype=np.float64)
+        s = x @ w.T + wp["bias"].to_numpy()
+        return pd.DataFrame({"doc": np.repeat(vp["doc"].to_numpy(), len(wp)),
+                             "label": np.tile(wp["label"].to_numpy(), len(vp)), "score": s.ravel()})
+
+    out = (wb.groupBy("blk", "chunk").cogroup(vb.groupBy("blk", "chunk"))
+           .applyInPandas(block, "doc long, label long, score double"))
+    return out.select(F.col("doc").alias(id_col), F.col("label").alias(label_col), "score")
+
+
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, dim: int, word_col: str = "word") -> DataFrame:
     """Vocabulary left-joined with word vectors; missing -> zero vector."""
     return (vocab.join(vectors.select(word_col, "vec"), word_col, "left")
