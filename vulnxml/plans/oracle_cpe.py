@@ -68,6 +68,10 @@ ORACLE_CPE = {
     "D1_stratified_split": cpe_sql("select report_id, split from split"),
     "A2_build_matcher": cpe_sql("select key, label, cast(cnt as bigint) as cnt from matcher"),
     "A3_select_labels": cpe_sql("select key, label, cast(cnt as bigint) as cnt from selected"),
+    "A3_select_labels_top_n": cpe_sql("select key, label, cast(cnt as bigint) as cnt from (select *, row_number() "
+                                      "over (partition by key order by cnt desc, label) as r from matcher) x "
+                                      "where r <= 2"),
+    "A3_select_labels_all": cpe_sql("select key, label, cast(cnt as bigint) as cnt from matcher"),
     "J3_match_exact": cpe_sql("select report_id, label, matched_key from pred_exact"),
     "J3_match_or_nearest": cpe_sql("select report_id, label, matched_key from pred_exact union all "
                                    "select report_id, label, matched_key from pred_nearest"),

@@ -45,6 +45,16 @@ def _q_selected(spark, sf):
         "key", "label", F.col("cnt").cast("bigint").alias("cnt"))
 
 
+def _q_selected_top_n(spark, sf):
+    return cm.select_labels(cpe_flow.matcher_table(spark, sf), "top_n", 2).select(
+        "key", "label", F.col("cnt").cast("bigint").alias("cnt"))
+
+
+def _q_selected_all(spark, sf):
+    return cm.select_labels(cpe_flow.matcher_table(spark, sf), "all").select(
+        "key", "label", F.col("cnt").cast("bigint").alias("cnt"))
+
+
 def _q_match_exact(spark, sf):
     return cpe_flow.predictions_exact(spark, sf)
 
@@ -64,6 +74,8 @@ QUERIES: dict[str, Query] = {
     "D1_stratified_split": _q_split,
     "A2_build_matcher": _q_matcher,
     "A3_select_labels": _q_selected,
+    "A3_select_labels_top_n": _q_selected_top_n,
+    "A3_select_labels_all": _q_selected_all,
     "J3_match_exact": _q_match_exact,
     "M6_set_precision_recall": _q_eval_exact,
     "J3_match_or_nearest": _q_match_nearest,
