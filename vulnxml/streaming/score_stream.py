@@ -17,16 +17,16 @@ from pyspark.sql import functions as F
 from vulnxml.functions.text import basic_cleaning, words
 from vulnxml.operators.labels import encode_labels
 from vulnxml.operators.rank import predict_labels
-from vulnxml.operators.vectors import linear_scores, unit
+from vulnxml.operators.vectors import SIM_DECIMALS, linear_scores, token_bucket, unit
 
 DIM = 64
 
 
 def text_vectors(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", dim: int = DIM) -> DataFrame:
-    """(doc_id, vec): unit-length hashed bag of cleaned words (bucket =
-    pmod(xxhash64(word), dim)); a doc without words gets the zero vector."""
+    """(doc_id, vec): unit-length hashed bag of cleaned words (bucket = md5
+    prefix of the word mod dim); a doc without words gets the zero vector."""
     toks = df.select(F.col(id_col).alias("doc_id"), F.explode(words(basic_cleaning(text_col))).alias("word"))
-    counts = toks.groupBy("doc_id", F.pmod(F.xxhash64("word"), F.lit(dim)).cast("int").alias("b")).agg(
+    counts = toks.groupBy("doc_id", token_bucket(F.col("word"), dim).alias("b")).agg(
         F.count(F.lit(1)).cast("double").alias("c"))
     per = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("b", "c"))).alias("m"))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0)))
@@ -51,7 +51,8 @@ def fit_centroids(docs: DataFrame, doc_labels: DataFrame, lmap: DataFrame, dim:
 def score_batch(reports: DataFrame, weights: DataFrame, lmap: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, labels): the k best label names per report, best first."""
     scores = linear_scores(text_vectors(reports), weights)
-    return predict_labels(scores, lmap, k)
+    # Rounded so that equal scores tie exactly whatever the float path.
+    return predict_labels(scores.withColumn("score", F.round("score", SIM_DECIMALS)), lmap, k)
 
 
 def score_stream(spark: SparkSession, source_dir: str, weights: DataFrame, lmap: DataFrame, sink_dir: str,
