@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnxml.operators.labels import find_equal_labels, label_pair_lines, parse_label_pair_lines
 from vulnxml.operators import vocab as W
-from vulnxml.plans.queries_text import D1_DOCS_CTES
+from vulnxml.plans.queries_text import D1_DOCS_CTES, GRAPH_EDGE_CTES
 from vulnxml.plans.queries_vocab import (LT, MODEL, TT, VOCAB_ALL, WV, _word_vectors, doc_split, fx_pairs,
                                          PAIR_CTES)
 from vulnxml.sources import formats as IO
@@ -253,3 +253,6 @@ def _q_graph_files(spark, sf):
 
 
 QUERIES_IO["I15_write_graph"] = _q_graph_files
+ORACLE_IO["I15_write_graph"] = with_fx(["fx_doclabels"], (
+    "select kind, count(*) as n_edges from (select 'pmi' as kind from pmi union all select 'tfidf' from tfe) x "
+    "group by kind"), GRAPH_EDGE_CTES)

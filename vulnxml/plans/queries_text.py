@@ -313,13 +313,7 @@ Q["G7_assemble_graph_nodes"] = _q_graph_nodes
 S["G7_assemble_graph_nodes"] = with_fx(["fx_doclabels"], "select cast(node_id as bigint) as node_id, kind, name "
                                                          "from nodes", GRAPH_CTES)
 Q["G7_assemble_graph_edges"] = _q_graph_edges
-S["G7_assemble_graph_edges"] = with_fx(["fx_doclabels"], (
-    "select cast(src as bigint) as src, kind, count(*) as n_edges, round(sum(weight), 4) as weight_sum from ("
-    "select wa.node_id as src, 'pmi' as kind, e.pmi as weight from pmi e "
-    "join nodes wa on wa.kind = 'word' and wa.name = e.word_a "
-    "union all select dn.node_id, 'tfidf', t.weight from tfe t join nodes dn on dn.kind <> 'word' "
-    "and dn.doc_id = t.doc_id) x group by 1, 2"),
-    GRAPH_CTES + [PAIRS_SQL,
+GRAPH_EDGE_CTES = GRAPH_CTES + [PAIRS_SQL,
                   ("nwin", "select cast(sum(greatest(len(words) - 20, 0) + 1) as double) as nw from dw"),
                   ("wf", "select word, cast(sum(greatest(hi - lo + 1, 0)) as double) as f from (select word, hi, "
                          "case when prev_hi is null then lo0 else greatest(lo0, prev_hi + 1) end as lo from (select "
@@ -332,6 +326,12 @@ S["G7_assemble_graph_edges"] = with_fx(["fx_doclabels"], (
                           "select word_b, word_a, pmi from pmi1 where pmi > 0"),
                   ("tfe", "select t.doc_id, t.word, t.tf * ln((select count(*) from dw) / d.df) as weight from "
                           "(select doc_id, word, count(*) as tf from gt group by doc_id, word) t join "
-                          "(select word, count(distinct doc_id) as df from gt group by word) d using (word)")])
-
+                          "(select word, count(distinct doc_id) as df from gt group by word) d using (word)")]
+S["G7_assemble_graph_edges"] = with_fx(["fx_doclabels"], (
+    "select cast(src as bigint) as src, kind, count(*) as n_edges, round(sum(weight), 4) as weight_sum from ("
+    "select wa.node_id as src, 'pmi' as kind, e.pmi as weight from pmi e "
+    "join nodes wa on wa.kind = 'word' and wa.name = e.word_a "
+    "union all select dn.node_id, 'tfidf', t.weight from tfe t join nodes dn on dn.kind <> 'word' "
+    "and dn.doc_id = t.doc_id) x group by 1, 2"),
+    GRAPH_EDGE_CTES)
 QUERIES_TEXT, ORACLE_TEXT = Q, S
