@@ -197,3 +197,76 @@ def test_vector_blocked_paths_equal_broadcast(spark, monkeypatch):
     assert [(a, b) for a, b, _ in small] == [(a, b) for a, b, _ in big]
     assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(small, big))
     assert [(a, b) for a, b, _ in near_small] == [(a, b) for a, b, _ in near_big]
+
+
+def _groups_brute_force(vecs, max_leaf, eps, max_iter, seed):
+    """Plain-Python twin of the level-synchronous balanced 2-means."""
+    import hashlib
+    import math
+
+    def norm(v):
+        n = math.sqrt(sum(x * x for x in v.values()))
+        return {k: x / n for k, x in v.items()} if n > 0 else dict(v)
+
+    def dot(a, b):
+        return sum(x * b.get(k, 0.0) for k, x in a.items())
+
+    assign = {lab: "" for lab in vecs}
+    while True:
+        sizes = {}
+        for lab, node in assign.items():
+            sizes[node] = sizes.get(node, 0) + 1
+        big = {n for n, c in sizes.items() if c > max_leaf}
+        if not big:
+            break
+        members = {n: sorted(lab for lab, nd in assign.items() if nd == n) for n in big}
+        centers = {}
+        for n, labs in members.items():
+            h = sorted(labs, key=lambda lab: (hashlib.md5(f"{seed}|{n}|{lab}".encode()).hexdigest(), lab))
+            centers[(n, 0)], centers[(n, 1)] = dict(vecs[h[0]]), dict(vecs[h[1]])
+        prev, sides = None, {}
+        for _ in range(max_iter):
+            sims = []
+            for n, labs in members.items():
+                scored = []
+                for lab in labs:
+                    d0, d1 = dot(vecs[lab], centers[(n, 0)]), dot(vecs[lab], centers[(n, 1)])
+                    scored.append((round(d1 - d0, 9), lab, d0, d1))
+                scored.sort()
+                half = len(labs) // 2
+                for r, (_, lab, d0, d1) in enumerate(scored):
+                    sides[lab] = 0 if r < half else 1
+                    sims.append(d0 if r < half else d1)
+            obj = sum(sims) / len(sims)
+            for n, labs in members.items():
+                for side in (0, 1):
+                    acc = {}
+                    for lab in labs:
+                        if sides[lab] == side:
+                            for k, x in vecs[lab].items():
+                                acc[k] = acc.get(k, 0.0) + x
+                    centers[(n, side)] = norm(acc)
+            if prev is not None and obj - prev < eps:
+                break
+            prev = obj
+        for n, labs in members.items():
+            for lab in labs:
+                assign[lab] = n + str(sides[lab])
+    nodes = sorted(set(assign.values()))
+    return {lab: nodes.index(node) for lab, node in assign.items()}
+
+
+def test_label_groups_equal_brute_force(spark):
+    import random
+    from vulnxml.operators.cluster import split_label_groups
+    rnd = random.Random(11)
+    vecs = {}
+    for i in range(23):
+        v = {t: rnd.random() for t in rnd.sample(range(12), 5)}
+        n = sum(x * x for x in v.values()) ** 0.5
+        vecs[f"L{i:02d}"] = {t: x / n for t, x in v.items()}
+    rows = [(lab, t, x) for lab, v in vecs.items() for t, x in v.items()]
+    feats = spark.createDataFrame(rows, "label string, term_id long, weight double")
+    got = {r["label"]: r["group_id"] for r in split_label_groups(feats, max_leaf=3, eps=1e-4, max_iter=4,
+                                                                  seed=5).collect()}
+    assert got == _groups_brute_force(vecs, 3, 1e-4, 4, 5)

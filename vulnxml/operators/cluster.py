@@ -66,7 +66,8 @@ def split_label_groups(label_feats: DataFrame, max_leaf: int = 100, eps: float =
                         F.sum(F.when(F.col("side") == 0, F.col("weight") * F.col("cw")).otherwise(0.0)).alias("d0"),
                         F.sum(F.when(F.col("side") == 1, F.col("weight") * F.col("cw")).otherwise(0.0)).alias("d1")))
             sims = (work.join(dots, ["node", "label"], "left").fillna(0.0, ["d0", "d1"])
-                    .withColumn("_diff", F.col("d1") - F.col("d0")))
+                    # Rounded: sums have no fixed order, so near-ties resolve by label.
+                    .withColumn("_diff", F.round(F.col("d1") - F.col("d0"), 9)))
             ranked = _rank_in_node(sims, ["_diff", "label"])
             sides = cut_lineage(ranked.select(
                 "node", "label", F.when(F.col("_r") < F.floor(F.col("_n") / 2), 0).otherwise(1).alias("side"),
