@@ -65,11 +65,13 @@ def frequent_words(df: DataFrame, proportion: float, text_col: str = "text", id_
 def corpus_frequent_words(df: DataFrame, proportion: float, text_col: str = "text",
                           id_col: str = "doc_id") -> DataFrame:
     """A6 over the corpus: the top floor(proportion * vocabulary) words by count
-    (ties by word). The top list is a TakeOrdered of bounded size."""
+    (ties by word). The list grows with the vocabulary, so it is cut by a
+    range-partitioned rank, not by a global limit in one task."""
+    from vulnxml.operators.ids import with_sequential_id
     counts = tokenize(df, text_col, id_col).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))
-    n_words = counts.count()
-    keep = int(n_words * proportion)
-    return counts.orderBy(F.desc("cnt"), "word").limit(keep)
+    keep = int(counts.count() * proportion)
+    ranked = with_sequential_id(counts, [F.desc("cnt"), F.asc("word")], "_rank")
+    return ranked.filter(F.col("_rank") < keep).select("word", "cnt")
 
 
 def remove_frequent_words(df: DataFrame, stop_words: DataFrame, text_col: str = "text",
