@@ -187,9 +187,11 @@ def assemble_graph(dw_split: DataFrame, w: int = WINDOW) -> tuple[DataFrame, Dat
     then test docs; one edge table (src, dst, weight, kind).
 
     dw_split: doc_words output plus ``split`` and ``doc_index`` (D3)."""
-    docs = cut_lineage(dw_split)
+    # Only the small per-doc node facts are materialised; the words are read
+    # once, by the encoder, which checkpoints its own (id) output.
+    docs = cut_lineage(dw_split.select("doc_id", "split", "doc_index"))
     n_train = docs.filter("split = 'train'").count()
-    vocab, enc = encode_docs(docs.select("doc_id", "n_tokens", "words"))
+    vocab, enc = encode_docs(dw_split.select("doc_id", "n_tokens", "words"))
     # Word node ids follow code point order: numbered on the (vocabulary-sized) table.
     wnode = with_sequential_id(vocab, ["word"], "word_index").select(
         "word", "wid", (F.col("word_index") + n_train).alias("node_id"))
