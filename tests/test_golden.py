@@ -270,3 +270,46 @@ def test_label_groups_equal_brute_force(spark):
     got = {r["label"]: r["group_id"] for r in split_label_groups(feats, max_leaf=3, eps=1e-4, max_iter=4,
                                                                   seed=5).collect()}
     assert got == _groups_brute_force(vecs, 3, 1e-4, 4, 5)
+
+
+def test_host_extraction_rules():
+    from vulnxml.operators.pages import extract
+
+    def page(body, title=""):
+        return f"<html><head><title>{title}</title></head><body>{body}</body></html>"
+
+    norm = lambda t: " ".join(t.split())
+    cases = [
+        ("launchpad", page('<span class="yui3-editable_text-text ellipsis">Crash in x</span>'), "", "Crash in x"),
+        ("openwall", page("<pre>Overflow in y\n============\nrest</pre>"), "", "Overflow in y"),
+        ("openwall", page("<pre>Bug z Affected Versions 1.2</pre>"), "", "Bug z"),
+        ("bugzilla_redhat", page('<div class="uneditable_textarea">Heap bug</div>'), "", "Heap bug"),
+        ("bugzilla_redhat", page('<div id="c0"><pre class="bz_comment_text">intro\nDescription of problem\n'
+                                 'line one\nline two\nVersion-Release number:\nx</pre></div>'), "",
+         "line one line two"),
+        ("access_redhat", page('<div id="description"><ul><li>CVE-1: other</li>'
+                               '<li>A B use after free CVE-2 fixed</li></ul></div>'), "CVE-2", "use after free"),
+        ("rhn_redhat", page('<div id="description"><p>One.</p><p>Two.</p></div>'), "", "One. Two."),
+        ("lists_debian", page("<pre>head\nCVE-3 is fixed\n\nThe fix text.\n\nmore</pre>"), "CVE-3", "The fix text."),
+        ("debian", page('<div id="content"><p>x</p>More information\n\nThe debian text.\n\nrest</div>'), "",
+         "The debian text."),
+        ("oracle", page("<h3>Intro</h3><p>no</p><h3>Description</h3><p>Oracle text</p><h3>Next</h3><p>no</p>"), "",
+         "Oracle text"),
+        ("lists_opensuse", page('<div class="email-body">x\nDescription:\n- CVE-4: opensuse text\n</div>'), "CVE-4",
+         "opensuse text"),
+        ("fedora_pipermail", page("", "[SECURITY] Fedora Update: pkg-1.0"), "", "pkg-1.0"),
+        ("fedora_archives", page('<div class="col-tn-10">Fedora Update: pkg-2.0</div>'), "", "pkg-2.0"),
+        ("github", page('<div class="flex-auto min-width-0 width-fit mr-3"><a class="url fn">owner</a>'
+                        '<strong><a>repo</a></strong></div>'), "", "owner repo"),
+        ("gentoo_security", page('<div class="col-12 col-md-10"><p>a</p><p>b</p><p>gentoo text</p></div>'), "",
+         "gentoo text"),
+        ("gentoo_blogs", page('<h1 class="entry-title">Blog title</h1>'), "", "Blog title"),
+        ("securitytracker", page("".join(f"<font>f{i}</font>" for i in range(30))), "", "f24"),
+        ("usn_ubuntu", page('<div class="col-12"></div><div class="col-12"></div><div class="col-12">'
+                            '<ul><li class="p-list__item">pkg1</li><li>skip</li></ul></div>'
+                            '<div class="col-8"><p>Summary.</p></div>'), "", "pkg1. Summary."),
+        ("ubuntu", page('<div class="col-12"><ul><li>a</li><li>b</li></ul></div>'
+                        '<div class="col-8"><p>S.</p></div>'), "", "a. b. S."),
+    ]
+    for rule, html, rid, want in cases:
+        assert norm(extract(rule, html, rid)) == want, rule

@@ -166,6 +166,7 @@ def _paragraph_after(text: str, needle: str) -> str:
     if not needle or needle not in text:
         return ""
     rest = text.split(needle, 1)[1]
+    rest = rest.split("\n", 1)[1] if "\n" in rest else ""  # skip the rest of the marker line
     paras = [p for p in re.split(r"\n\s*\n", rest) if p.strip()]
     return paras[0] if paras else ""
 

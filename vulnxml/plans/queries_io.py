@@ -256,3 +256,21 @@ QUERIES_IO["I15_write_graph"] = _q_graph_files
 ORACLE_IO["I15_write_graph"] = with_fx(["fx_doclabels"], (
     "select kind, count(*) as n_edges from (select 'pmi' as kind from pmi union all select 'tfidf' from tfe) x "
     "group by kind"), GRAPH_EDGE_CTES)
+
+
+def _q_zip(spark, sf):
+    corpus = docs(spark, sf).join(doc_split(spark, sf), "doc_id").join(_labels_array(spark, sf), "doc_id", "left")
+    out = IO.scratch_dir(spark, "zip")
+    IO.write_text_label_lines(corpus, out, "test")
+    texts = IO.with_line_numbers(spark.read.text(os.path.join(out, "test_texts.txt")), "line_no")
+    labs = IO.with_line_numbers(spark.read.text(os.path.join(out, "test_labels.txt")), "line_no")
+    z = IO.zip_by_position(texts.withColumnRenamed("value", "text"), labs.withColumnRenamed("value", "labels"))
+    return z.select("line_no", "text", "labels")
+
+
+QUERIES_IO["J7_zip_by_position"] = _q_zip
+ORACLE_IO["J7_zip_by_position"] = with_fx(["fx_doclabels"], (
+    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, "
+    "trim(replace(coalesce(d.text, ''), chr(10), '')) as text, coalesce(l.labels, '') as labels from documents d "
+    "join dsplit s using (doc_id) left join (select doc_id, string_agg(label, ' ' order by label) as labels from "
+    "fx_doclabels group by doc_id) l using (doc_id) where s.split = 'test'"), D1_DOCS_CTES)

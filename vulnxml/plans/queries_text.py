@@ -61,6 +61,13 @@ S["P5_parse_cpe"] = with_fx(["fx_cpe"], (
     "as name from fx_cpe"))
 
 
+Q["P6_library_name"] = lambda spark, sf: fx_cpe(spark, sf).select(parse_cpe("cpe").alias("p")).select(
+    library_name("p.module", "p.library").alias("name"), "p.module", "p.library").distinct()
+S["P6_library_name"] = with_fx(["fx_cpe"], (
+    "select distinct case when m = l then m else concat_ws(' ', m, l) end as name, m as module, l as library from "
+    "(select string_split(cpe, ':')[4] as m, string_split(cpe, ':')[5] as l from fx_cpe) x"))
+
+
 def _label_text(spark, sf):
     return fx_doclabels(spark, sf).groupBy("doc_id").agg(
         F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))

@@ -340,6 +340,16 @@ Q["J9_union_splits"] = _q_j9
 S["J9_union_splits"] = ("select doc_id, 'train' as split, cast(length(text) as bigint) as n_chars from documents "
                         "union all select item_id, 'test', cast(length(text) as bigint) from benchmark")
 
+def _q_d5(spark, sf):
+    sp = doc_split(spark, sf)
+    train = sp.filter("split = 'train'").select("doc_id")
+    test = sp.filter("split = 'test'").select("doc_id")
+    return use_given_split(train, test).select("doc_id", "split")
+
+
+Q["D5_use_given_split"] = _q_d5
+S["D5_use_given_split"] = dsql("select doc_id, split from dsplit")
+
 Q["P16_select_split"] = lambda spark, sf: select_split(doc_split(spark, sf), "test").select("doc_id")
 S["P16_select_split"] = dsql("select doc_id from dsplit where split = 'test'")
 
