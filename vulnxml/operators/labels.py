@@ -88,8 +88,9 @@ def zero_support_labels(report_labels: DataFrame, label_names: DataFrame) -> Dat
 
 def label_map(doc_labels: DataFrame, label_col: str = "label") -> DataFrame:
     """Distinct labels over all splits; id = rank by name from 0."""
-    return (doc_labels.select(label_col).distinct()
-            .withColumn("label_id", (F.row_number().over(Window.orderBy(label_col)) - 1).cast("bigint")))
+    # Label spaces can be very large: ids by range-partitioned numbering.
+    from vulnxml.operators.ids import with_sequential_id
+    return with_sequential_id(doc_labels.select(label_col).distinct(), [label_col], "label_id")
 
 
 def corpus_summary(corpus: DataFrame, doc_labels: DataFrame) -> DataFrame:

@@ -104,15 +104,14 @@ def sample_candidates(doc_labels: DataFrame, groups: DataFrame, labels: DataFram
     w = Window.partitionBy("doc_id").orderBy(F.desc("is_true"), seeded_int(seed, "doc_id", "label"), "label")
     chosen = pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
     have = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_have"))
-    # Label-sized permutation table: labels ordered by a seeded hash.
+    # Permutation of all labels by a seeded hash (numbered without a single-task window).
     lab = labels.select("label").distinct()
     n_lab = lab.count()
-    perm = lab.withColumn("_p", (F.row_number().over(Window.orderBy(seeded_int(seed, "label"), "label")) - 1)
-                          .cast("bigint"))
+    from vulnxml.operators.ids import with_sequential_id
+    perm = with_sequential_id(lab.withColumn("_o", seeded_int(seed, "label")), ["_o", "label"], "_p").drop("_o")
     docs = truth.select("doc_id").distinct().join(have, "doc_id", "left").fillna(0, ["_have"])
     need = docs.filter(F.col("_have") < F.lit(min(n, n_lab)))
-    slots = (need.withColumn("_off", F.pmod(seeded_int(seed, "doc_id"), F.lit(max(n_lab, 1))))
-             .select("doc_id", "_have", F.posexplode(F.sequence(F.lit(0), F.lit(min(n, n_lab) - 1))).alias("_j", "_x"))
+    slots = (need.select("doc_id", "_have", F.posexplode(F.sequence(F.lit(0), F.lit(min(n, n_lab) - 1))).alias("_j", "_x"))
              .withColumn("_p", F.pmod(seeded_int(seed, "doc_id") + F.col("_j"), F.lit(max(n_lab, 1))))
              .drop("_x"))
     fill = (slots.join(perm, "_p").join(chosen.select("doc_id", "label"), ["doc_id", "label"], "left_anti"))
