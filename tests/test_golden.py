@@ -313,3 +313,18 @@ def test_host_extraction_rules():
     ]
     for rule, html, rid, want in cases:
         assert norm(extract(rule, html, rid)) == want, rule
+
+
+def test_svmlight_header_roundtrip(spark):
+    from vulnxml.sources import formats as IO
+    feats = spark.createDataFrame([(0, 3, 0.5), (0, 1, 0.25), (1, 2, 1.0), (2, 0, 2.0)],
+                                  "doc_id long, term_id int, weight double")
+    labels = spark.createDataFrame([(0, 7), (0, 2), (2, 5)], "doc_id long, label_id int")
+    path = IO.scratch_dir(spark, "svm-test")
+    IO.write_svmlight(feats, labels, path, header=(3, 4, 8))
+    lines = [r["value"] for r in spark.read.text(path).collect()]
+    assert lines[0] == "3 4 8"
+    assert lines[1] == "2,7 1:0.25 3:0.5" and lines[2] == " 2:1.0" and lines[3] == "5 0:2.0"
+    back = IO.read_svmlight(spark, path, has_header=True).collect()
+    got = sorted((r["doc_id"], tuple(r["labels"]), r["idx"], r["val"]) for r in back)
+    assert got == [(0, (2, 7), 1, 0.25), (0, (2, 7), 3, 0.5), (1, (), 2, 1.0), (2, (5,), 0, 2.0)]
