@@ -322,7 +322,8 @@ def test_svmlight_header_roundtrip(spark):
     labels = spark.createDataFrame([(0, 7), (0, 2), (2, 5)], "doc_id long, label_id int")
     path = IO.scratch_dir(spark, "svm-test")
     IO.write_svmlight(feats, labels, path, header=(3, 4, 8))
-    lines = [r["value"] for r in spark.read.text(path).collect()]
+    numbered = IO.with_line_numbers(spark.read.text(path), "n").collect()
+    lines = [r["value"] for r in sorted(numbered, key=lambda r: r["n"])]
     assert lines[0] == "3 4 8"
     assert lines[1] == "2,7 1:0.25 3:0.5" and lines[2] == " 2:1.0" and lines[3] == "5 0:2.0"
     back = IO.read_svmlight(spark, path, has_header=True).collect()

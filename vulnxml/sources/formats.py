@@ -129,17 +129,16 @@ def svmlight_lines(features: DataFrame, doc_labels: DataFrame, label_col: str =
 
 
 def write_svmlight(features: DataFrame, doc_labels: DataFrame, path: str, header: tuple | None = None) -> None:
-    """Svmlight text, lines in doc_id order (range-partitioned sort).
-    With ``header=(rows, features, labels)`` the first line is ``n f l`` and
-    the output is one file (that format has a single header)."""
-    lines = svmlight_lines(features, doc_labels)
-    if header is None:
-        lines.orderBy("doc_id").select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-        return
-    spark = features.sparkSession
-    head = spark.createDataFrame([(-1, " ".join(str(x) for x in header))], "doc_id long, line string")
-    (head.unionByName(lines.select(F.col("doc_id").cast("long"), "line")).coalesce(1).orderBy("doc_id")
-     .select(F.col("line").alias("value")).write.mode("overwrite").text(path))
+    """Svmlight text, lines in doc_id order across the part files
+    (range-partitioned sort, no single writer). With ``header=(rows, features,
+    labels)`` the first line is ``n f l``: the header row carries a key below
+    every doc id, so the sort puts it at the top of the first part file."""
+    lines = svmlight_lines(features, doc_labels).select(F.col("doc_id").cast("long").alias("_k"), "line")
+    if header is not None:
+        spark = features.sparkSession
+        head = spark.createDataFrame([(" ".join(str(x) for x in header),)], "line string")
+        lines = head.select(F.lit(None).cast("long").alias("_k"), "line").unionByName(lines)
+    lines.orderBy(F.asc_nulls_first("_k")).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_svmlight(spark: SparkSession, path: str, has_header: bool = False) -> DataFrame:
