@@ -118,8 +118,8 @@ def allowed_ends(ids: np.ndarray, doc_ends: np.ndarray, stop: np.ndarray, size:
     at = np.flatnonzero(mark)
     gaps = np.diff(np.concatenate(([0], at)))
     step = min(HARD_STEP, size)
-    for i in np.flatnonzero(gaps > 2 * step):
-        mark[at[i] - gaps[i] + step:at[i] - step + 1:step] = HARD_PENALTY + 1
+    for i in np.flatnonzero(gaps > min(2 * step, size)):
+        mark[at[i] - gaps[i] + step:at[i]:step] = HARD_PENALTY + 1
     at = np.flatnonzero(mark)
     return at, mark[at] - 1
 

@@ -14,7 +14,9 @@ _C3 = np.uint32(2654435761)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate(([1], np.full(max(n - 1, 0), base, np.uint64))).astype(np.uint64))
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
 
 
 class WordHasher:
@@ -26,7 +28,7 @@ class WordHasher:
     def __call__(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, start, end) of every word of the UTF-8 bytes ``b``."""
         n = len(b)
-        if n > self.size:
+        if n >= self.size:
             self.size = max(2 * n, 1 << 14)
             self.pow, self.inv = _powers(_R, self.size + 1), _powers(_R_INV, self.size + 1)
         space = np.ones(n + 2, bool)
