@@ -75,7 +75,7 @@ class Model:
     chances: list[list[list[float]]]  # log chance of each value, by feature and domain
 
     def features(self, e: Column, words_: Column) -> list[Column]:
-        held = [F.array(*map(F.lit, m)).cast("array<string>") for m in self.markers]
+        held = [F.split(F.lit(" ".join(m)), " ") if m else F.array().cast("array<string>") for m in self.markers]  # a word holds no space
         counts = [F.least(F.size(F.array_intersect(e, m)), F.lit(MOST)) for m in held]
         n = F.size(words_)
         variety = F.floor(F.size(F.array_distinct(words_)) * (STEPS - 1) / F.greatest(n, F.lit(1))).cast("int")
@@ -141,11 +141,12 @@ def with_posteriors(docs: DataFrame, model: Model, text_col: str, tokens: str, p
     return out.withColumn(tokens, F.col(f"{both}.n")).withColumn(posterior, F.col(f"{both}.p")).drop(both)
 
 
-def rate_of(posterior: list[Column], moves: list[list[float]]) -> Column:
+def rate_of(posterior: list[str], moves: list[list[float]]) -> Column:
     """A document's rate after the given steps: each moves against the
-    gradient, then back into 0 to ``MAX_RATE``."""
-    step = lambda rate, push: F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - sum((F.lit(g) * p for g, p in zip(push, posterior)), F.lit(0.0))))
-    return reduce(step, moves, F.lit(1.0))
+    gradient, then back into 0 to ``MAX_RATE``. ``posterior``: SQL of each."""
+    def step(rate: str, push: list[float]) -> str:
+        return f"least({MAX_RATE}D, greatest(0D, {rate} - ({' + '.join(f'{g!r}D * {p}' for g, p in zip(push, posterior))})))"
+    return F.expr(reduce(step, moves, "1D"))
 
 
 def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float]) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
@@ -158,12 +159,14 @@ def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float]) ->
     if not d:
         return [], {}
     narrow = narrow.select("tokens", *[F.col("posterior")[i].alias(f"p{i}") for i in range(d)])
-    posterior = [F.col(f"p{i}") for i in range(d)]
+    posterior = [f"p{i}" for i in range(d)]
 
-    def sums(*cells: Column) -> list[float]:
-        return [float(v or 0.0) for v in narrow.agg(*[F.sum(F.col("tokens") * c).alias(f"c{k}") for k, c in enumerate(cells)]).first()]
+    def sums(rate: Column, cells: list[str]) -> list[float]:
+        rated = narrow.withColumn("amount", F.col("tokens") * rate)
+        return [float(v or 0.0) for v in rated.agg(*[F.expr(f"sum(amount * {c})") for c in cells]).first()]
 
-    have, flat = sums(*posterior), sums(*[p * q for p in posterior for q in posterior])
+    have = sums(F.lit(1.0), [*posterior, *(f"{p} * {q}" for p in posterior for q in posterior)])
+    have, flat = have[:d], have[d:]
     curve, whole = [flat[i * d:i * d + d] for i in range(d)], sum(have)
     want = [max(0.0, weights.get(n, 0.0)) if h > 0 else 0.0 for n, h in zip(names, have)]
     if not sum(want):
@@ -179,7 +182,7 @@ def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float]) ->
         if loss <= TOLERANCE ** 2 or moves and before - loss <= TOLERANCE * before or len(moves) == ROUNDS:
             return moves, dict(zip(names, zip(now, target)))
         moves.append(push)
-        now = sums(*[p * rate_of(posterior, moves) for p in posterior])
+        now = sums(rate_of(posterior, moves), posterior)
 
 
 def solve(matrix: list[list[float]], right: list[float], ridge: float) -> list[float]:
@@ -209,7 +212,7 @@ def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
     narrow = materialise(with_posteriors(src, model, "text", "tokens", "posterior").select("id", "h", "tokens", "posterior"), "posteriors")
     moves, _ = fit_rates(narrow, model.names, weights or TARGETS)
-    rated = narrow.withColumn("rate", rate_of([F.col("posterior")[i] for i in range(len(model.names))], moves))
+    rated = narrow.withColumn("rate", rate_of([f"posterior[{i}]" for i in range(len(model.names))], moves))
     names = F.array(*map(F.lit, model.names)).cast("array<string>")
     return rated.select(F.col("id").alias(id_col), F.col("tokens").alias("n_tokens"), F.map_from_arrays(names, F.col("posterior")).alias("posterior"),
                         "rate", copies(F.col("rate"), "id", "h").alias("copies"))
@@ -222,5 +225,5 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     t, p, c = (fresh_name(docs, n) for n in ("mix_tokens", "mix_posterior", "mix_copies"))
     scored = materialise(with_posteriors(docs, model, text_col, t, p), "mixed")
     moves, _ = fit_rates(scored.select(F.col(t).alias("tokens"), F.col(p).alias("posterior")), model.names, weights or TARGETS)
-    rate = rate_of([F.col(p)[i] for i in range(len(model.names))], moves)
+    rate = rate_of([f"`{p}`[{i}]" for i in range(len(model.names))], moves)
     return scored.withColumn(c, F.explode(F.array_repeat(F.lit(1), copies(rate, F.col(id_col), F.xxhash64(F.col(text_col)))))).select(*docs.columns)
