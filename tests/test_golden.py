@@ -291,12 +291,13 @@ def test_host_extraction_rules():
                                '<li>A B use after free CVE-2 fixed</li></ul></div>'), "CVE-2", "use after free"),
         ("rhn_redhat", page('<div id="description"><p>One.</p><p>Two.</p></div>'), "", "One. Two."),
         ("lists_debian", page("<pre>head\nCVE-3 is fixed\n\nThe fix text.\n\nmore</pre>"), "CVE-3", "The fix text."),
-        ("debian", page('<div id="content"><p>x</p>More information\n\nThe debian text.\n\nrest</div>'), "",
-         "The debian text."),
+        ("debian", page('<div id="content"><p>x</p><dl><dt>More information:</dt><dd><p>The debian text.</p>'
+                        '<p>rest</p></dd></dl></div>'), "", "The debian text."),
         ("oracle", page("<h3>Intro</h3><p>no</p><h3>Description</h3><p>Oracle text</p><h3>Next</h3><p>no</p>"), "",
          "Oracle text"),
-        ("lists_opensuse", page('<div class="email-body">x\nDescription:\n- CVE-4: opensuse text\n</div>'), "CVE-4",
-         "opensuse text"),
+        ("oracle", page("<h3>Description</h3><div><p>Once</p></div><h3>Next</h3>"), "", "Once"),
+        ("lists_opensuse", page('<div class="email-body">x\nDescription:\n- CVE-4: opensuse\ntext\n'
+                                '- CVE-5: no\nPatch Instructions:\n</div>'), "CVE-4", "opensuse text"),
         ("fedora_pipermail", page("", "[SECURITY] Fedora Update: pkg-1.0"), "", "pkg-1.0"),
         ("fedora_archives", page('<div class="col-tn-10">Fedora Update: pkg-2.0</div>'), "", "pkg-2.0"),
         ("github", page('<div class="flex-auto min-width-0 width-fit mr-3"><a class="url fn">owner</a>'
@@ -308,13 +309,39 @@ def test_host_extraction_rules():
         ("usn_ubuntu", page('<div class="col-12"></div><div class="col-12"></div><div class="col-12">'
                             '<ul><li class="p-list__item">pkg1</li><li>skip</li></ul></div>'
                             '<div class="col-8"><p>Summary.</p></div>'), "", "pkg1. Summary."),
-        ("ubuntu", page('<div class="col-12"><ul><li>a</li><li>b</li></ul></div>'
-                        '<div class="col-8"><p>S.</p></div>'), "", "a. b. S."),
+        ("ubuntu", page('<div class="col-12"><li>nav</div><div class="x col-12"><li>menu</div><div class="col-12"><ul><li>a'
+                        '<li>b</ul></div><div class="col-8"><p>S.</p></div>'), "", "a. b. S."),
+        ("ubuntu", page('<div class="col-12"><ul><li>a</li></ul></div><div class="col-8"><p>S.</p></div>'), "", ""),
+        ("gentoo_blogs", page('<h1 class="entry-title big">Blog title</h1>'), "", "Blog title"),
+        ("gentoo_blogs", page("<div>" * 5000 + '<h1 class="entry-title">Deep</h1>'), "", "Deep"),
+        ("rhn_redhat", page('<div id="description">' + "<ul><li>" * 1500 + "<p>Deep li"), "", "Deep li"),
+        ("bugzilla_redhat", page('<div id="c0"><pre class="bz_comment_text">Description:\none\nNext:\nno\nSummary:\ntwo\n'
+                                 'End:\nno</pre></div>'), "", "one two"),
+        ("github", page('<a class="url fn">owner</a><div class="flex-auto min-width-0 width-fit mr-3">'
+                        '<strong><a>repo</a></strong></div>'), "", "owner repo"),
+        ("no such rule", page("x"), "", ""),
     ]
     for rule, html, rid, want in cases:
         assert norm(extract(rule, html, rid)) == want, rule
 
 
+def test_reference_text_any_join_strategy(spark):
+    from vulnxml.operators.pages import reference_text
+    n = 40
+    pages = spark.createDataFrame([(f"https://bugs.launchpad.net/{i}", f'<span class="yui3-editable_text-text ellipsis">Text {i} ' + "x" * 3000 + "</span>")
+                                   for i in range(n) if i % 4], "url string, html string")
+    urls = spark.createDataFrame([(i, p, f"https://bugs.launchpad.net/{(i + p) % n}") for i in range(n) for p in (1, 0)], "report_id long, pos int, url string")
+    want = {str(i): " ".join(f"text {j} " + "x" * 3000 for j in (i, (i + 1) % n) if j % 4) for i in range(n)}
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in ("-1", "20000", old):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = {r["report_id"]: r["reference_text"] for r in reference_text(urls, pages.unionByName(pages)).collect()}
+            assert got == want, limit
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
 def test_svmlight_header_roundtrip(spark):
     from vulnxml.sources import formats as IO
     feats = spark.createDataFrame([(0, 3, 0.5), (0, 1, 0.25), (1, 2, 1.0), (2, 0, 2.0)],
