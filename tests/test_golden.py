@@ -163,7 +163,7 @@ def test_label_groups_cover_and_bound(spark):
     from vulnxml.operators.cluster import split_label_groups
     rows = [(f"L{i}", t, float((i * 7 + t * 3) % 5 + 1)) for i in range(11) for t in range(6) if (i + t) % 3]
     feats = spark.createDataFrame(rows, "label string, term_id long, weight double")
-    groups = split_label_groups(feats, max_leaf=3, max_iter=3, seed=1).collect()
+    groups = split_label_groups(feats, max_leaf=3, seed=1).collect()
     labels = [r["label"] for r in groups]
     assert sorted(labels) == sorted({r[0] for r in rows})  # every label exactly once
     sizes = {}
@@ -199,7 +199,7 @@ def test_vector_blocked_paths_equal_broadcast(spark, monkeypatch):
     assert [(a, b) for a, b, _ in near_small] == [(a, b) for a, b, _ in near_big]
 
 
-def _groups_brute_force(vecs, max_leaf, eps, max_iter, seed):
+def _groups_brute_force(vecs, max_leaf, eps, seed):
     """Plain-Python twin of the level-synchronous balanced 2-means."""
     import hashlib
     import math
@@ -224,21 +224,23 @@ def _groups_brute_force(vecs, max_leaf, eps, max_iter, seed):
         for n, labs in members.items():
             h = sorted(labs, key=lambda lab: (hashlib.md5(f"{seed}|{n}|{lab}".encode()).hexdigest(), lab))
             centers[(n, 0)], centers[(n, 1)] = dict(vecs[h[0]]), dict(vecs[h[1]])
-        prev, sides = None, {}
-        for _ in range(max_iter):
-            sims = []
-            for n, labs in members.items():
+        sides = {}
+        for n, labs in members.items():
+            prev = None
+            while True:
                 scored = []
                 for lab in labs:
                     d0, d1 = dot(vecs[lab], centers[(n, 0)]), dot(vecs[lab], centers[(n, 1)])
                     scored.append((round(d1 - d0, 9), lab, d0, d1))
                 scored.sort()
-                half = len(labs) // 2
+                half, sims = len(labs) // 2, []
                 for r, (_, lab, d0, d1) in enumerate(scored):
                     sides[lab] = 0 if r < half else 1
                     sims.append(d0 if r < half else d1)
-            obj = sum(sims) / len(sims)
-            for n, labs in members.items():
+                obj = sum(sims) / len(sims)
+                if prev is not None and obj - prev < eps:
+                    break
+                prev = obj
                 for side in (0, 1):
                     acc = {}
                     for lab in labs:
@@ -246,9 +248,6 @@ def _groups_brute_force(vecs, max_leaf, eps, max_iter, seed):
                             for k, x in vecs[lab].items():
                                 acc[k] = acc.get(k, 0.0) + x
                     centers[(n, side)] = norm(acc)
-            if prev is not None and obj - prev < eps:
-                break
-            prev = obj
         for n, labs in members.items():
             for lab in labs:
                 assign[lab] = n + str(sides[lab])
@@ -267,9 +266,8 @@ def test_label_groups_equal_brute_force(spark):
         vecs[f"L{i:02d}"] = {t: x / n for t, x in v.items()}
     rows = [(lab, t, x) for lab, v in vecs.items() for t, x in v.items()]
     feats = spark.createDataFrame(rows, "label string, term_id long, weight double")
-    got = {r["label"]: r["group_id"] for r in split_label_groups(feats, max_leaf=3, eps=1e-4, max_iter=4,
-                                                                  seed=5).collect()}
-    assert got == _groups_brute_force(vecs, 3, 1e-4, 4, 5)
+    got = {r["label"]: r["group_id"] for r in split_label_groups(feats, max_leaf=3, eps=1e-4, seed=5, labels=spark.createDataFrame([('bare',)], 'label string')).collect()}
+    assert got == _groups_brute_force({**vecs, "bare": {}}, 3, 1e-4, 5)
 
 
 def test_host_extraction_rules():
@@ -342,6 +340,19 @@ def test_reference_text_any_join_strategy(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_docs_without_predictions_count(spark):
+    p = spark.createDataFrame([("m", 1, 7, 1, 0.5)], "model string, doc_id long, label_id long, rank int, score double")
+    t = spark.createDataFrame([(1, 7), (2, 8)], "doc_id long, label_id long")
+    from vulnxml.operators import metrics as M
+    row = M.prf_at_k(p, t, (1,)).first()
+    assert (row["n_docs"], row["precision"], row["recall"]) == (2, 0.5, 0.5)
+    assert M.prf_at_k(p, t, (1,), group_cols=["model"]).first()["n_docs"] == 2
+    assert M.prf_at_k(p, t, (1,), docs=spark.createDataFrame([(1,), (2,), (3,), (4,)], "doc_id long")).first()["precision"] == 0.25
+    assert M.prf_pooled(p, t, (1,)).first()["precision"] == 0.5
+    assert M.precision_at(p, t, (1,)).first()["precision"] == 0.5
+    assert M.precision_k_positive(p, t, 1).first()["precision"] == 0.5
+
+
 def test_svmlight_header_roundtrip(spark):
     from vulnxml.sources import formats as IO
     feats = spark.createDataFrame([(0, 3, 0.5), (0, 1, 0.25), (1, 2, 1.0), (2, 0, 2.0)],

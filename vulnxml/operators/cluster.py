@@ -42,48 +42,56 @@ def _rank_in_node(df: DataFrame, order: list) -> DataFrame:
     return seq.join(first, "node").withColumn("_r", F.col("_seq") - F.col("_first")).drop("_seq", "_first")
 
 
-def split_label_groups(label_feats: DataFrame, max_leaf: int = 100, eps: float = 1e-4, max_iter: int = 10,
-                       seed: int = 0) -> DataFrame:
+def split_label_groups(label_feats: DataFrame, max_leaf: int = 100, eps: float = 1e-4, seed: int = 0,
+                       labels: DataFrame | None = None) -> DataFrame:
     """(label, group_id, node) - top-down balanced 2-means until every
-    node has at most ``max_leaf`` labels; finished leaves are kept."""
+    node has at most ``max_leaf`` labels; finished leaves are kept. Each node
+    goes on until its own mean similarity grows by less than ``eps``. ``labels``
+    (label): labels that may have no feature row; they have similarity 0."""
     # Materialised once: every round reads the features again.
     feats = cut_lineage(label_feats.select("label", "term_id", "weight"))
-    assign = cut_lineage(feats.select("label").distinct().withColumn("node", F.lit("")))
+    names = feats.select("label") if labels is None else feats.select("label").union(labels.select("label"))
+    assign = cut_lineage(names.distinct().withColumn("node", F.lit("")))
     while True:
         sizes = assign.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
         big = sizes.filter(F.col("n") > max_leaf).select("node")
         if big.limit(1).count() == 0:
             break
-        work = assign.join(big, "node")
-        wf = work.join(feats, "label")
+        work = cut_lineage(assign.join(big, "node"))
         # Initial centres: the two labels of smallest md5(seed|node|label).
         h = F.md5(F.concat_ws("|", F.lit(str(seed)), "node", "label"))
         init = (work.withColumn("_h", h)
                 .withColumn("_k", F.row_number().over(Window.partitionBy("node").orderBy("_h", "label")))
                 .filter("_k <= 2").select("node", "label", (F.col("_k") - 1).alias("side")))
         centers = cut_lineage(init.join(feats, "label").select("node", "side", "term_id", "weight"))
-        prev, sides = None, None
-        for _ in range(max_iter):
+        active = work.select("node").distinct().withColumn("prev", F.lit(None).cast("double"))
+        moved = None
+        while True:
+            # Only nodes that still gain are worked on.
+            open_ = work.join(active.select("node"), "node")
+            wf = open_.join(feats, "label")
             c = centers.select("node", "side", "term_id", F.col("weight").alias("cw"))
             dots = (wf.join(c, ["node", "term_id"])
                     .groupBy("node", "label").agg(
                         F.sum(F.when(F.col("side") == 0, F.col("weight") * F.col("cw")).otherwise(0.0)).alias("d0"),
                         F.sum(F.when(F.col("side") == 1, F.col("weight") * F.col("cw")).otherwise(0.0)).alias("d1")))
-            sims = (work.join(dots, ["node", "label"], "left").fillna(0.0, ["d0", "d1"])
+            sims = (open_.join(dots, ["node", "label"], "left").fillna(0.0, ["d0", "d1"])
                     # Rounded: sums have no fixed order, so near-ties resolve by label.
                     .withColumn("_diff", F.round(F.col("d1") - F.col("d0"), 9)))
             ranked = _rank_in_node(sims, ["_diff", "label"])
             sides = cut_lineage(ranked.select(
                 "node", "label", F.when(F.col("_r") < F.floor(F.col("_n") / 2), 0).otherwise(1).alias("side"),
                 F.when(F.col("_r") < F.floor(F.col("_n") / 2), F.col("d0")).otherwise(F.col("d1")).alias("_sim")))
-            obj = sides.agg(F.avg("_sim")).first()[0] or 0.0
+            gain = cut_lineage(sides.groupBy("node").agg(F.avg("_sim").alias("obj")).join(active, "node").select(
+                "node", "obj", F.coalesce(F.col("obj") - F.col("prev") < eps, F.lit(False)).alias("stop")))
+            ended = sides.join(gain.filter("stop"), "node").select("label", F.concat("node", F.col("side").cast("string")).alias("_new"))
+            moved = ended if moved is None else moved.unionByName(ended)
+            active = gain.filter("not stop").select("node", F.col("obj").alias("prev"))
+            if active.limit(1).count() == 0:
+                break
             centers = cut_lineage(_l2(
-                wf.join(sides.select("node", "label", "side"), ["node", "label"])
+                wf.join(sides.join(active, "node").select("node", "label", "side"), ["node", "label"])
                 .groupBy("node", "side", "term_id").agg(F.sum("weight").alias("weight")), ["node", "side"]))
-            if prev is not None and obj - prev < eps:
-                break
-            prev = obj
-        moved = sides.select("label", F.concat("node", F.col("side").cast("string")).alias("_new"))
         assign = cut_lineage(assign.join(moved, "label", "left")
                              .select("label", F.coalesce("_new", "node").alias("node")))
     nodes = with_sequential_id(assign.select("node").distinct(), ["node"], "group_id")

@@ -8,7 +8,7 @@ aggregate of a few numbers per doc.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUND = 6
@@ -19,85 +19,84 @@ def _hits(pred: DataFrame, truth: DataFrame, label_col: str) -> DataFrame:
     return pred.join(t, ["doc_id", label_col], "left").withColumn("_hit", F.coalesce("_true", F.lit(0)))
 
 
-def per_doc_hits(pred: DataFrame, truth: DataFrame, ks=(1, 2, 3), label_col: str = "label_id") -> DataFrame:
-    """(doc_id, n_true, h_1, h_2, ...) for every predicted doc."""
+def _evaluated(pred: DataFrame, truth: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """The documents to average over: those given, else all that have a
+    prediction or a true label."""
+    return docs.select("doc_id").distinct() if docs is not None else pred.select("doc_id").union(truth.select("doc_id")).distinct()
+
+
+def per_doc_hits(pred: DataFrame, truth: DataFrame, ks=(1, 2, 3), label_col: str = "label_id",
+                 group_cols: list[str] | None = None, docs: DataFrame | None = None) -> DataFrame:
+    """(group..., doc_id, n_true, h_1, h_2, ...) for every evaluated doc, with
+    predictions or without. Groups (such as models) are few: their list is
+    collected and each doc exploded over it."""
+    group_cols = group_cols or []
     hits = _hits(pred, truth, label_col)
     aggs = [F.sum(F.when(F.col("rank") <= k, F.col("_hit")).otherwise(0)).alias(f"h_{k}") for k in ks]
-    per_doc = hits.groupBy("doc_id").agg(*aggs)
+    found = hits.groupBy(*group_cols, "doc_id").agg(*aggs)
     n_true = truth.select("doc_id", label_col).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_true"))
-    return per_doc.join(n_true, "doc_id", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
+    base = _evaluated(pred, truth, docs).join(n_true, "doc_id", "left")
+    if group_cols:
+        groups = [F.struct(*[F.lit(v).alias(c) for c, v in zip(group_cols, g)]) for g in pred.select(*group_cols).distinct().collect()]
+        if not groups:
+            return found.withColumn("n_true", F.lit(0).cast("bigint"))
+        base = base.withColumn("_g", F.explode(F.array(*groups))).select("doc_id", "n_true", "_g.*")
+    zero = {c: 0 for c in ["n_true", *(f"h_{k}" for k in ks)]}
+    return base.join(found, [*group_cols, "doc_id"], "left").fillna(zero)
+
+
+def _for_each_k(per_doc: DataFrame, ks, group_cols: list[str], cells) -> DataFrame:
+    """One aggregate with the cells of all k, then a row for each k."""
+    aggs = [c.alias(f"{name}_{k}") for k in ks for name, c in cells(k).items()]
+    names = list(cells(ks[0]))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), *[F.col(f"{n}_{k}").alias(n) for n in names]) for k in ks])
+    return per_doc.groupBy(*group_cols).agg(*aggs).select(*group_cols, F.explode(rows).alias("_r")).select(*group_cols, "_r.*")
+
+
+def _f1() -> Column:
+    return F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
 
 
 def prf_at_k(pred: DataFrame, truth: DataFrame, ks=(1, 2, 3), label_col: str = "label_id",
-             group_cols: list[str] | None = None) -> DataFrame:
+             group_cols: list[str] | None = None, docs: DataFrame | None = None) -> DataFrame:
     """M1: P@k = mean h/k, R@k = mean h/|T| (docs without labels excluded from R and
     counted as n_unlabeled), F@k = 2PR/(P+R) of the means (0 when P+R = 0)."""
     group_cols = group_cols or []
-    per_doc = _per_doc_grouped(pred, truth, ks, label_col, group_cols)
-    rows = []
-    for k in ks:
-        h = F.col(f"h_{k}")
-        agg = per_doc.groupBy(*group_cols).agg(
-            F.avg(h / F.lit(float(k))).alias("p"),
-            F.avg(F.when(F.col("n_true") > 0, h / F.col("n_true"))).alias("r"),
-            F.count(F.lit(1)).alias("n_docs"),
-            F.sum(F.when(F.col("n_true") == 0, 1).otherwise(0)).alias("n_unlabeled"))
-        rows.append(agg.select(*group_cols, F.lit(k).alias("k"), "p", "r", "n_docs", "n_unlabeled"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
+    per_doc = per_doc_hits(pred, truth, ks, label_col, group_cols, docs)
+    out = _for_each_k(per_doc, ks, group_cols, lambda k: {
+        "p": F.avg(F.col(f"h_{k}") / F.lit(float(k))),
+        "r": F.avg(F.when(F.col("n_true") > 0, F.col(f"h_{k}") / F.col("n_true"))),
+        "n_docs": F.count(F.lit(1)), "n_unlabeled": F.sum(F.when(F.col("n_true") == 0, 1).otherwise(0))})
     return out.select(*group_cols, "k", F.round("p", ROUND).alias("precision"), F.round("r", ROUND).alias("recall"),
-                      F.round(f, ROUND).alias("f1"), F.col("n_docs").cast("bigint").alias("n_docs"),
+                      F.round(_f1(), ROUND).alias("f1"), F.col("n_docs").cast("bigint").alias("n_docs"),
                       F.col("n_unlabeled").cast("bigint").alias("n_unlabeled"))
 
 
-def _per_doc_grouped(pred, truth, ks, label_col, group_cols):
-    if not group_cols:
-        return per_doc_hits(pred, truth, ks, label_col)
-    hits = _hits(pred, truth, label_col)
-    aggs = [F.sum(F.when(F.col("rank") <= k, F.col("_hit")).otherwise(0)).alias(f"h_{k}") for k in ks]
-    per_doc = hits.groupBy(*group_cols, "doc_id").agg(*aggs)
-    n_true = truth.select("doc_id", label_col).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_true"))
-    return per_doc.join(n_true, "doc_id", "left").withColumn("n_true", F.coalesce("n_true", F.lit(0)))
-
-
-def prf_pooled(pred: DataFrame, truth: DataFrame, ks=(1, 2, 3), label_col: str = "label_id") -> DataFrame:
+def prf_pooled(pred: DataFrame, truth: DataFrame, ks=(1, 2, 3), label_col: str = "label_id", docs: DataFrame | None = None) -> DataFrame:
     """M2: pooled precision sum(h)/(N*k), recall as M1, F = 0 when P + R = 0."""
-    per_doc = per_doc_hits(pred, truth, ks, label_col)
-    rows = []
-    for k in ks:
-        h = F.col(f"h_{k}")
-        rows.append(per_doc.agg(
-            (F.sum(h) / (F.count(F.lit(1)) * F.lit(float(k)))).alias("p"),
-            F.avg(F.when(F.col("n_true") > 0, h / F.col("n_true"))).alias("r")).select(F.lit(k).alias("k"), "p", "r"))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    f = F.when(F.col("p") + F.col("r") > 0, 2 * F.col("p") * F.col("r") / (F.col("p") + F.col("r"))).otherwise(0.0)
-    return out.select("k", F.round("p", ROUND).alias("precision"), F.round("r", ROUND).alias("recall"),
-                      F.round(f, ROUND).alias("f1"))
+    per_doc = per_doc_hits(pred, truth, ks, label_col, docs=docs)
+    out = _for_each_k(per_doc, ks, [], lambda k: {
+        "p": F.sum(f"h_{k}") / (F.count(F.lit(1)) * F.lit(float(k))),
+        "r": F.avg(F.when(F.col("n_true") > 0, F.col(f"h_{k}") / F.col("n_true")))})
+    return out.select("k", F.round("p", ROUND).alias("precision"), F.round("r", ROUND).alias("recall"), F.round(_f1(), ROUND).alias("f1"))
 
 
 def precision_at(pred: DataFrame, truth: DataFrame, ks=(1, 3, 5), label_col: str = "label_id",
-                 group_cols: list[str] | None = None) -> DataFrame:
+                 group_cols: list[str] | None = None, docs: DataFrame | None = None) -> DataFrame:
     """M3: sum(h) / N / k per k (also usable for groups via label_col)."""
     group_cols = group_cols or []
-    per_doc = _per_doc_grouped(pred, truth, ks, label_col, group_cols)
-    rows = [per_doc.groupBy(*group_cols).agg((F.sum(f"h_{k}") / F.count(F.lit(1)) / F.lit(float(k))).alias("p"))
-            .select(*group_cols, F.lit(k).alias("k"), F.round("p", ROUND).alias("precision")) for k in ks]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    per_doc = per_doc_hits(pred, truth, ks, label_col, group_cols, docs)
+    out = _for_each_k(per_doc, ks, group_cols, lambda k: {"p": F.sum(f"h_{k}") / F.count(F.lit(1)) / F.lit(float(k))})
+    return out.select(*group_cols, "k", F.round("p", ROUND).alias("precision"))
 
 
-def precision_k_positive(ranked: DataFrame, truth: DataFrame, k: int, label_col: str = "label_id") -> DataFrame:
+def precision_k_positive(ranked: DataFrame, truth: DataFrame, k: int, label_col: str = "label_id", docs: DataFrame | None = None) -> DataFrame:
     """M4: top-k by score; a true label adds ceil(score), so only positive
     scores count. Returns one row (k, precision)."""
     top = ranked.filter(F.col("rank") <= k)
     hits = _hits(top, truth, label_col)
-    per_doc = hits.groupBy("doc_id").agg(F.sum(F.ceil("score") * F.col("_hit")).alias("num"))
+    found = hits.groupBy("doc_id").agg(F.sum(F.ceil("score") * F.col("_hit")).alias("num"))
+    per_doc = _evaluated(ranked, truth, docs).join(found, "doc_id", "left").fillna(0, ["num"])
     return per_doc.agg(F.avg(F.col("num") / F.lit(float(k))).alias("p")).select(
         F.lit(k).alias("k"), F.round("p", ROUND).alias("precision"))
 

@@ -33,12 +33,12 @@ S["A19_label_features"] = dsql(
 
 
 def _q_groups(spark, sf):
-    return split_label_groups(_label_feats(spark, sf), max_leaf=MAX_LEAF, max_iter=5, seed=3).select(
+    return split_label_groups(_label_feats(spark, sf), max_leaf=MAX_LEAF, seed=3, labels=fx_doclabels(spark, sf)).select(
         "label", F.col("group_id").cast("bigint").alias("group_id"), "node")
 
 
 def _q_export(spark, sf):
-    g = split_label_groups(_label_feats(spark, sf), max_leaf=MAX_LEAF, max_iter=5, seed=3)
+    g = split_label_groups(_label_feats(spark, sf), max_leaf=MAX_LEAF, seed=3, labels=fx_doclabels(spark, sf))
     return group_export(g).select(F.col("group_id").cast("bigint").alias("group_id"),
                                   F.array_join("labels", "|").alias("labels"))
 

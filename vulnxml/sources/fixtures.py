@@ -55,7 +55,7 @@ def fx_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_cpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-CPE: (report_id, cpe) long form, one row per CPE of a report."""
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey")
-    li = read_table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
     w1 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(1))
     w2 = F.split_part(F.col("p_name"), F.lit(" "), F.lit(2))
@@ -152,7 +152,7 @@ FX_SQL = {
         "select o_orderkey as report_id, 'cpe:2.3:' || case p_size % 3 when 0 then 'a' when 1 then 'o' else 'H' end "
         "|| ':' || split_part(p_name, ' ', 1) || ':' || case when p_size % 10 = 0 then split_part(p_name, ' ', 1) "
         "else split_part(p_name, ' ', 2) end || ':-:*:*:*:*:*:*:*' as cpe "
-        "from orders join (select * from lineitem where l_linenumber = 1) l on l_orderkey = o_orderkey "
+        "from orders join lineitem l on l_orderkey = o_orderkey "
         "join part on l_partkey = p_partkey"),
     "fx_cpe_lists": (
         "select o_orderkey as report_id, coalesce('[' || (select string_agg('''' || c.cpe || '''', ', ' order by c.cpe) "
