@@ -1,8 +1,9 @@
 """Column-level text functions (built-in Spark expressions only, so they stay
 inside whole-stage codegen).
 
-Regex note: Java's ``\\w`` is ASCII-only while the cleaning rules mean the
-Unicode word class, so word characters are spelled ``[\\p{L}\\p{N}_]``.
+Regex note: Java's ``\\w`` and ``\\s`` are ASCII-only while the cleaning rules
+mean the Unicode classes, so word characters are spelled ``[\\p{L}\\p{N}_]`` and
+white space ``[SPACE_SET]``.
 """
 
 from __future__ import annotations
@@ -10,9 +11,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vulnxml.functions.cpe import cpe_fields
+
 # Fixed values that must equal the reference's behaviour.
 # Unicode word character (Python's ``\w`` on str).
 WORD_CHAR = r"[\p{L}\p{N}_]"
+# Unicode white space (Python's ``\s`` and ``str.split`` on str), as a string of
+# characters and as the inside of a regex class.
+SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+SPACE_SET = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 # Characters kept by the symbol remover: ASCII letters, digits, '_' and the
 # byte range 0x20-0x2F (space ! " # $ % & ' ( ) * + , - . /).
 SYMBOLS_PATTERN = r"[^a-zA-Z_0-9 -/]+"
@@ -37,13 +45,25 @@ def text_or_empty(col) -> Column:
 
 def normalize_space(col) -> Column:
     """Whitespace runs become one space, then strip."""
-    return F.trim(F.regexp_replace(_c(col), r"\s+", " "))
+    return F.trim(F.regexp_replace(_c(col), f"[{SPACE_SET}]+", " "))
+
+
+def strip(col, side: str = "both") -> Column:
+    """White space of any kind removed at the left end or at both ends."""
+    chars = F.lit(SPACE_CHARS)
+    if side == "left":
+        return F.ltrim(_c(col), chars)
+    if side == "right":
+        return F.rtrim(_c(col), chars)
+    if side == "both":
+        return F.trim(_c(col), chars)
+    raise ValueError(f"unknown side {side!r}")
 
 
 def basic_cleaning(col) -> Column:
     """Lower -> drop non-word, non-space chars -> collapse spaces -> trim."""
     lowered = F.lower(text_or_empty(col))
-    no_punct = F.regexp_replace(lowered, r"[^\p{L}\p{N}_\s]", "")
+    no_punct = F.regexp_replace(lowered, rf"[^\p{{L}}\p{{N}}_{SPACE_SET}]", "")
     return normalize_space(no_punct)
 
 
@@ -62,7 +82,7 @@ def parse_list_repr(col) -> Column:
     ``'[]'`` gives one empty item, which marks an invalid report (J1)."""
     inner = F.expr(f"substring({_sql(col)}, 2, greatest(length({_sql(col)}) - 2, 0))")
     unquoted = F.translate(inner, "'\"", "")
-    return F.transform(F.split(unquoted, ","), lambda x: F.trim(x))
+    return F.transform(F.split(unquoted, ","), lambda x: strip(x))
 
 
 def _sql(col) -> str:
@@ -84,15 +104,16 @@ def split_labels(col, mode: str = "spaces") -> Column:
     if mode == "tags":
         return F.filter(F.split(F.translate(c, TAG_DROP_CHARS, ""), ","), lambda x: x != "")
     if mode == "symbols":
-        return F.transform(F.split(remove_symbols(c), ","), lambda x: F.trim(x))
+        return F.transform(F.split(remove_symbols(c), ","), lambda x: strip(x))
     raise ValueError(f"unknown label-list mode {mode!r}")
 
 
 def cpe_words(cpes) -> Column:
-    """Per CPE ``vendor + ' ' + product + ' '``, concatenated, duplicates kept."""
+    """Per CPE ``vendor + ' ' + product + ' '``, concatenated, duplicates
+    kept; an escaped colon belongs to its field (as P5)."""
     parts = F.transform(_c(cpes), lambda x: F.concat(
-        F.coalesce(F.get(F.split(x, ":"), 3), F.lit("")), F.lit(" "),
-        F.coalesce(F.get(F.split(x, ":"), 4), F.lit("")), F.lit(" ")))
+        F.coalesce(F.get(cpe_fields(x), 3), F.lit("")), F.lit(" "),
+        F.coalesce(F.get(cpe_fields(x), 4), F.lit("")), F.lit(" ")))
     return F.array_join(parts, "")
 
 
@@ -118,7 +139,7 @@ def feature_text(description, urls, cpes, page_text=None) -> Column:
 
 def words(col) -> Column:
     """Whitespace tokens, empty strings removed."""
-    return F.array_remove(F.split(text_or_empty(col), r"\s+"), "")
+    return F.array_remove(F.split(text_or_empty(col), f"[{SPACE_SET}]+"), "")
 
 
 def truncate_words(col, n: int) -> Column:
@@ -134,12 +155,7 @@ def strip_newlines(col) -> Column:
 
 def lower_strip(col, side: str = "both") -> Column:
     """Lower-case, then strip the left side or both sides."""
-    lowered = F.lower(text_or_empty(col))
-    if side == "left":
-        return F.ltrim(lowered)
-    if side == "both":
-        return F.trim(lowered)
-    raise ValueError(f"unknown side {side!r}")
+    return strip(F.lower(text_or_empty(col)), side)
 
 
 def tfidf_tokens(col) -> Column:

@@ -21,13 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnxml.functions.text import basic_cleaning, text_or_empty, words
+from vulnxml.functions.text import SPACE_SET, text_or_empty, words
 from vulnxml.operators.ids import with_sequential_id
 from vulnxml.session import cut_lineage
 
 WINDOW = 20
 # Characters that are not word characters or whitespace are deleted (as P1).
-NON_WORD = r"[^\p{L}\p{N}_\s]"
+NON_WORD = rf"[^\p{{L}}\p{{N}}_{SPACE_SET}]"
 
 
 def doc_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", clean: bool = True) -> DataFrame:

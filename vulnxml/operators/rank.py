@@ -30,12 +30,12 @@ def top_k(scores: DataFrame, k: int, by=("doc_id",), label_col: str = "label_id"
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def predict_labels(scores: DataFrame, lmap: DataFrame, k: int = 3) -> DataFrame:
-    """Sigmoid, rank, the first k label names per doc ->
-    (doc_id, labels = names joined by ',' best first)."""
-    ranked = top_k(scores.withColumn("score", sigmoid("score")), k)
+def predict_labels(scores: DataFrame, lmap: DataFrame, k: int = 3, by=("doc_id",)) -> DataFrame:
+    """Sigmoid, rank, the first k label names per doc (or other ``by``) ->
+    (by..., labels = names joined by ',' best first)."""
+    ranked = top_k(scores.withColumn("score", sigmoid("score")), k, by)
     named = ranked.join(lmap.select("label", "label_id"), "label_id")
-    return named.groupBy("doc_id").agg(
+    return named.groupBy(*by).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda s: s["label"]),
                      ",").alias("labels"))
 

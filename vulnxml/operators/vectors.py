@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vulnxml.functions.text import words
+
 # Largest key matrix (rows) that is broadcast whole.
 BROADCAST_MAX_ROWS = 200_000
 # Similarities are compared after rounding to this many decimals (ties -> key).
@@ -218,7 +220,7 @@ def token_bucket(tok, dim: int):
 def hashed_text_vectors(df: DataFrame, text_col: str, dim: int = 64, id_col: str = "key") -> DataFrame:
     """Bag-of-words vector of a short text (a library key): each whitespace
     token adds 1 at its md5 bucket. Stands in for a sentence encoder."""
-    toks = F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\s+"), "")
+    toks = words(text_col)
     buckets = F.transform(toks, lambda t: token_bucket(t, dim))
     vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
                       lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))

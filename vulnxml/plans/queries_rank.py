@@ -3,6 +3,7 @@ dense-vector operators (R4, R7-R9), with DuckDB twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vulnxml.functions.arrays import sigmoid
@@ -15,8 +16,7 @@ Q, S = {}, {}
 SIG = "1.0 / (1.0 + exp(-score))"
 
 
-def _m0(spark, sf):
-    return fx_scores(spark, sf).filter("model = 'm0'").select("doc_id", "label_id", "score")
+BY_MODEL = ("model", "doc_id")
 
 
 def fxs(body, extra=None):
@@ -34,11 +34,12 @@ Q["R2_sigmoid"] = lambda spark, sf: fx_scores(spark, sf).select(
     "model", "doc_id", "label_id", F.round(sigmoid("score"), 6).alias("prob"))
 S["R2_sigmoid"] = fxs(f"select model, doc_id, label_id, round({SIG}, 6) as prob from fx_scores")
 
-Q["R3_predict_labels"] = lambda spark, sf: R.predict_labels(_m0(spark, sf), fx_labelmap(spark, sf), 3)
+Q["R3_predict_labels"] = lambda spark, sf: R.predict_labels(
+    fx_scores(spark, sf), fx_labelmap(spark, sf), 3, BY_MODEL)
 S["R3_predict_labels"] = fxs(
-    "select doc_id, string_agg(label, ',' order by rank) as labels from (select s.doc_id, m.label, row_number() over "
-    f"(partition by s.doc_id order by {SIG} desc, s.label_id) as rank from fx_scores s join fx_labelmap m "
-    "using (label_id) where s.model = 'm0') x where rank <= 3 group by doc_id")
+    "select model, doc_id, string_agg(label, ',' order by rank) as labels from (select s.model, s.doc_id, m.label, "
+    f"row_number() over (partition by s.model, s.doc_id order by {SIG} desc, s.label_id) as rank from fx_scores s "
+    "join fx_labelmap m using (label_id)) x where rank <= 3 group by model, doc_id")
 
 Q["R5_ensemble_sum"] = lambda spark, sf: R.ensemble_sum(fx_scores(spark, sf)).select(
     "model", "doc_id", "label_id", F.round("score", 6).alias("score"))
@@ -62,99 +63,105 @@ S["R6_ensemble_lists"] = fxs(
     "as p from fx_scores) a) b where r <= 10 group by doc_id, label_id) c) d where rank <= 10")
 
 Q["R10_threshold_labels"] = lambda spark, sf: R.threshold_labels(
-    _m0(spark, sf).withColumn("score", sigmoid("score")), 0.5).select("doc_id", "label_id")
-S["R10_threshold_labels"] = fxs(f"select doc_id, label_id from fx_scores where model = 'm0' and {SIG} >= 0.5")
+    fx_scores(spark, sf).withColumn("score", sigmoid("score")), 0.5).select("model", "doc_id", "label_id")
+S["R10_threshold_labels"] = fxs(f"select model, doc_id, label_id from fx_scores where {SIG} >= 0.5")
 
 
 def _q_hits(spark, sf):
     from vulnxml.operators.labels import prediction_hits
-    top = R.top_k(_m0(spark, sf), 3).select("doc_id", "label_id", F.col("rank").cast("bigint").alias("rank"))
-    return prediction_hits(top, fx_truth(spark, sf)).select("doc_id", "label_id", "rank",
+    top = _top(spark, sf, 3).withColumn("rank", F.col("rank").cast("bigint"))
+    return prediction_hits(top, fx_truth(spark, sf)).select("model", "doc_id", "label_id", "rank",
                                                             F.col("hit").cast("int").alias("hit"))
 
 
 Q["J8_prediction_hits"] = _q_hits
-TOP_M0 = ("top_m0", "select doc_id, label_id, rank from (select doc_id, label_id, row_number() over (partition by "
-                    "doc_id order by score desc, label_id) as rank from fx_scores where model = 'm0') x where rank <= 5")
+TOP = ("top5", "select model, doc_id, label_id, rank from (select model, doc_id, label_id, row_number() over (partition "
+               "by model, doc_id order by score desc, label_id) as rank from fx_scores) x where rank <= 5")
 S["J8_prediction_hits"] = fxs(
-    "select p.doc_id, p.label_id, p.rank, cast(case when t.doc_id is null then 0 else 1 end as int) as hit "
-    "from top_m0 p left join fx_truth t on t.doc_id = p.doc_id and t.label_id = p.label_id where p.rank <= 3",
-    [TOP_M0])
+    "select p.model, p.doc_id, p.label_id, p.rank, cast(case when t.doc_id is null then 0 else 1 end as int) as hit "
+    "from top5 p left join fx_truth t on t.doc_id = p.doc_id and t.label_id = p.label_id where p.rank <= 3",
+    [TOP])
 
 # ------------------------------------------------------------------ metrics
-HITS = ("hits", "select p.doc_id, p.rank, case when t.doc_id is null then 0 else 1 end as hit from top_m0 p "
+HITS = ("hits", "select p.model, p.doc_id, p.rank, case when t.doc_id is null then 0 else 1 end as hit from top5 p "
                 "left join fx_truth t on t.doc_id = p.doc_id and t.label_id = p.label_id")
 NTRUE = ("ntrue", "select doc_id, count(*) as n_true from fx_truth group by doc_id")
-PERDOC = ("perdoc", "select h.doc_id, sum(case when rank <= 1 then hit else 0 end) as h_1, "
+PERDOC = ("perdoc", "select h.model, h.doc_id, sum(case when rank <= 1 then hit else 0 end) as h_1, "
                     "sum(case when rank <= 2 then hit else 0 end) as h_2, sum(case when rank <= 3 then hit else 0 end) "
                     "as h_3, sum(case when rank <= 5 then hit else 0 end) as h_5, coalesce(max(n.n_true), 0) as n_true "
-                    "from hits h left join ntrue n using (doc_id) group by h.doc_id")
+                    "from hits h left join ntrue n using (doc_id) group by h.model, h.doc_id")
 
 
 def _prf_sql(ks, extra_cols=True):
     parts = []
     for k in ks:
         parts.append(
-            f"select {k} as k, avg(h_{k} / {float(k)}) as p, avg(case when n_true > 0 then h_{k} / n_true end) as r, "
-            "count(*) as n_docs, sum(case when n_true = 0 then 1 else 0 end) as n_unlabeled from perdoc")
+            f"select model, {k} as k, avg(h_{k} / {float(k)}) as p, avg(case when n_true > 0 then h_{k} / n_true end) "
+            "as r, count(*) as n_docs, sum(case when n_true = 0 then 1 else 0 end) as n_unlabeled from perdoc group by model")
     cols = ", cast(n_docs as bigint) as n_docs, cast(n_unlabeled as bigint) as n_unlabeled" if extra_cols else ""
-    return ("select k, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / "
+    return ("select model, k, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / "
             f"(p + r) else 0.0 end, 6) as f1{cols} from (" + " union all ".join(parts) + ") x")
 
 
-def _top_m0(spark, sf, k=5):
-    return R.top_k(_m0(spark, sf), k).select("doc_id", "label_id", "rank", "score")
+def _top(spark, sf, k=5):
+    return R.top_k(fx_scores(spark, sf), k, by=BY_MODEL).select("model", "doc_id", "label_id", "rank", "score")
 
 
-Q["M1_prf_at_k"] = lambda spark, sf: M.prf_at_k(_top_m0(spark, sf), fx_truth(spark, sf), (1, 2, 3)).withColumn(
+Q["M1_prf_at_k"] = lambda spark, sf: M.prf_at_k(
+    _top(spark, sf), fx_truth(spark, sf), (1, 2, 3), group_cols=["model"]).withColumn(
     "k", F.col("k").cast("int"))
-S["M1_prf_at_k"] = fxs(_prf_sql((1, 2, 3)), [TOP_M0, HITS, NTRUE, PERDOC])
+S["M1_prf_at_k"] = fxs(_prf_sql((1, 2, 3)), [TOP, HITS, NTRUE, PERDOC])
 
-Q["M2_prf_pooled"] = lambda spark, sf: M.prf_pooled(_top_m0(spark, sf), fx_truth(spark, sf), (1, 2, 3)).withColumn(
+Q["M2_prf_pooled"] = lambda spark, sf: M.prf_pooled(
+    _top(spark, sf), fx_truth(spark, sf), (1, 2, 3), group_cols=["model"]).withColumn(
     "k", F.col("k").cast("int"))
 S["M2_prf_pooled"] = fxs(
-    "select k, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) "
+    "select model, k, round(p, 6) as precision, round(r, 6) as recall, round(case when p + r > 0 then 2 * p * r / (p + r) "
     "else 0.0 end, 6) as f1 from (" + " union all ".join(
-        f"select {k} as k, sum(h_{k}) / (count(*) * {float(k)}) as p, avg(case when n_true > 0 then h_{k} / n_true end)"
-        " as r from perdoc" for k in (1, 2, 3)) + ") x", [TOP_M0, HITS, NTRUE, PERDOC])
+        f"select model, {k} as k, sum(h_{k}) / (count(*) * {float(k)}) as p, avg(case when n_true > 0 then h_{k} / n_true end)"
+        " as r from perdoc group by model" for k in (1, 2, 3)) + ") x", [TOP, HITS, NTRUE, PERDOC])
 
-Q["M3_precision_at"] = lambda spark, sf: M.precision_at(_top_m0(spark, sf), fx_truth(spark, sf), (1, 3, 5)).withColumn(
+Q["M3_precision_at"] = lambda spark, sf: M.precision_at(
+    _top(spark, sf), fx_truth(spark, sf), (1, 3, 5), group_cols=["model"]).withColumn(
     "k", F.col("k").cast("int"))
 S["M3_precision_at"] = fxs(" union all ".join(
-    f"select {k} as k, round(sum(h_{k}) / count(*) / {float(k)}, 6) as precision from perdoc" for k in (1, 3, 5)),
-    [TOP_M0, HITS, NTRUE, PERDOC])
+    f"select model, {k} as k, round(sum(h_{k}) / count(*) / {float(k)}, 6) as precision from perdoc group by model" for k in (1, 3, 5)),
+    [TOP, HITS, NTRUE, PERDOC])
 
 
 def _q_m4(spark, sf):
-    s = _m0(spark, sf).withColumn("score", sigmoid("score"))
-    return M.precision_k_positive(R.top_k(s, 3), fx_truth(spark, sf), 3).withColumn("k", F.col("k").cast("int"))
+    s = fx_scores(spark, sf).withColumn("score", sigmoid("score"))
+    return M.precision_k_positive(R.top_k(s, 3, by=BY_MODEL), fx_truth(spark, sf), 3, group_cols=["model"]).withColumn(
+        "k", F.col("k").cast("int"))
 
 
 Q["M4_precision_k_positive"] = _q_m4
 S["M4_precision_k_positive"] = fxs(
-    "select 3 as k, round(avg(num / 3.0), 6) as precision from (select p.doc_id, sum(case when t.doc_id is null then 0 "
-    "else ceil(p.score) end) as num from (select * from (select doc_id, label_id, " + SIG + " as score, row_number() "
-    "over (partition by doc_id order by score desc, label_id) as rank from fx_scores where model = 'm0') a "
-    "where rank <= 3) p left join fx_truth t on t.doc_id = p.doc_id and t.label_id = p.label_id group by p.doc_id) x")
+    "select model, 3 as k, round(avg(num / 3.0), 6) as precision from (select p.model, p.doc_id, sum(case when t.doc_id is null then 0 "
+    "else ceil(p.score) end) as num from (select * from (select model, doc_id, label_id, " + SIG + " as score, row_number() "
+    "over (partition by model, doc_id order by score desc, label_id) as rank from fx_scores) a where rank <= 3) p "
+    "left join fx_truth t on t.doc_id = p.doc_id and t.label_id = p.label_id group by p.model, p.doc_id) x group by model")
 
 
 def _q_m5(spark, sf):
-    pred = R.threshold_labels(_m0(spark, sf).withColumn("score", sigmoid("score")), 0.5)
-    return M.f1_scores(pred, fx_truth(spark, sf), fx_labelmap(spark, sf))
+    pred = R.threshold_labels(fx_scores(spark, sf).withColumn("score", sigmoid("score")), 0.5)
+    return M.f1_scores(pred, fx_truth(spark, sf), fx_labelmap(spark, sf), group_cols=["model"])
 
 
 Q["M5_f1_scores"] = _q_m5
 S["M5_f1_scores"] = fxs(
-    "select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, "
+    "select model, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, "
     "round(case when 2 * sum(tp) + sum(fp) + sum(fn) > 0 then 2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) "
     "else 0.0 end, 6) as micro_f1, round(avg(case when 2 * tp + fp + fn > 0 then 2 * tp / (2 * tp + fp + fn) "
-    "else 0.0 end), 6) as macro_f1 from (select m.label_id, coalesce(x.tp, 0) as tp, coalesce(x.fp, 0) as fp, "
-    "coalesce(x.fn, 0) as fn from fx_labelmap m left join (select coalesce(p.label_id, t.label_id) as label_id, "
+    "else 0.0 end), 6) as macro_f1 from (select mo.model, m.label_id, coalesce(x.tp, 0) as tp, coalesce(x.fp, 0) as fp, "
+    "coalesce(x.fn, 0) as fn from fx_labelmap m cross join models mo left join (select coalesce(p.model, t.model) as model, "
+    "coalesce(p.label_id, t.label_id) as label_id, "
     "sum(case when p.doc_id is not null and t.doc_id is not null then 1 else 0 end) as tp, "
     "sum(case when p.doc_id is not null and t.doc_id is null then 1 else 0 end) as fp, "
-    "sum(case when p.doc_id is null and t.doc_id is not null then 1 else 0 end) as fn from (select doc_id, label_id "
-    f"from fx_scores where model = 'm0' and {SIG} >= 0.5) p full outer join fx_truth t on t.doc_id = p.doc_id "
-    "and t.label_id = p.label_id group by 1) x on x.label_id = m.label_id) y")
+    "sum(case when p.doc_id is null and t.doc_id is not null then 1 else 0 end) as fn from (select model, doc_id, "
+    f"label_id from fx_scores where {SIG} >= 0.5) p full outer join (select * from fx_truth cross join models) t "
+    "on t.model = p.model and t.doc_id = p.doc_id and t.label_id = p.label_id group by 1, 2) x on x.label_id = m.label_id "
+    "and x.model = mo.model) y group by model", [("models", "select distinct model from fx_scores")])
 
 
 def _q_m7(spark, sf):
@@ -354,7 +361,7 @@ def _q_r13(spark, sf):
     cands = R.sample_candidates(fx_labels(spark, sf), fx_groups(spark, sf), fx_groups(spark, sf), n=8, seed=7,
                                 keep_positives=False)
     slots = cands.select("doc_id", "label", F.row_number().over(
-        __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("doc_id").orderBy("label")).alias("slot"))
+        Window.partitionBy("doc_id").orderBy("label")).alias("slot"))
     out = R.best_candidates_targets(slots.select("doc_id", F.col("slot").cast("long").alias("slot"), "label"),
                                     fx_labels(spark, sf))
     return out.select("doc_id", "slot", "label", F.col("target").cast("int").alias("target"))

@@ -15,9 +15,18 @@ from vulnxml.sources.tables import read_table
 
 R6 = 6
 # DuckDB spellings of the shared cleaning expressions.
-SQL_CLEAN = (r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), "
-             r"'\s+', ' ', 'g'))")
-SQL_WORDS = r"list_filter(string_split_regex({c}, '\s+'), lambda w: w <> '')"
+SPACES = (r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
+          r"\x{205f}\x{3000}")
+SQL_CLEAN = (r"trim(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}_@]', '', 'g'), "
+             r"'[@]+', ' ', 'g'))").replace("@", SPACES.replace("{", "{{").replace("}", "}}"))
+SQL_WORDS = r"list_filter(string_split_regex({c}, '[@]+'), lambda w: w <> '')".replace(
+    "@", SPACES.replace("{", "{{").replace("}", "}}"))
+# Every code point of white space, for trimming.
+SPACE_POINTS = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
+SQL_TRIM_SET = " || ".join(f"chr({p})" for p in SPACE_POINTS)
+# The same texts with some letters turned into other kinds of white space.
+ODD_FROM, ODD_POINTS = "jqxz.v", [160, 8195, 133, 12288, 28, 9]
+SQL_ODD = f"translate({{c}}, '{ODD_FROM}', {' || '.join(f'chr({p})' for p in ODD_POINTS)})"
 
 
 def clean_sql(c: str) -> str:
@@ -28,6 +37,14 @@ def words_sql(c: str) -> str:
     return SQL_WORDS.format(c=c)
 
 
+def odd_sql(c: str) -> str:
+    return SQL_ODD.format(c=c)
+
+
+def odd(c: str):
+    return F.translate(c, ODD_FROM, "".join(map(chr, ODD_POINTS)))
+
+
 def docs(spark, sf):
     return read_table(spark, sf, "documents")
 
@@ -35,8 +52,10 @@ def docs(spark, sf):
 Q, S = {}, {}
 
 # ---------------------------------------------------------------- scalars (P)
-Q["P1_basic_cleaning"] = lambda spark, sf: docs(spark, sf).select("doc_id", T.basic_cleaning("text").alias("text"))
-S["P1_basic_cleaning"] = f"select doc_id, {clean_sql('text')} as text from documents"
+Q["P1_basic_cleaning"] = lambda spark, sf: docs(spark, sf).select(
+    "doc_id", T.basic_cleaning("text").alias("text"), T.basic_cleaning(odd("text")).alias("odd_text"))
+S["P1_basic_cleaning"] = (f"select doc_id, {clean_sql('text')} as text, {clean_sql(odd_sql('text'))} as odd_text "
+                          "from documents")
 
 Q["P3_remove_symbols"] = lambda spark, sf: docs(spark, sf).select("doc_id", T.remove_symbols("text").alias("text"))
 S["P3_remove_symbols"] = "select doc_id, regexp_replace(text, '[^a-zA-Z_0-9 -/]+', '', 'g') as text from documents"
@@ -123,23 +142,32 @@ S["P12_feature_text"] = with_fx(["fx_cpe"], (
     "left join (select report_id, string_agg(split_part(cpe, ':', 4) || ' ' || split_part(cpe, ':', 5) || ' ', '' "
     "order by cpe) as words from fx_cpe group by report_id) c on c.report_id = d.doc_id"))
 
-Q["P13_truncate_words"] = lambda spark, sf: docs(spark, sf).select("doc_id", T.truncate_words("text", 50).alias("text"))
+Q["P13_truncate_words"] = lambda spark, sf: docs(spark, sf).select(
+    "doc_id", T.truncate_words("text", 50).alias("text"), T.truncate_words(odd("text"), 50).alias("odd_text"))
 S["P13_truncate_words"] = (
-    "select doc_id, case when s = '' then 'filling empty' else s end as text from (select doc_id, "
-    "array_to_string(" + words_sql("lower(coalesce(text, ''))") + "[1:50], ' ') as s "
+    "select doc_id, case when s = '' then 'filling empty' else s end as text, case when o = '' then 'filling empty' "
+    "else o end as odd_text from (select doc_id, "
+    "array_to_string(" + words_sql("lower(coalesce(text, ''))") + "[1:50], ' ') as s, "
+    "array_to_string(" + words_sql(f"lower(coalesce({odd_sql('text')}, ''))") + "[1:50], ' ') as o "
     "from documents) x")
 
-Q["P14_normalize_space"] = lambda spark, sf: docs(spark, sf).select("doc_id", T.normalize_space("text").alias("text"))
-S["P14_normalize_space"] = "select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as text from documents"
+Q["P14_normalize_space"] = lambda spark, sf: docs(spark, sf).select(
+    "doc_id", T.normalize_space("text").alias("text"), T.normalize_space(odd("text")).alias("odd_text"))
+S["P14_normalize_space"] = (
+    f"select doc_id, trim(regexp_replace(text, '[{SPACES}]+', ' ', 'g')) as text, "
+    f"trim(regexp_replace({odd_sql('text')}, '[{SPACES}]+', ' ', 'g')) as odd_text from documents")
 
 Q["P15_strip_newlines"] = lambda spark, sf: docs(spark, sf).select("doc_id", T.strip_newlines("text").alias("text"))
 S["P15_strip_newlines"] = "select doc_id, replace(coalesce(text, ''), chr(10), '') as text from documents"
 
 Q["P17_lower_strip"] = lambda spark, sf: read_table(spark, sf, "conversations").select(
-    "conv_id", "turn", T.lower_strip("text", "left").alias("left_stripped"),
-    T.lower_strip("text", "both").alias("stripped"))
-S["P17_lower_strip"] = ("select conv_id, turn, ltrim(lower(coalesce(text, ''))) as left_stripped, "
-                        "trim(lower(coalesce(text, ''))) as stripped from conversations")
+    "conv_id", "turn", T.lower_strip("text", "left").alias("left_stripped"), T.lower_strip("text", "both").alias("stripped"),
+    T.lower_strip(F.concat(F.lit("\t\u00a0\n"), "text", F.lit("\u2003\n \r")), "left").alias("odd_left"),
+    T.lower_strip(F.concat(F.lit("\t\u00a0\n"), "text", F.lit("\u2003\n \r"))).alias("odd_both"))
+ODD_ENDS = "lower(coalesce(chr(9) || chr(160) || chr(10) || text || chr(8195) || chr(10) || ' ' || chr(13), ''))"
+S["P17_lower_strip"] = (f"select conv_id, turn, ltrim(lower(coalesce(text, '')), {SQL_TRIM_SET}) as left_stripped, "
+                        f"trim(lower(coalesce(text, '')), {SQL_TRIM_SET}) as stripped, ltrim({ODD_ENDS}, {SQL_TRIM_SET}) "
+                        f"as odd_left, trim({ODD_ENDS}, {SQL_TRIM_SET}) as odd_both from conversations")
 
 # ------------------------------------------------------- token operators
 TOKENS_SQL = ("tokens", f"select doc_id, unnest(ws) as word, unnest(generate_series(0, len(ws) - 1)) as pos "
@@ -157,10 +185,9 @@ S["P2_nouns_only"] = with_fx([], (
     "string_agg(word, ' ' order by pos) as text from tokens where length(word) % 2 = 0 group by doc_id) n "
     "on n.doc_id = d.doc_id"), [TOKENS_SQL])
 
-Q["G1_tokenize"] = lambda spark, sf: X.tokenize(docs(spark, sf)).groupBy("doc_id").agg(
-    F.count(F.lit(1)).cast("bigint").alias("n_tokens"), F.max("pos").cast("bigint").alias("max_pos"))
-S["G1_tokenize"] = with_fx([], ("select doc_id, count(*) as n_tokens, cast(max(pos) as bigint) as max_pos "
-                                "from tokens group by doc_id"), [TOKENS_SQL])
+Q["G1_tokenize"] = lambda spark, sf: X.tokenize(docs(spark, sf)).select(
+    "doc_id", F.col("pos").cast("bigint").alias("pos"), "word")
+S["G1_tokenize"] = with_fx([], "select doc_id, cast(pos as bigint) as pos, word from tokens", [TOKENS_SQL])
 
 Q["A5_token_frequencies"] = lambda spark, sf: X.token_frequencies(docs(spark, sf)).select(
     "doc_id", "word", F.col("cnt").cast("bigint").alias("cnt"), F.col("first_pos").cast("bigint").alias("first_pos"),
@@ -221,31 +248,43 @@ PAIRS_SQL = ("pairs", (
     "group by 1, 2"))
 
 
+def _row_sum(*cols):
+    """Sum of a number from each row's md5: every row of a group takes part
+    (millions of edges are too many to hand out one by one)."""
+    return F.sum(F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")).cast("bigint")
+
+
+def _row_sum_sql(*cols):
+    return "cast(sum(cast(('0x' || substr(md5(concat_ws('|', " + ", ".join(cols) + ")), 1, 8)) as bigint)) as bigint)"
+
+
 def _q_pairs(spark, sf):
     p = G.pair_window_count(_dw(spark, sf), mirrored=True)
-    return p.groupBy("word_a").agg(F.count(F.lit(1)).cast("bigint").alias("n_partners"),
-                                   F.sum("cnt").cast("bigint").alias("total_cnt"),
-                                   F.max("cnt").cast("bigint").alias("max_cnt"))
+    return p.groupBy("word_a").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_partners"), F.sum("cnt").cast("bigint").alias("total_cnt"),
+        _row_sum("word_b", F.col("cnt").cast("string")).alias("partners_sum"))
 
 
 Q["G4_pair_window_count"] = _q_pairs
 S["G4_pair_window_count"] = with_fx([], (
-    "select word_a, count(*) as n_partners, cast(sum(cnt) as bigint) as total_cnt, cast(max(cnt) as bigint) as max_cnt "
+    "select word_a, count(*) as n_partners, cast(sum(cnt) as bigint) as total_cnt, "
+    f"{_row_sum_sql('word_b', 'cast(cnt as varchar)')} as partners_sum "
     "from (select word_a, word_b, cnt from pairs union all select word_b, word_a, cnt from pairs) m group by word_a"),
     [WORDS_CTE, TOK_CTE, PAIRS_SQL])
 
 
 def _q_pmi(spark, sf):
     e = G.pmi_edges(_dw(spark, sf))
-    return e.groupBy("word_a").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"),
-                                   F.round(F.max("pmi"), R6).alias("max_pmi"), F.round(F.min("pmi"), R6).alias("min_pmi"))
+    return e.groupBy("word_a").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_edges"), F.round(F.max("pmi"), R6).alias("max_pmi"),
+        F.round(F.sum("pmi"), 4).alias("pmi_sum"), _row_sum("word_b").alias("partners_sum"))
 
 
 Q["G5_pmi_edges"] = _q_pmi
 S["G5_pmi_edges"] = with_fx([], (
-    "select word_a, count(*) as n_edges, round(max(pmi), 6) as max_pmi, round(min(pmi), 6) as min_pmi from ("
-    "select word_a, word_b, pmi from pmi1 where pmi > 0 union all select word_b, word_a, pmi from pmi1 where pmi > 0) e "
-    "group by word_a"),
+    "select word_a, count(*) as n_edges, round(max(pmi), 6) as max_pmi, round(sum(pmi), 4) as pmi_sum, "
+    f"{_row_sum_sql('word_b')} as partners_sum from (select word_a, word_b, pmi from pmi1 where pmi > 0 union all "
+    "select word_b, word_a, pmi from pmi1 where pmi > 0) e group by word_a"),
     [WORDS_CTE, TOK_CTE, PAIRS_SQL,
      ("nwin", "select cast(sum(greatest(len(words) - 20, 0) + 1) as double) as nw from dw"),
      ("wf", "select word, cast(sum(greatest(hi - lo + 1, 0)) as double) as f from (select word, hi, case when prev_hi "
@@ -302,9 +341,9 @@ def _q_graph_edges(spark, sf):
     sh = _graph_split(spark, sf)
     dw = _dw(spark, sf).join(sh, "doc_id")
     nodes, edges = G.assemble_graph(dw)
-    return edges.groupBy("src", "kind").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"),
-                                            F.round(F.sum("weight"), 4).alias("weight_sum")).select(
-        F.col("src").cast("bigint").alias("src"), "kind", "n_edges", "weight_sum")
+    return edges.groupBy(F.col("src").cast("bigint").alias("src"), "kind").agg(
+        F.count(F.lit(1)).cast("bigint").alias("n_edges"), F.round(F.sum("weight"), 4).alias("weight_sum"),
+        _row_sum(F.col("dst").cast("string")).alias("dst_sum"))
 
 
 GRAPH_CTES = D1_DOCS_CTES + [
@@ -335,10 +374,12 @@ GRAPH_EDGE_CTES = GRAPH_CTES + [PAIRS_SQL,
                           "(select doc_id, word, count(*) as tf from gt group by doc_id, word) t join "
                           "(select word, count(distinct doc_id) as df from gt group by word) d using (word)")]
 S["G7_assemble_graph_edges"] = with_fx(["fx_doclabels"], (
-    "select cast(src as bigint) as src, kind, count(*) as n_edges, round(sum(weight), 4) as weight_sum from ("
-    "select wa.node_id as src, 'pmi' as kind, e.pmi as weight from pmi e "
-    "join nodes wa on wa.kind = 'word' and wa.name = e.word_a "
-    "union all select dn.node_id, 'tfidf', t.weight from tfe t join nodes dn on dn.kind <> 'word' "
-    "and dn.doc_id = t.doc_id) x group by 1, 2"),
+    "select cast(src as bigint) as src, kind, count(*) as n_edges, round(sum(weight), 4) as weight_sum, "
+    f"{_row_sum_sql('cast(dst as varchar)')} as dst_sum from ("
+    "select wa.node_id as src, wb.node_id as dst, 'pmi' as kind, e.pmi as weight from pmi e "
+    "join nodes wa on wa.kind = 'word' and wa.name = e.word_a join nodes wb on wb.kind = 'word' and wb.name = e.word_b "
+    "union all select dn.node_id, wn.node_id, 'tfidf', t.weight from tfe t join nodes dn on dn.kind <> 'word' "
+    "and dn.doc_id = t.doc_id join nodes wn on wn.kind = 'word' and wn.name = t.word) x "
+    "group by 1, 2"),
     GRAPH_EDGE_CTES)
 QUERIES_TEXT, ORACLE_TEXT = Q, S
