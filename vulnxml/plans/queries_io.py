@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vulnxml.operators.labels import find_equal_labels, label_pair_lines, parse_label_pair_lines
 from vulnxml.operators import vocab as W
-from vulnxml.plans.queries_text import D1_DOCS_CTES, GRAPH_EDGE_CTES
+from vulnxml.plans.queries_text import D1_DOCS_CTES, GRAPH_EDGE_CTES, SQL_TRIM_SET
 from vulnxml.plans.queries_vocab import (LT, MODEL, TT, VOCAB_ALL, WV, _word_vectors, doc_split, fx_pairs,
                                          PAIR_CTES)
 from vulnxml.sources import formats as IO
@@ -35,19 +35,16 @@ def _q_svmlight(spark, sf):
     path = IO.scratch_dir(spark, "svmlight")
     IO.write_svmlight(feats, fx_truth(spark, sf), path)
     back = IO.read_svmlight(spark, path)
-    return back.groupBy("doc_id").agg(
-        F.size(F.first("labels")).cast("bigint").alias("n_labels"),
-        F.count("idx").cast("bigint").alias("n_feats"), F.round(F.sum("val"), 4).alias("val_sum"),
-        F.sum("idx").cast("bigint").alias("idx_sum")).withColumnRenamed("doc_id", "line_no")
+    return back.select(F.col("doc_id").alias("line_no"), F.array_join("labels", ",").alias("labels"),
+                       F.col("idx").cast("bigint").alias("idx"), F.round("val", 6).alias("val"))
 
 
 Q["I5_I6_svmlight_roundtrip"] = _q_svmlight
 S["I5_I6_svmlight_roundtrip"] = with_fx(["fx_doclabels", "fx_truth"], (
-    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, coalesce(l.n, 0) as n_labels, "
-    "coalesce(f.n, 0) as n_feats, round(coalesce(f.s, 0), 4) as val_sum, cast(coalesce(f.i, 0) as bigint) as idx_sum "
-    "from (select doc_id from fx_truth union select doc_id from feats) d left join (select doc_id, count(*) as n "
-    "from fx_truth group by doc_id) l using (doc_id) left join (select doc_id, count(*) as n, sum(weight) as s, "
-    "sum(term_id) as i from feats group by doc_id) f using (doc_id)"),
+    "select d.line_no, coalesce(l.labels, '') as labels, f.term_id as idx, round(f.weight, 6) as val from (select doc_id, "
+    "cast(row_number() over (order by doc_id) - 1 as bigint) as line_no from (select doc_id from fx_truth union select "
+    "doc_id from feats) u) d left join (select doc_id, string_agg(cast(label_id as varchar), ',' order by label_id) as "
+    "labels from fx_truth group by doc_id) l using (doc_id) left join feats f using (doc_id)"),
     D1_DOCS_CTES + [TT, MODEL, ("feats", "select doc_id, term_id, w / sqrt(sum(w * w) over (partition by doc_id)) as "
                                          "weight from (select t.doc_id, m.term_id, count(*) * max(m.idf) as w from tt t "
                                          "join model m using (term) group by t.doc_id, m.term_id) x")])
@@ -56,18 +53,21 @@ S["I5_I6_svmlight_roundtrip"] = with_fx(["fx_doclabels", "fx_truth"], (
 def _q_lines(spark, sf):
     corpus = docs(spark, sf).join(doc_split(spark, sf), "doc_id").join(_labels_array(spark, sf), "doc_id", "left")
     out = IO.scratch_dir(spark, "lines")
-    IO.write_text_label_lines(corpus, out, "train")
-    back = IO.read_parallel_lines(spark, os.path.join(out, "train_texts.txt"), os.path.join(out, "train_labels.txt"),
-                                  "train")
-    return back.select("line_no", "split", "text", F.array_join("labels", " ").alias("labels"))
+    parts = []
+    for split in ("train", "test"):
+        IO.write_text_label_lines(corpus, out, split)
+        parts.append(IO.read_parallel_lines(spark, os.path.join(out, f"{split}_texts.txt"),
+                                            os.path.join(out, f"{split}_labels.txt"), split))
+    return parts[0].unionByName(parts[1]).select("line_no", "split", "text", F.array_join("labels", " ").alias("labels"))
 
 
 Q["I7_I2_line_files_roundtrip"] = _q_lines
 S["I7_I2_line_files_roundtrip"] = with_fx(["fx_doclabels"], (
-    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, 'train' as split, "
-    "trim(replace(coalesce(d.text, ''), chr(10), '')) as text, coalesce(l.labels, '') as labels from documents d "
+    "select cast(row_number() over (partition by s.split order by d.doc_id) - 1 as bigint) as line_no, s.split, "
+    f"trim(replace(replace(coalesce(d.text, ''), chr(10), ''), chr(13), ''), {SQL_TRIM_SET}) as text, "
+    " coalesce(l.labels, '') as labels from documents d "
     "join dsplit s using (doc_id) left join (select doc_id, string_agg(label, ' ' order by label) as labels from "
-    "fx_doclabels group by doc_id) l using (doc_id) where s.split = 'train'"), D1_DOCS_CTES)
+    "fx_doclabels group by doc_id) l using (doc_id)"), D1_DOCS_CTES)
 
 
 def _q_label_lists(spark, sf):
@@ -103,13 +103,13 @@ def _q_cve_json(spark, sf):
                F.struct(F.array(item).alias("CVE_Items")).alias("result")).write.mode("overwrite").json(path)
     back = IO.read_cve_json(spark, path)
     return back.select(F.col("report_id").cast("bigint").alias("report_id"),
-                       F.length("description").cast("bigint").alias("desc_len"),
+                       "description",
                        F.array_join("cpes", "|").alias("cpes"), F.array_join("urls", "|").alias("urls"))
 
 
 Q["I4_read_cve_json"] = _q_cve_json
 S["I4_read_cve_json"] = with_fx(["fx_cpe"], (
-    "select d.doc_id as report_id, cast(length(coalesce(d.text, '')) as bigint) as desc_len, "
+    "select d.doc_id as report_id, coalesce(d.text, '') as description, "
     "coalesce(c.fwd || case when c.fwd <> '' then '|' else '' end || c.rev, '') as cpes, coalesce(p.url, '') as urls "
     "from documents d left join (select report_id, string_agg(cpe, '|' order by cpe) as fwd, string_agg(cpe, '|' "
     "order by cpe desc) as rev from fx_cpe group by report_id) c on c.report_id = d.doc_id left join pages p "
@@ -119,12 +119,15 @@ S["I4_read_cve_json"] = with_fx(["fx_cpe"], (
 def _q_prefixed(spark, sf):
     corpus = docs(spark, sf).join(_labels_array(spark, sf), "doc_id", "left")
     order = fx_labelmap(spark, sf).select("label", F.col("label_id").alias("position"))
-    return IO.prefixed_lines(corpus, order)
+    path = IO.scratch_dir(spark, "prefixed")
+    IO.write_prefixed_lines(corpus, order, path)
+    return IO.with_line_numbers(spark.read.text(path)).select("line_no", F.col("value").alias("line"))
 
 
 Q["I8_prefixed_lines"] = _q_prefixed
 S["I8_prefixed_lines"] = with_fx(["fx_labelmap"], (
-    "select d.doc_id, coalesce(p.pref, '') || ltrim(coalesce(d.text, '')) as line from documents d left join "
+    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, coalesce(p.pref, '') || "
+    f"ltrim(replace(replace(coalesce(d.text, ''), chr(10), ''), chr(13), ''), {SQL_TRIM_SET}) as line from documents d left join "
     "(select l.doc_id, string_agg('__label__' || l.label || ' ', '' order by m.label_id) as pref from fx_doclabels l "
     "join fx_labelmap m using (label) group by l.doc_id) p using (doc_id)"))
 
@@ -133,45 +136,52 @@ def _q_title_tags(spark, sf):
     lt = fx_doclabels(spark, sf).groupBy("doc_id").agg(F.concat(F.lit("['"), F.array_join(
         F.array_sort(F.collect_list("label")), "', '"), F.lit("']")).alias("label_text"))
     corpus = docs(spark, sf).join(lt, "doc_id", "left")
-    js = IO.title_tags_json(corpus)
-    back = js.select("doc_id", F.from_json("json", "title string, tags array<string>").alias("r"))
-    return back.select("doc_id", F.col("r.title").alias("title"), F.array_join("r.tags", "|").alias("tags"))
+    path = IO.scratch_dir(spark, "titletags")
+    IO.write_title_tags_json(corpus, path)
+    back = IO.with_line_numbers(spark.read.text(path)).select(
+        "line_no", F.from_json("value", "title string, tags array<string>").alias("r"))
+    return back.select("line_no", F.col("r.title").alias("title"), F.array_join("r.tags", "|").alias("tags"))
 
 
 Q["I9_title_tags_json"] = _q_title_tags
 S["I9_title_tags_json"] = with_fx(["fx_doclabels"], (
-    "select d.doc_id, trim(d.text) as title, coalesce(l.tags, '') as tags from documents d left join (select doc_id, "
+    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, "
+    f"trim(coalesce(d.text, ''), {SQL_TRIM_SET}) as title, "
+    "coalesce(l.tags, '') as tags from documents d left join (select doc_id, "
     "string_agg(replace(label, ' ', ''), '|' order by label) as tags from fx_doclabels group by doc_id) l "
     "using (doc_id)"))
 
 
 def _q_tsv(spark, sf):
-    corpus = docs(spark, sf).join(_labels_array(spark, sf), "doc_id", "left").withColumn(
-        "labels", F.coalesce("labels", F.array().cast("array<string>")))
-    path = IO.scratch_dir(spark, "tsv")
-    IO.id_labels_text_tsv(corpus).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
-    back = IO.read_id_labels_text_tsv(spark, path)
-    return back.select(F.col("id").cast("bigint").alias("doc_id"), F.array_join("labels", " ").alias("labels"),
+    corpus = docs(spark, sf).join(doc_split(spark, sf), "doc_id").join(_labels_array(spark, sf), "doc_id", "left")
+    out = IO.scratch_dir(spark, "tsv")
+    IO.write_id_labels_text_tsv(corpus.select("doc_id", "text", "split", "labels"), out)
+    parts = [IO.read_id_labels_text_tsv(spark, os.path.join(out, f"{s}.txt")).withColumn("split", F.lit(s))
+             for s in ("train", "valid", "test")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("split", F.col("id").cast("bigint").alias("doc_id"), F.array_join("labels", " ").alias("labels"),
                        F.coalesce("text", F.lit("")).alias("text"))
 
 
 Q["I10_tsv_roundtrip"] = _q_tsv
 S["I10_tsv_roundtrip"] = with_fx(["fx_doclabels"], (
-    "select d.doc_id, coalesce(l.labels, '') as labels, translate(coalesce(d.text, ''), chr(9) || chr(10), '  ') "
-    "as text from documents d left join (select doc_id, string_agg(label, ' ' order by label) as labels from "
-    "fx_doclabels group by doc_id) l using (doc_id)"))
+    "select case when v.doc_id is not null then 'valid' else s.split end as split, d.doc_id, coalesce(l.labels, '') as "
+    "labels, translate(coalesce(d.text, ''), chr(9) || chr(13) || chr(10), '   ') as text from documents d join dsplit s "
+    "using (doc_id) left join (select doc_id, string_agg(label, ' ' order by label) as labels from fx_doclabels group by "
+    "doc_id) l using (doc_id) left join (select doc_id from dsplit where split = 'train' order by md5('42|' || "
+    "cast(doc_id as varchar)), doc_id limit (select count(*) // 4 from dsplit where split = 'train')) v "
+    "on v.doc_id = d.doc_id"), D1_DOCS_CTES)
 
 
 def _q_predictions(spark, sf):
     path = IO.scratch_dir(spark, "predictions")
     IO.write_predictions(fx_scores(spark, sf), path)
-    back = IO.read_predictions(spark, path, "m1")
+    back = IO.read_predictions(spark, path)
     return back.select("model", "doc_id", "label_id", F.round("score", 6).alias("score"))
 
 
 Q["I12_predictions_roundtrip"] = _q_predictions
 S["I12_predictions_roundtrip"] = with_fx(["fx_scores"], "select model, doc_id, label_id, round(score, 6) as score "
-                                                        "from fx_scores where model = 'm1'")
+                                                        "from fx_scores")
 
 
 def _q_pairs_lines(spark, sf):
@@ -189,22 +199,21 @@ def _q_word_vectors(spark, sf):
     path = IO.scratch_dir(spark, "wordvec")
     IO.word_vector_lines(_word_vectors(spark, sf)).write.mode("overwrite").text(path)
     back = IO.read_word_vectors(spark, path)
-    return back.select("word", F.size("vec").cast("bigint").alias("dim"),
-                       F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 4).alias("vec_sum"))
+    return back.select("word", F.posexplode("vec").alias("d", "x")).select(
+        "word", F.col("d").cast("bigint").alias("d"), F.round("x", 6).alias("x"))
 
 
 Q["I14_word_vectors_roundtrip"] = _q_word_vectors
-S["I14_word_vectors_roundtrip"] = with_fx([], "select word, cast(len(vec) as bigint) as dim, round(list_sum(vec), 4) "
-                                              "as vec_sum from wv", [LT, VOCAB_ALL, WV])
+S["I14_word_vectors_roundtrip"] = with_fx([], "select word, cast(unnest(generate_series(0, len(vec) - 1)) as "
+                                              "bigint) as d, round(unnest(vec), 6) as x from wv", [LT, VOCAB_ALL, WV])
 
 
 def _q_pages(spark, sf):
-    return IO.read_pages(spark, table_path(sf, "pages")).select("page_id", "url",
-                                                                F.length("html").cast("bigint").alias("n_chars"))
+    return IO.read_pages(spark, table_path(sf, "pages")).select("page_id", "url", "html")
 
 
 Q["I16_read_pages"] = _q_pages
-S["I16_read_pages"] = "select page_id, url, cast(length(html) as bigint) as n_chars from pages"
+S["I16_read_pages"] = "select page_id, url, html from pages"
 
 QUERIES_IO, ORACLE_IO = Q, S
 
@@ -213,15 +222,22 @@ def _q_wide_csv(spark, sf):
     rl = fx_doclabels(spark, sf).select(F.col("doc_id").cast("string").alias("report_id"), "label")
     names = [r["label"] for r in fx_labelmap(spark, sf).orderBy("label_id").collect()]  # label-sized header
     reports = docs(spark, sf).select(F.col("doc_id").cast("string").alias("report_id"),
-                                     F.col("source").alias("description"))
+                                     F.col("text").alias("description"))
     path = IO.scratch_dir(spark, "widecsv")
     IO.write_reports_wide(reports, rl, names, path)
-    rep, back, header = IO.read_reports_wide(spark, path, "report_id", ["description"], ["report_id", "description"])
-    return back.select(F.col("report_id").cast("bigint").alias("doc_id"), "label")
+    rep, back, header = IO.read_reports_wide(spark, path, "report_id", ["description"], ["report_id", "description"],
+                                            multi_line=False)
+    lists = back.groupBy("report_id").agg(F.array_join(F.array_sort(F.collect_list("label")), ",").alias("labels"))
+    return rep.join(lists, "report_id", "left").select(
+        F.col("report_id").cast("bigint").alias("doc_id"), F.coalesce("description", F.lit("")).alias("description"),
+        F.coalesce("labels", F.lit("")).alias("labels"))
 
 
 QUERIES_IO["I1_reports_wide_roundtrip"] = _q_wide_csv
-ORACLE_IO["I1_reports_wide_roundtrip"] = with_fx(["fx_doclabels"], "select doc_id, label from fx_doclabels")
+ORACLE_IO["I1_reports_wide_roundtrip"] = with_fx(["fx_doclabels"], (
+    "select d.doc_id, translate(coalesce(d.text, ''), chr(13) || chr(10), '  ') as description, coalesce(l.labels, '') as "
+    "labels from documents d left join (select doc_id, string_agg(label, ',' order by label) as labels from fx_doclabels "
+    "group by doc_id) l using (doc_id)"))
 
 
 def _q_records(spark, sf):
@@ -230,13 +246,12 @@ def _q_records(spark, sf):
     path = IO.scratch_dir(spark, "records")
     IO.write_text_category_records(corpus, path)
     back = spark.read.parquet(path)
-    return back.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
-                       F.array_join("catgy", ",").alias("catgy"))
+    return back.select("doc_id", "text", F.array_join("catgy", ",").alias("catgy"))
 
 
 QUERIES_IO["I11_text_category_records"] = _q_records
 ORACLE_IO["I11_text_category_records"] = with_fx(["fx_truth"], (
-    "select d.doc_id, cast(length(d.text) as bigint) as n_chars, t.catgy from documents d join (select doc_id, "
+    "select d.doc_id, d.text, t.catgy from documents d join (select doc_id, "
     "array_to_string(list_sort(list(label_id)), ',') as catgy from fx_truth group by doc_id) t using (doc_id)"))
 
 
@@ -248,29 +263,52 @@ def _q_graph_files(spark, sf):
     nodes, edges = G.assemble_graph(dw)
     out = IO.scratch_dir(spark, "graph")
     IO.write_graph(nodes, edges, out)
-    back = spark.read.parquet(os.path.join(out, "edges"))
-    return back.groupBy("kind").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges"))
+    IO.write_graph_lists(spark.read.parquet(os.path.join(out, "nodes")), fx_labelmap(spark, sf), out)
+
+    def back(name):
+        return spark.read.parquet(os.path.join(out, name))
+    lists = [back("nodes").select(F.lit("nodes").alias("part"), "name", "kind", "node_id"),
+             back("vocab").select(F.lit("vocab"), "word", F.lit("word"), "node_id"),
+             back("labels").select(F.lit("labels"), "label", F.lit("label"), "label_id")]
+    lists += [back(f"{s}_ids").select(F.lit(f"{s}_ids"), F.col("doc_id").cast("string"), F.lit(f"{s}_doc"), "node_id")
+              for s in ("train", "test")]
+    out_rows = lists[0]
+    for part in lists[1:]:
+        out_rows = out_rows.union(part)
+    edges_back = back("edges").groupBy("src", "kind").agg(F.count(F.lit(1)).cast("bigint").alias("n_edges")).select(
+        F.lit("edges"), F.col("src").cast("string"), "kind", "n_edges")
+    return out_rows.union(edges_back).select("part", "name", "kind", F.col("node_id").cast("bigint").alias("value"))
 
 
 QUERIES_IO["I15_write_graph"] = _q_graph_files
-ORACLE_IO["I15_write_graph"] = with_fx(["fx_doclabels"], (
-    "select kind, count(*) as n_edges from (select 'pmi' as kind from pmi union all select 'tfidf' from tfe) x "
-    "group by kind"), GRAPH_EDGE_CTES)
+ORACLE_IO["I15_write_graph"] = with_fx(["fx_doclabels", "fx_labelmap"], (
+    "select 'nodes' as part, name, kind, cast(node_id as bigint) as value from nodes union all "
+    "select 'vocab', name, kind, node_id from nodes where kind = 'word' union all "
+    "select 'labels', label, 'label', label_id from fx_labelmap union all "
+    "select case kind when 'train_doc' then 'train_ids' else 'test_ids' end, name, kind, node_id from nodes "
+    "where kind <> 'word' union all "
+    "select 'edges', cast(wa.node_id as varchar), 'pmi', count(*) from pmi e join nodes wa on wa.kind = 'word' and "
+    "wa.name = e.word_a group by wa.node_id union all "
+    "select 'edges', cast(dn.node_id as varchar), 'tfidf', count(*) from tfe t join nodes dn on dn.kind <> 'word' and "
+    "dn.doc_id = t.doc_id group by dn.node_id"), GRAPH_EDGE_CTES)
 
 
 def _q_zip(spark, sf):
     corpus = docs(spark, sf).join(doc_split(spark, sf), "doc_id").join(_labels_array(spark, sf), "doc_id", "left")
     out = IO.scratch_dir(spark, "zip")
-    IO.write_text_label_lines(corpus, out, "test")
-    texts = IO.with_line_numbers(spark.read.text(os.path.join(out, "test_texts.txt")), "line_no")
-    labs = IO.with_line_numbers(spark.read.text(os.path.join(out, "test_labels.txt")), "line_no")
-    z = IO.zip_by_position(texts.withColumnRenamed("value", "text"), labs.withColumnRenamed("value", "labels"))
-    return z.select("line_no", "text", "labels")
+    parts = []
+    for split in ("train", "test"):
+        IO.write_text_label_lines(corpus, out, split)
+        texts = IO.with_line_numbers(spark.read.text(os.path.join(out, f"{split}_texts.txt")), "line_no")
+        labs = IO.with_line_numbers(spark.read.text(os.path.join(out, f"{split}_labels.txt")), "line_no")
+        z = IO.zip_by_position(texts.withColumnRenamed("value", "text"), labs.withColumnRenamed("value", "labels"))
+        parts.append(z.select(F.lit(split).alias("split"), "line_no", "text", "labels"))
+    return parts[0].unionByName(parts[1])
 
 
 QUERIES_IO["J7_zip_by_position"] = _q_zip
 ORACLE_IO["J7_zip_by_position"] = with_fx(["fx_doclabels"], (
-    "select cast(row_number() over (order by d.doc_id) - 1 as bigint) as line_no, "
-    "trim(replace(coalesce(d.text, ''), chr(10), '')) as text, coalesce(l.labels, '') as labels from documents d "
-    "join dsplit s using (doc_id) left join (select doc_id, string_agg(label, ' ' order by label) as labels from "
-    "fx_doclabels group by doc_id) l using (doc_id) where s.split = 'test'"), D1_DOCS_CTES)
+    "select s.split, cast(row_number() over (partition by s.split order by d.doc_id) - 1 as bigint) as line_no, "
+    f"trim(replace(replace(coalesce(d.text, ''), chr(10), ''), chr(13), ''), {SQL_TRIM_SET}) as text, "
+    "coalesce(l.labels, '') as labels from documents d join dsplit s using (doc_id) left join (select doc_id, "
+    "string_agg(label, ' ' order by label) as labels from fx_doclabels group by doc_id) l using (doc_id)"), D1_DOCS_CTES)

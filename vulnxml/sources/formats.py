@@ -2,9 +2,9 @@
 
 Readers return long DataFrames keyed by an explicit id; writers take
 DataFrames and write with Spark's own writers. Where a format is positional
-(parallel line files), line numbers come from the file order itself: the
-hidden ``_metadata`` columns (file path, block start) plus the row order inside
-a block, turned into dense numbers by per-partition offsets.
+(parallel line files), line numbers come from the file order itself: the row
+order inside a block plus the row counts of the blocks before it (hidden
+``_metadata`` columns), so the text is never shuffled.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vulnxml.functions.text import TAG_DROP_CHARS, split_labels, strip_newlines
-from vulnxml.operators.ids import with_sequential_id
+from vulnxml.functions.text import SPACE_SET, TAG_DROP_CHARS, split_labels, strip, text_or_empty
+from vulnxml.operators.split import holdout
 
 # Fixed values of the formats.
 LABEL_PREFIX = "__label__"
@@ -33,28 +33,65 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 
 # --------------------------------------------------------------------- CSV
 def read_reports_wide(spark: SparkSession, path: str, id_col: str, text_cols: list[str],
-                      non_label_cols: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+                      non_label_cols: list[str], label_schema: list[str] | None = None,
+                      multi_line: bool = True) -> tuple[DataFrame, DataFrame, list[str]]:
     """Wide CSV -> (reports(id, texts...), report_labels(report_id, label),
-    label names in header order). Every column is read as a string; the
-    label columns are unpivoted at once and kept where the value is 1."""
-    header = spark.read.option("header", True).csv(path).columns
-    labels = [c for c in header if c not in non_label_cols]
+    label names in header order). Every column is read as a string; a row's
+    labels are the label columns that hold 1, picked inside the row.
+
+    ``label_schema`` gives the label names of another file (a test file read
+    with the train file's labels): other columns are ignored, and labels the
+    file lacks have no rows. Files without line breaks inside fields (as
+    ``write_reports_wide`` leaves them) are read in splits with
+    ``multi_line=False``; otherwise a file is one task."""
+    header = spark.read.option("header", True).option("escape", '"').csv(path).columns
+    labels = label_schema if label_schema is not None else [c for c in header if c not in non_label_cols]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
+    raw = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
+           .schema(schema).csv(path))
     reports = raw.select(F.col(id_col).alias("report_id"), *text_cols)
-    long = raw.unpivot([id_col], labels, "label", "value") if labels else None
-    rl = (long.filter(F.trim("value").cast("double") == 1).select(F.col(id_col).alias("report_id"), "label")
-          if long is not None else spark.createDataFrame([], "report_id string, label string"))
+    ones = [F.when(F.trim(_name(c)).try_cast("double") == 1, F.lit(c)) for c in labels if c in header]
+    held = F.filter(F.array(*ones), lambda x: x.isNotNull()) if ones else F.array().cast("array<string>")
+    rl = raw.select(F.col(id_col).alias("report_id"), F.explode(held).alias("label"))
     return reports, rl, labels
 
 
+def _name(col: str) -> Column:
+    """A column whose name may hold dots or colons."""
+    return F.col(f"`{col}`")
+
+
+def one_line(col) -> Column:
+    """Line breaks of a text become spaces, so that it fits a line format."""
+    return F.translate(text_or_empty(col), "\r\n", "  ")
+
+
+def without_breaks(col) -> Column:
+    """Line breaks of a text deleted (P15, and carriage returns)."""
+    return F.translate(text_or_empty(col), "\r\n", "")
+
+
+def label_line(labels, on_space: str = "raise") -> Column:
+    """Labels joined by spaces. A label that holds white space would read back
+    as several: it raises, or its white space becomes ``_`` (``on_space="_"``)."""
+    c = F.col(labels) if isinstance(labels, str) else labels
+    c = F.coalesce(c, F.array().cast("array<string>"))
+    if on_space == "_":
+        return F.array_join(F.transform(c, lambda x: F.regexp_replace(x, f"[{SPACE_SET}]+", "_")), " ")
+    spaced = F.exists(c, lambda x: x.rlike(f"[{SPACE_SET}]"))
+    return F.when(spaced, F.raise_error(F.lit("a label holds white space")).cast("string")).otherwise(F.array_join(c, " "))
+
+
 def write_reports_wide(reports: DataFrame, report_labels: DataFrame, label_names: list[str], path: str) -> None:
     """Wide form at the boundary: one 0/1 column per label (pivot on a given,
     label-sized list)."""
     flags = (report_labels.withColumn("v", F.lit(1)).groupBy("report_id").pivot("label", label_names)
              .agg(F.max("v")).fillna(0))
-    (reports.join(flags, "report_id", "left").fillna(0, label_names)
-     .write.mode("overwrite").option("header", True).option("escape", '"').csv(path))
+    texts = [F.col(f.name) if not isinstance(f.dataType, T.StringType) or f.name == "report_id" else one_line(f.name).alias(f.name)
+             for f in reports.schema.fields]
+    (reports.select(*texts).join(flags, "report_id", "left").fillna(0, [f"`{n}`" for n in label_names])
+     .write.mode("overwrite").option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def read_label_lists(spark: SparkSession, path: str) -> DataFrame:
@@ -156,21 +193,29 @@ def read_svmlight(spark: SparkSession, path: str, has_header: bool = False) -> D
 
 
 def with_line_numbers(lines: DataFrame, col: str = "line_no") -> DataFrame:
-    """Dense 0-based line numbers in file order (path, block, row in block)."""
+    """Dense 0-based line numbers in file order: shorter paths first, then by
+    name (part-99999 before part-100000), then by block and row. A block's rows
+    are consecutive in its task, so a row's place is its running id less the
+    block's smallest; only one row per block is aggregated and ordered."""
     keyed = lines.select("*", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
                          F.monotonically_increasing_id().alias("_r"))
-    return with_sequential_id(keyed, ["_f", "_b", "_r"], col).drop("_f", "_b", "_r")
+    blocks = keyed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
+    before = F.sum("_n").over(Window.orderBy(F.length("_f"), "_f", "_b")) - F.col("_n")
+    shift = blocks.select("_f", "_b", (before - F.col("_r0")).alias("_shift"))
+    return (keyed.join(shift, ["_f", "_b"]).withColumn(col, F.col("_r") + F.col("_shift"))
+            .drop("_f", "_b", "_r", "_shift"))
 
 
 # ------------------------------------------------------------ line files
-def write_text_label_lines(corpus: DataFrame, out_dir: str, split: str) -> None:
+def write_text_label_lines(corpus: DataFrame, out_dir: str, split: str, on_space: str = "raise") -> None:
     """``{split}_texts.txt`` (stripped text) and ``{split}_labels.txt``
     (labels joined by spaces, right-stripped), both in doc_id order so line n
-    of one file belongs to line n of the other."""
+    of one file belongs to line n of the other. Line breaks of any kind inside
+    a text are deleted; labels with white space as in ``label_line``."""
     c = corpus.filter(F.col("split") == split).orderBy("doc_id")
-    c.select(F.trim(strip_newlines("text")).alias("value")).write.mode("overwrite").text(
+    c.select(strip(without_breaks("text")).alias("value")).write.mode("overwrite").text(
         os.path.join(out_dir, f"{split}_texts.txt"))
-    c.select(F.rtrim(F.array_join("labels", " ")).alias("value")).write.mode("overwrite").text(
+    c.select(strip(label_line("labels", on_space), "right").alias("value")).write.mode("overwrite").text(
         os.path.join(out_dir, f"{split}_labels.txt"))
 
 
@@ -195,33 +240,59 @@ def zip_by_position(a: DataFrame, b: DataFrame, key: str = "line_no") -> DataFra
 def prefixed_lines(corpus: DataFrame, label_order: DataFrame, prefix: str = LABEL_PREFIX) -> DataFrame:
     """I8: ``__label__A __label__B text`` (labels in header order, text
     left-stripped); a doc without labels is its text alone. corpus has
-    (doc_id, text, label) long rows; label_order (label, position)."""
+    (doc_id, text, labels array); label_order (label, position)."""
     lab = (corpus.select("doc_id", F.explode_outer("labels").alias("label")).filter("label is not null")
            .join(label_order, "label")
            .groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("_l")))
     pref = F.array_join(F.transform("_l", lambda s: F.concat(F.lit(prefix), s["label"], F.lit(" "))), "")
     return (corpus.select("doc_id", "text").join(lab, "doc_id", "left")
-            .select("doc_id", F.concat(F.coalesce(pref, F.lit("")), F.ltrim(F.coalesce("text", F.lit(""))))
+            .select("doc_id", F.concat(F.coalesce(pref, F.lit("")), strip(text_or_empty("text"), "left"))
                     .alias("line")))
 
 
+def write_prefixed_lines(corpus: DataFrame, label_order: DataFrame, path: str, prefix: str = LABEL_PREFIX) -> None:
+    """I8 as a text file in doc_id order; line breaks inside a text are deleted."""
+    flat = corpus.withColumn("text", without_breaks("text"))
+    prefixed_lines(flat, label_order, prefix).orderBy("doc_id").select(F.col("line").alias("value")).write.mode(
+        "overwrite").text(path)
+
+
+def write_title_tags_json(corpus: DataFrame, path: str) -> None:
+    """I9 as a JSON-lines file in doc_id order."""
+    title_tags_json(corpus).orderBy("doc_id").select(F.col("json").alias("value")).write.mode("overwrite").text(path)
+
+
 def title_tags_json(corpus: DataFrame) -> DataFrame:
     """JSON line ``{"title": stripped text, "tags": [...]}``; tags drop
     brackets, quotes and all spaces, then split on commas."""
     tags = F.filter(F.split(F.translate(F.coalesce("label_text", F.lit("")), TAG_DROP_CHARS, ""), ","),
                     lambda x: x != "")
-    return corpus.select("doc_id", F.to_json(F.struct(F.trim("text").alias("title"), tags.alias("tags"))).alias("json"))
+    return corpus.select("doc_id", F.to_json(F.struct(strip(text_or_empty("text")).alias("title"), tags.alias("tags")))
+                         .alias("json"))
 
 
 def id_labels_text_tsv(corpus: DataFrame) -> DataFrame:
     """``id \\t "l1 l2" \\t text`` (an empty label field is kept)."""
-    return corpus.select("doc_id", F.concat_ws("\t", F.col("doc_id").cast("string"),
-                                               F.array_join("labels", " "),
-                                               F.translate(F.coalesce("text", F.lit("")), "\t\n", "  ")).alias("line"))
+    return corpus.select("doc_id", F.concat_ws("\t", F.col("doc_id").cast("string"), label_line("labels"),
+                                               F.translate(text_or_empty("text"), "\t\r\n", "   ")).alias("line"))
+
+
+def write_id_labels_text_tsv(corpus: DataFrame, out_dir: str, seed: int = 42, valid_num: int = 1,
+                             valid_den: int = 4) -> None:
+    """I10 as files ``train.txt``, ``valid.txt`` and ``test.txt``: of the
+    corpus's train rows floor(n * valid_num / valid_den), a quarter as a rule,
+    go to the validation file (smallest seeded hash first)."""
+    n_train = corpus.filter("split = 'train'").count()
+    parts = holdout(corpus, n_train * valid_num // valid_den, seed)
+    for name in ("train", "valid", "test"):
+        rows = parts.filter(F.col("split") == name)
+        id_labels_text_tsv(rows).select(F.col("line").alias("value")).write.mode("overwrite").text(
+            os.path.join(out_dir, f"{name}.txt"))
 
 
 def read_id_labels_text_tsv(spark: SparkSession, path: str) -> DataFrame:
-    df = (spark.read.option("sep", "\t").option("quote", "").schema("id string, labels string, text string").csv(path))
+    df = (spark.read.option("sep", "\t").option("quote", "").schema("id string, labels string, text string")
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return df.select("id", F.filter(F.split(F.coalesce("labels", F.lit("")), " "), lambda x: x != "").alias("labels"),
                      "text")
 
@@ -259,6 +330,17 @@ def write_graph(nodes: DataFrame, edges: DataFrame, out_dir: str) -> None:
     edges.write.mode("overwrite").partitionBy("kind").parquet(os.path.join(out_dir, "edges"))
 
 
+def write_graph_lists(nodes: DataFrame, label_map: DataFrame, out_dir: str) -> None:
+    """I15, the lists beside the graph: ``vocab`` (word, node_id), ``labels``
+    (label, label_id), ``train_ids`` and ``test_ids`` (doc_id, node_id)."""
+    def save(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
+    save(nodes.filter("kind = 'word'").select(F.col("name").alias("word"), "node_id"), "vocab")
+    save(label_map.select("label", "label_id"), "labels")
+    for split in ("train", "test"):
+        save(nodes.filter(F.col("kind") == f"{split}_doc").select("doc_id", "node_id"), f"{split}_ids")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """I16: saved reference pages (page_id, url, html)."""
     return spark.read.parquet(path).select("page_id", "url", "html")
