@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnxml.operators.ids import join_small, with_sequential_id
+from vulnxml.operators.ids import with_sequential_id
 from vulnxml.session import cut_lineage
 
 
@@ -22,7 +22,7 @@ def _l2(df: DataFrame, keys: list[str], w: str = "weight") -> DataFrame:
     joined back with a size-checked broadcast, so a key holding a large share
     of the rows is never gathered into one task."""
     norms = df.groupBy(*keys).agg(F.sqrt(F.sum(F.col(w) * F.col(w))).alias("_norm"))
-    out = join_small(df, norms, keys)
+    out = df.join(norms, keys)
     return out.withColumn(w, F.when(F.col("_norm") > 0, F.col(w) / F.col("_norm")).otherwise(F.col(w))).drop("_norm")
 
 

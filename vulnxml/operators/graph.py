@@ -10,10 +10,11 @@ starts 0..M. Closed forms (exact, equal to enumerating the windows):
 The corpus is tokenised and encoded once (word id = xxhash64 of the word,
 computed in-row; a collision check on the vocabulary falls back to exact
 sequential ids) and that table is checkpointed; window counts, pairs, PMI and
-TF-IDF edges are all derived from it with integer keys. Pairs come from the
-id array zipped with itself shifted by d = 1..w-1 (O(L * w) rows per doc,
-built-in expressions only), summed with map-side partial aggregation, and
-decoded to words only at the end.
+TF-IDF edges are all derived from it with integer keys. Pairs come from each
+position's slice of the next w-1 ids (O(L * w) per doc, built-in expressions
+only), summed with map-side partial aggregation; what is known of a word (its
+window count and name or node id) sits in one vocabulary table that is joined
+once for each end of a pair, and both orders come from the joined row.
 """
 
 from __future__ import annotations
@@ -71,19 +72,16 @@ def encode_words(dw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def encode_docs(dw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Encode once, in-row: wid = xxhash64(word). Two reliable checkpoints come
-    from one pass over the text: the id arrays (hash-partitioned by doc over
-    the shuffle partitions, which evens out very unequal doc lengths) and the
-    vocabulary. If two words of the vocabulary share a hash, the exact
+    """Encode once, in-row: wid = xxhash64(word). The encoded docs are one
+    reliable checkpoint (hash-partitioned by doc over the shuffle partitions,
+    which evens out very unequal doc lengths); the vocabulary is read off it. If two words of the vocabulary share a hash, the exact
     sequential encoding is used instead."""
     spark = dw.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = dw.select("doc_id", "n_tokens", "words",
-                     F.transform("words", lambda x: F.xxhash64(x)).alias("wids")).persist()
-    enc = cut_lineage(base.select("doc_id", "n_tokens", "wids").repartition(parts, "doc_id"))
-    vocab = cut_lineage(base.select(F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("wids").alias("wid"))))
-                        .select("col.word", "col.wid").distinct())
-    base.unpersist()
+    base = cut_lineage(dw.select("doc_id", "n_tokens", "words", F.transform("words", lambda x: F.xxhash64(x)).alias("wids"))
+                       .repartition(parts, "doc_id"))
+    enc = base.select("doc_id", "n_tokens", "wids")
+    vocab = cut_lineage(base.select(F.explode("words").alias("word")).distinct().withColumn("wid", F.xxhash64("word")))
     clash = vocab.groupBy("wid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     if clash.limit(1).count() > 0:
         vocab, exact = encode_words(dw)
@@ -112,17 +110,13 @@ def window_freq_ids(enc: DataFrame, w: int = WINDOW) -> DataFrame:
 
 def _pair_ids(enc: DataFrame, w: int) -> DataFrame:
     """Canonical id pairs (a < b) with their window counts."""
-    # One row per (doc, offset d): the ids zipped with themselves shifted by d
-    # give every pair at distance d. Work is O(L * w) per doc, built-in
-    # expressions only, and no row ever holds more than one doc.
-    shifted = enc.filter(F.col("n_tokens") > 1).select(
-        "n_tokens", "wids", F.explode(F.sequence(F.lit(1), F.lit(w - 1))).alias("d"))
-    zipped = F.arrays_zip(F.col("wids").alias("a"), F.slice("wids", F.col("d") + 1, F.col("n_tokens")).alias("b"))
-    pairs = (shifted.select("n_tokens", "d", F.posexplode(zipped).alias("i", "z"))
-             .select("n_tokens", "d", "i", F.col("z.a").alias("wi"), F.col("z.b").alias("wj"))
-             .filter(F.col("wj").isNotNull() & (F.col("wi") != F.col("wj"))))
+    # One row per position with the ids that follow it inside the window.
+    near = F.transform("wids", lambda x, i: F.struct(x.alias("a"), F.slice("wids", i + 2, w - 1).alias("nb")))
+    rows = enc.filter(F.col("n_tokens") > 1).select("n_tokens", F.posexplode(near).alias("i", "z"))
+    pairs = (rows.select("n_tokens", "i", F.col("z.a").alias("wi"), F.posexplode("z.nb").alias("d", "wj"))
+             .filter(F.col("wi") != F.col("wj")))
     m = F.greatest(F.col("n_tokens") - w, F.lit(0))
-    j = F.col("i") + F.col("d")
+    j = F.col("i") + F.col("d") + 1
     weight = F.least(F.col("i"), m) - F.greatest(F.lit(0), j - w + 1) + 1
     return (pairs.select(F.least("wi", "wj").alias("a"), F.greatest("wi", "wj").alias("b"), weight.alias("c"))
             .groupBy("a", "b").agg(F.sum("c").cast("bigint").alias("cnt")))
@@ -139,27 +133,34 @@ def pair_window_count(dw: DataFrame, w: int = WINDOW, mirrored: bool = True) ->
     different words, counted in both orders (repeats count)."""
     vocab, enc = encode_docs(dw)
     canon = _decode(_pair_ids(enc, w), vocab)
-    if not mirrored:
-        return canon
-    return canon.unionByName(canon.select(F.col("word_b").alias("word_a"), F.col("word_a").alias("word_b"), "cnt"))
+    return _both_orders(canon, "word_a", "word_b", "cnt") if mirrored else canon
 
 
-def pmi_ids(vocab: DataFrame, enc: DataFrame, w: int = WINDOW) -> DataFrame:
-    """G5 in id space: (a, b, pmi) in both orders, pmi > 0."""
+def _both_orders(pairs: DataFrame, a: str, b: str, value: str) -> DataFrame:
+    """Each pair in both orders, from one evaluation of ``pairs``."""
+    ends = F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))
+    return (pairs.select(F.explode(ends).alias("e"), value)
+            .select(F.col("e.x").alias(a), F.col("e.y").alias(b), value))
+
+
+def pmi_named(vocab: DataFrame, enc: DataFrame, name_col: str, w: int = WINDOW) -> DataFrame:
+    """(a, b, pmi) in both orders, pmi > 0, with the vocabulary's
+    ``name_col`` (word or node id) for each end."""
     n = float(enc.agg(F.sum(F.greatest(F.col("n_tokens") - w, F.lit(0)) + 1)).first()[0] or 0)
-    freq = window_freq_ids(enc, w)
-    fa = freq.select(F.col("wid").alias("a"), F.col("window_freq").alias("fa"))
-    fb = freq.select(F.col("wid").alias("b"), F.col("window_freq").alias("fb"))
+    facts = cut_lineage(vocab.select("wid", F.col(name_col).alias("name")).join(window_freq_ids(enc, w), "wid"))
+    fa = facts.select(F.col("wid").alias("a"), F.col("window_freq").alias("fa"), F.col("name").alias("na"))
+    fb = facts.select(F.col("wid").alias("b"), F.col("window_freq").alias("fb"), F.col("name").alias("nb"))
     pmi = F.log((F.col("cnt") / F.lit(n)) / (F.col("fa") * F.col("fb") / F.lit(n * n)))
-    edges = _pair_ids(enc, w).join(fa, "a").join(fb, "b").select("a", "b", pmi.alias("pmi")).filter("pmi > 0")
-    return edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "pmi"))
+    edges = (_pair_ids(enc, w).join(fa, "a").join(fb, "b")
+             .select(F.col("na").alias("a"), F.col("nb").alias("b"), pmi.alias("pmi")).filter("pmi > 0"))
+    return _both_orders(edges, "a", "b", "pmi")
 
 
 def pmi_edges(dw: DataFrame, w: int = WINDOW) -> DataFrame:
     """(word_a, word_b, pmi) with pmi = ln((c/n) / (fa*fb/n^2)) > 0, both
     orders. Computed on canonical integer pairs, decoded at the end."""
     vocab, enc = encode_docs(dw)
-    return _decode(pmi_ids(vocab, enc, w), vocab, "pmi")
+    return pmi_named(vocab, enc, "word", w).select(F.col("a").alias("word_a"), F.col("b").alias("word_b"), "pmi")
 
 
 def tfidf_ids(enc: DataFrame) -> DataFrame:
@@ -204,10 +205,8 @@ def assemble_graph(dw_split: DataFrame, w: int = WINDOW) -> tuple[DataFrame, Dat
     word_nodes = wnode.select(F.lit(None).cast("long").alias("doc_id"), "node_id", F.lit("word").alias("kind"),
                               F.col("word").alias("name"))
     nodes = doc_nodes.unionByName(word_nodes)
-    ida = wnode.select(F.col("wid").alias("a"), F.col("node_id").alias("src"))
-    idb = wnode.select(F.col("wid").alias("b"), F.col("node_id").alias("dst"))
-    pmi = (pmi_ids(vocab, enc, w).join(ida, "a").join(idb, "b")
-           .select("src", "dst", F.col("pmi").alias("weight"), F.lit("pmi").alias("kind")))
+    pmi = pmi_named(wnode, enc, "node_id", w).select(
+        F.col("a").alias("src"), F.col("b").alias("dst"), F.col("pmi").alias("weight"), F.lit("pmi").alias("kind"))
     tfidf = (tfidf_ids(enc)
              .join(doc_nodes.select("doc_id", F.col("node_id").alias("src")), "doc_id")
              .join(wnode.select("wid", F.col("node_id").alias("dst")), "wid")

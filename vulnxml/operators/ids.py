@@ -3,15 +3,17 @@
 ``row_number() over (order by ...)`` with no ``partitionBy`` pulls every row
 into one task. Here the rows are range-partitioned on the order key (so even a
 hot prefix of the key is split across tasks), numbered inside each partition,
-and shifted by the row counts of the partitions before them. The only thing
-collected is one count per partition.
+and shifted by the row counts of the partitions before them. The numbered rows
+are a reliable checkpoint in the shared folder, so nothing stays persisted on
+executors. The only thing collected is one count per partition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from vulnxml.session import cut_lineage
 
 
 def _num_partitions(df: DataFrame, num_partitions: int | None) -> int:
@@ -27,11 +29,10 @@ def with_sequential_id(df: DataFrame, order_cols: list, id_col: str = "seq_id",
     ``order_cols`` must be a total order (end it with a unique key) so that a
     recomputed partition after an executor loss gets the same ids."""
     n = _num_partitions(df, num_partitions)
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols)
-              .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_mid", F.monotonically_increasing_id()))
-    ranged = ranged.persist()
+    ranged = cut_lineage(df.repartitionByRange(n, *order_cols)
+                         .sortWithinPartitions(*order_cols)
+                         .withColumn("_pid", F.spark_partition_id())
+                         .withColumn("_mid", F.monotonically_increasing_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_m0"))
     # One row per partition: bounded by the partition count, not by the data.
     rows = sorted(counts.collect(), key=lambda r: r["_pid"])
@@ -45,20 +46,3 @@ def with_sequential_id(df: DataFrame, order_cols: list, id_col: str = "seq_id",
             .withColumn(id_col, F.col("_mid") + F.col("_shift"))
             .drop("_pid", "_mid", "_shift"))
 
-
-def small_row_number(df: DataFrame, order_cols: list, id_col: str, start: int = 0) -> DataFrame:
-    """Ordered ids for label-sized tables (labels, rules, groups): one window."""
-    return df.withColumn(id_col, (F.row_number().over(Window.orderBy(*order_cols)) - 1 + start).cast("bigint"))
-
-
-# Largest row count of a table that may be broadcast after an explicit check.
-BROADCAST_CHECK_ROWS = 1_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner",
-               max_rows: int = BROADCAST_CHECK_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only when a bounded count proves it has at
-    most ``max_rows`` rows (one cheap job); otherwise a normal shuffle join."""
-    if small.limit(max_rows + 1).count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)

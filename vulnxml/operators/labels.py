@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnxml.functions.text import split_labels
+from vulnxml.session import cut_lineage
 
 PAIR_SEP = " == "
 MERGE_SEP = ";"
@@ -21,14 +22,20 @@ def label_fingerprints(report_labels: DataFrame, label_names: DataFrame) -> Data
     """(label, position, n, s1, s2, s3): an order-free fingerprint of each
     label's report set, built by plain sums (partial aggregation, no list of
     report ids is ever collected). Labels without reports get zeros."""
-    rl = report_labels.select("report_id", "label").distinct()
+    return _fingerprints(report_labels.select("report_id", "label").distinct(), label_names)
+
+
+FINGERPRINT = ["n", "s1", "s2", "s3"]
+
+
+def _fingerprints(rl: DataFrame, label_names: DataFrame) -> DataFrame:
     fp = rl.groupBy("label").agg(
         F.count(F.lit(1)).cast("bigint").alias("n"),
         F.sum(F.hash("report_id").cast("bigint")).alias("s1"),
         F.sum(F.hash("report_id", F.lit(1)).cast("bigint")).alias("s2"),
         F.sum(F.hash(F.lit(2), "report_id").cast("bigint")).alias("s3"))
     return (label_names.select("label", "position").join(fp, "label", "left")
-            .fillna(0, ["n", "s1", "s2", "s3"]))
+            .fillna(0, FINGERPRINT))
 
 
 def find_equal_labels(report_labels: DataFrame, label_names: DataFrame) -> DataFrame:
@@ -36,21 +43,27 @@ def find_equal_labels(report_labels: DataFrame, label_names: DataFrame) -> DataF
     head is the first label of the class in header order. One pair per
     non-head member (the class is fully described without listing every pair).
 
-    Candidates share a fingerprint; each member is then verified exactly
-    against its head with one join (|member ∩ head| = n), so a hash collision
-    can never merge two different labels."""
-    fp = label_fingerprints(report_labels, label_names)
-    heads = (fp.groupBy("n", "s1", "s2", "s3")
-             .agg(F.min(F.struct("position", "label")).alias("_h"))
-             .select("n", "s1", "s2", "s3", F.col("_h.label").alias("head")))
-    cand = fp.join(heads, ["n", "s1", "s2", "s3"]).filter(F.col("label") != F.col("head")).select("label", "head", "n")
-    rl = report_labels.select("report_id", "label").distinct()
-    both = (rl.join(cand.select("label", "head"), "label")
-            .join(rl.select("report_id", F.col("label").alias("head")), ["report_id", "head"], "left_semi"))
-    shared = both.groupBy("label").agg(F.count(F.lit(1)).alias("_shared"))
-    verified = (cand.join(shared, "label", "left").fillna(0, ["_shared"])
-                .filter(F.col("_shared") == F.col("n")))
-    return verified.select("head", "label")
+    Candidates share a fingerprint; each is verified exactly against the first
+    of them with one join (|member and head| = n). Labels that differ from
+    their head although the fingerprints agree are compared among themselves
+    in a further round, so a collision neither merges nor hides anything."""
+    rl = cut_lineage(report_labels.select("report_id", "label").distinct())
+    rest = cut_lineage(_fingerprints(rl, label_names))
+    found = None
+    while True:
+        heads = (rest.groupBy(*FINGERPRINT).agg(F.min(F.struct("position", "label")).alias("_h"))
+                 .select(*FINGERPRINT, F.col("_h.label").alias("head")))
+        cand = rest.join(heads, FINGERPRINT).filter(F.col("label") != F.col("head"))
+        both = (rl.join(cand.select("label", "head"), "label")
+                .join(rl.select("report_id", F.col("label").alias("head")), ["report_id", "head"], "left_semi"))
+        shared = both.groupBy("label").agg(F.count(F.lit(1)).alias("_shared"))
+        judged = cut_lineage(cand.join(shared, "label", "left").withColumn(
+            "_same", F.coalesce("_shared", F.lit(0)) == F.col("n")))
+        same = judged.filter("_same").select("head", "label")
+        found = same if found is None else found.unionByName(same)
+        rest = judged.filter("not _same").select("label", "position", *FINGERPRINT)
+        if rest.isEmpty():
+            return found
 
 
 def label_pair_lines(pairs: DataFrame) -> DataFrame:

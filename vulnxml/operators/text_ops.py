@@ -25,10 +25,16 @@ def tokenize(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", clea
     return df.select(F.col(id_col).alias("doc_id"), F.posexplode(words(text)).alias("pos", "word"))
 
 
+def word_positions(tokens: DataFrame) -> DataFrame:
+    """(doc_id, word, positions): a doc's tokens gathered per word, before a
+    join on the word (bounded by that doc)."""
+    return tokens.groupBy("doc_id", "word").agg(F.collect_list("pos").alias("positions"))
+
+
 def reassemble(tokens: DataFrame, docs: DataFrame, id_col: str = "doc_id", out_col: str = "text") -> DataFrame:
-    """Join each doc's surviving tokens back into one text in position order;
-    docs with no token left get ''."""
-    joined = (tokens.groupBy(id_col)
+    """Join each doc's surviving words (``word_positions`` rows) back into one
+    text in position order; docs with no token left get ''."""
+    joined = (tokens.select(id_col, "word", F.explode("positions").alias("pos")).groupBy(id_col)
               .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "word"))),
                                             lambda s: s["word"]), " ").alias(out_col)))
     return (docs.select(id_col).distinct().join(joined, id_col, "left")
@@ -40,7 +46,7 @@ def nouns_only(df: DataFrame, tags: DataFrame, text_col: str = "text", id_col: s
     the output of any part-of-speech tagger (not built here)."""
     toks = tokenize(df, text_col, id_col, clean=False).withColumn("word", F.lower("word"))
     nouns = tags.filter(F.col("tag").isin(*NOUN_TAGS)).select("word").distinct()
-    kept = toks.join(nouns, "word", "left_semi")
+    kept = word_positions(toks).join(nouns, "word", "left_semi")
     out = reassemble(kept, df.select(F.col(id_col).alias("doc_id")), "doc_id", "text")
     return out.select("doc_id", basic_cleaning("text").alias("text"))
 
@@ -78,7 +84,7 @@ def remove_frequent_words(df: DataFrame, stop_words: DataFrame, text_col: str =
                           id_col: str = "doc_id") -> DataFrame:
     """Delete the listed words from each cleaned text, keeping order."""
     toks = tokenize(df, text_col, id_col)
-    kept = toks.join(stop_words.select("word").distinct(), "word", "left_anti")
+    kept = word_positions(toks).join(stop_words.select("word").distinct(), "word", "left_anti")
     return reassemble(kept, df.select(F.col(id_col).alias("doc_id")), "doc_id", "text")
 
 

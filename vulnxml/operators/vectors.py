@@ -22,8 +22,6 @@ from vulnxml.functions.text import words
 BROADCAST_MAX_ROWS = 200_000
 # Similarities are compared after rounding to this many decimals (ties -> key).
 SIM_DECIMALS = 9
-# Byte budget of a broadcast vector table (rows are checked against it / row size).
-BROADCAST_BYTES = 256 << 20
 # Rows per key block / query chunk in the blocked plan.
 BLOCK_ROWS = 50_000
 
@@ -195,13 +193,10 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, dim: int, id_col: str =
     with map-side partial aggregation; then one re-assembly per doc."""
     n_tok = tokens.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
     # Count each (doc, word) once, then weight its vector by the count: the
-    # per-dimension rows are one per distinct (doc, word), not one per token.
-    # Tokens without a vector add nothing: dropped first by a semi join.
-    from vulnxml.operators.ids import join_small
-    vec_tab = vectors.select(word_col, "vec")
-    tf = (join_small(tokens, vectors.select(word_col), word_col, "left_semi")
-          .groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf")))
-    comps = (join_small(tf, vec_tab, word_col, max_rows=BROADCAST_BYTES // (8 * dim + 64))
+    # per-dimension rows are one per distinct (doc, word), not one per token,
+    # and a frequent word has at most one row per doc in the join.
+    tf = tokens.groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf"))
+    comps = (tf.join(vectors.select(word_col, "vec"), word_col)
              .select(id_col, "_tf", F.posexplode("vec").alias("d", "x"))
              .groupBy(id_col, "d").agg(F.sum(F.col("x") * F.col("_tf")).alias("s")))
     per_doc = comps.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("d", "s"))).alias("_m"))
