@@ -179,7 +179,7 @@ def test_entry_smoke(spark):
     assert set(E.oracle_sql()) <= set(E.queries())
 
 
-def test_vector_blocked_paths_equal_broadcast(spark, monkeypatch):
+def test_vector_blocks_any_size(spark, monkeypatch):
     import vulnxml.operators.vectors as V
     rows = [(i, [float((i * 3 + d) % 7 - 3) for d in range(4)]) for i in range(40)]
     vecs = spark.createDataFrame(rows, "doc_id long, vec array<double>")
@@ -190,13 +190,20 @@ def test_vector_blocked_paths_equal_broadcast(spark, monkeypatch):
     queries = vecs.selectExpr("cast(doc_id as string) as query", "vec")
     small = sorted(tuple(r) for r in V.linear_scores(vecs, weights).collect())
     near_small = sorted(tuple(r) for r in V.nearest_key(queries, keys).collect())
-    monkeypatch.setattr(V, "BROADCAST_MAX_ROWS", 2)
-    monkeypatch.setattr(V, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(V, "BLOCK_BYTES", 4 * 8 * 2)
     big = sorted(tuple(r) for r in V.linear_scores(vecs, weights).collect())
     near_big = sorted(tuple(r) for r in V.nearest_key(queries, keys).collect())
     assert [(a, b) for a, b, _ in small] == [(a, b) for a, b, _ in big]
     assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(small, big))
     assert [(a, b) for a, b, _ in near_small] == [(a, b) for a, b, _ in near_big]
+    best = sorted(tuple(r) for r in V.linear_scores(vecs, weights, k=2).collect())
+    want = []
+    for d, v in rows:
+        s = [(round(sum(x * float((j + i) % 5 - 2) for i, x in enumerate(v)) + 0.5 * j, 9), j) for j in range(9)]
+        want += [(d, j, sc) for sc, j in sorted(s, key=lambda t: (-t[0], t[1]))[:2]]
+    assert best == sorted(want)
+    none = V.nearest_key(queries, keys.limit(0)).collect()
+    assert len(none) == 40 and all(r["nearest"] is None for r in none)
 
 
 def _groups_brute_force(vecs, max_leaf, eps, seed):

@@ -1,29 +1,30 @@
 """Dense-vector operators: nearest key (R9), linear scores (R4), mean word
 vectors (A18), vector lookup with zero fill (J10), hashed text vectors.
 
-Vectors are ``array<double>`` columns. Dot products against a label-sized
-matrix run in NumPy inside ``mapInArrow`` tasks; the matrix is broadcast only
-after its row count is checked. Larger key sets use a blocked plan: keys are
-cut into bounded blocks, queries into bounded chunks, and each (block, chunk)
-pair is one task of a cogrouped ``applyInPandas`` - no task ever holds all
-keys or all queries, and no pair rows are materialised.
+Vectors are ``array<double>`` columns. A label or key matrix meets the vectors
+in one plan at every size: the matrix is packed into blocks of bounded bytes,
+the vectors into chunks of bounded bytes, and an equi join on the block number
+brings each chunk past each block (broadcast or shuffled as the optimiser
+finds fit). A task holds one chunk, one block and a bounded slice of their
+product at a time, and keeps the best ``k`` of a block, not the whole product.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnxml.functions.text import words
+from vulnxml.session import cut_lineage
 
-# Largest key matrix (rows) that is broadcast whole.
-BROADCAST_MAX_ROWS = 200_000
 # Similarities are compared after rounding to this many decimals (ties -> key).
 SIM_DECIMALS = 9
-# Rows per key block / query chunk in the blocked plan.
-BLOCK_ROWS = 50_000
+# Bytes of a block of keys, of a chunk of vectors and of a slice of their product.
+BLOCK_BYTES = 4 << 20
+# Tasks that share the chunks of one block.
+SALTS = 16
 
 
 def unit(col) -> F.Column:
@@ -38,143 +39,115 @@ def dot(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _matrix(rows, vec_col: str):
-    mat = np.array([np.asarray(r[vec_col], dtype=np.float64) for r in rows], dtype=np.float64)
-    norms = np.linalg.norm(mat, axis=1, keepdims=True)
-    return mat / np.where(norms > 0, norms, 1.0)
+def _blocks(keys: DataFrame, names: str, n_keys: int, dim: int) -> tuple[DataFrame, int]:
+    """(blk, names, mat, bias): the rows of ``keys`` (name, vec, bias) in blocks
+    of about ``BLOCK_BYTES``, sorted by name inside a block."""
+    per_block = max(1, BLOCK_BYTES // (8 * dim))
+    n_blocks = max(1, -(-n_keys // per_block))
 
+    def pack(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("name")
+        mat = np.array(list(pdf["vec"]), dtype=np.float64)
+        return pd.DataFrame({"blk": [int(pdf["blk"].iloc[0])], "names": [list(pdf["name"])], "mat": [mat.tobytes()],
+                             "bias": [list(pdf["bias"])]})
+    packed = (keys.withColumn("blk", F.pmod(F.xxhash64("name"), F.lit(n_blocks)))
+              .groupBy("blk").applyInPandas(pack, f"blk long, names array<{names}>, mat binary, bias array<double>"))
+    return packed, n_blocks
 
-def _best_in_block(q_ids, q_vecs, keys, kmat):
-    """Per query: best cosine key in one block (ties -> smallest key)."""
-    qn = np.linalg.norm(q_vecs, axis=1, keepdims=True)
-    q = q_vecs / np.where(qn > 0, qn, 1.0)
-    # Rounded so that mathematically equal similarities (common with count
-    # vectors) tie exactly and fall to the key order, whatever the float path.
-    sims = np.round(q @ kmat.T, SIM_DECIMALS)
-    best_sim = sims.max(axis=1)
-    # smallest key among the maxima: keys are pre-sorted ascending.
-    idx = np.argmax(sims >= best_sim[:, None], axis=1)
-    return q_ids, [keys[i] for i in idx], best_sim
+
+def _chunks(vectors: DataFrame, dim: int) -> DataFrame:
+    """(ids, x): the rows of ``vectors`` (id long, vec) in chunks of at most
+    ``BLOCK_BYTES``, made inside each partition."""
+    per_chunk = max(1, BLOCK_BYTES // (8 * dim))
+
+    def pack(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, per_chunk):
+                part = b.slice(at, per_chunk)
+                x = np.array(part.column("vec").to_pylist(), dtype=np.float64)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())],
+                    ["ids", "x"])
+    return vectors.select(F.col("id").cast("string").alias("id"), "vec").mapInArrow(pack, "ids array<string>, x binary")
+
+
+def _scores(vectors: DataFrame, keys: DataFrame, name_type: str, k: int | None, cosine: bool) -> DataFrame:
+    """(id string, name, score): every key's score, or the best ``k`` per vector
+    (rounded scores, ties to the smaller name)."""
+    keys = cut_lineage(keys)
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    dim = max(1, size["dim"] or 1)
+    blocks, n_blocks = _blocks(keys, name_type, size["n"], dim)
+    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    pairs = (_chunks(vectors, dim).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
+             .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+             .join(salted, ["blk", "salt"]).select("ids", "x", "names", "mat", "bias"))
+    out_type = pa.int64() if name_type == "long" else pa.string()
+
+    def score(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                ids, names = b.column("ids")[r].as_py(), b.column("names")[r].as_py()
+                x = np.frombuffer(b.column("x")[r].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
+                mat = np.frombuffer(b.column("mat")[r].as_buffer(), dtype=np.float64).reshape(len(names), -1)
+                bias = np.array(b.column("bias")[r].as_py(), dtype=np.float64)
+                if cosine:
+                    x, mat = _unit_rows(x), _unit_rows(mat)
+                step = max(1, BLOCK_BYTES // (8 * len(names)))
+                for at in range(0, len(ids), step):
+                    s = x[at:at + step] @ mat.T + bias
+                    part = ids[at:at + step]
+                    if k is None:
+                        cols = np.tile(np.arange(len(names)), len(part))
+                        rows, vals = np.repeat(np.arange(len(part)), len(names)), s.ravel()
+                    else:
+                        # Rounded so that mathematically equal scores tie exactly and
+                        # fall to the name order, whatever the float path.
+                        s = np.round(s, SIM_DECIMALS)
+                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        rows, cols = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
+                        vals = s[rows, cols]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([part[i] for i in rows], pa.string()), pa.array([names[c] for c in cols], out_type),
+                         pa.array(vals, pa.float64())], ["id", "name", "score"])
+
+    out = pairs.mapInArrow(score, f"id string, name {name_type}, score double")
+    if k is None:
+        return out
+    w = Window.partitionBy("id").orderBy(F.desc("score"), "name")
+    return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(norms > 0, norms, 1.0)
 
 
 def nearest_key(queries: DataFrame, keys: DataFrame, query_col: str = "query", key_col: str = "key",
                 vec_col: str = "vec") -> DataFrame:
     """For each query vector the training key of highest cosine similarity
-    -> (query, nearest, sim)."""
-    spark = queries.sparkSession
-    n_keys = keys.count()
-    q = queries.select(F.col(query_col).cast("string").alias("query"), F.col(vec_col).cast("array<double>").alias("vec"))
-    k = keys.select(F.col(key_col).cast("string").alias("key"), F.col(vec_col).cast("array<double>").alias("vec"))
-    if n_keys == 0:
-        return q.select("query", F.lit(None).cast("string").alias("nearest"), F.lit(None).cast("double").alias("sim"))
-    if n_keys <= BROADCAST_MAX_ROWS:
-        rows = k.orderBy("key").collect()  # bounded by the check above
-        key_list = [r["key"] for r in rows]
-        bc = spark.sparkContext.broadcast((key_list, _matrix(rows, "vec")))
-
-        def run(batches):
-            keys_, kmat = bc.value
-            for b in batches:
-                if b.num_rows == 0:
-                    continue
-                ids = b.column("query").to_pylist()
-                vecs = np.array(b.column("vec").to_pylist(), dtype=np.float64)
-                ids, near, sim = _best_in_block(ids, vecs, keys_, kmat)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(near, pa.string()),
-                                                  pa.array(sim, pa.float64())], ["query", "nearest", "sim"])
-        return q.mapInArrow(run, "query string, nearest string, sim double")
-    return _nearest_blocked(q, k, n_keys)
-
-
-def _nearest_blocked(q: DataFrame, k: DataFrame, n_keys: int) -> DataFrame:
-    """Exact nearest search for key sets too large to broadcast."""
-    import pandas as pd
-    n_blocks = max(1, -(-n_keys // BLOCK_ROWS))
-    n_queries = q.count()
-    n_chunks = max(1, -(-n_queries // BLOCK_ROWS))
-    kb = (k.withColumn("blk", F.pmod(F.xxhash64("key"), F.lit(n_blocks)))
-          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>"))))
-    qb = (q.withColumn("chunk", F.pmod(F.xxhash64("query"), F.lit(n_chunks)))
-          .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))))
-
-    def per_block(kp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
-        if len(kp) == 0 or len(qp) == 0:
-            return pd.DataFrame({"query": [], "nearest": [], "sim": []})
-        kp = kp.sort_values("key")
-        kmat = _matrix(kp.to_dict("records"), "vec")
-        ids, near, sim = _best_in_block(list(qp["query"]), np.array(list(qp["vec"]), dtype=np.float64),
-                                        list(kp["key"]), kmat)
-        return pd.DataFrame({"query": ids, "nearest": near, "sim": sim})
-
-    part = (kb.groupBy("blk", "chunk").cogroup(qb.groupBy("blk", "chunk"))
-            .applyInPandas(per_block, "query string, nearest string, sim double"))
-    # best over blocks; ties -> smallest key (min of (-sim, key)).
-    best = part.groupBy("query").agg(F.min(F.struct(F.negative("sim").alias("ns"), "nearest")).alias("_m"))
-    return best.select("query", F.col("_m.nearest").alias("nearest"), F.negative("_m.ns").alias("sim"))
+    (ties to the smaller key) -> (query, nearest, sim); nulls without keys."""
+    q = queries.select(F.col(query_col).cast("string").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kk = keys.select(F.col(key_col).cast("string").alias("name"), F.col(vec_col).cast("array<double>").alias("vec"),
+                     F.lit(0.0).alias("bias"))
+    if keys.isEmpty():
+        return q.select(F.col("id").alias("query"), F.lit(None).cast("string").alias("nearest"),
+                        F.lit(None).cast("double").alias("sim"))
+    return _scores(q, kk, "string", 1, cosine=True).select(
+        F.col("id").alias("query"), F.col("name").alias("nearest"), F.col("score").alias("sim"))
 
 
 def linear_scores(vectors: DataFrame, weights: DataFrame, id_col: str = "doc_id", label_col: str = "label_id",
-                  bias_col: str | None = "bias") -> DataFrame:
-    """logit = w_label . x + b_label for every label -> (doc_id, label_id, score).
-
-    The weight matrix is label-sized: its row count is checked before it is
-    broadcast; each task multiplies an Arrow batch of vectors by it in NumPy."""
-    spark = vectors.sparkSession
-    n = weights.count()
-    if n > BROADCAST_MAX_ROWS:
-        return _linear_blocked(vectors, weights, n, id_col, label_col, bias_col)
-    cols = [label_col, "w"] + ([bias_col] if bias_col else [])
-    rows = weights.select(*cols).orderBy(label_col).collect()
-    lab = np.array([int(r[label_col]) for r in rows], dtype=np.int64)
-    wmat = np.array([np.asarray(r["w"], dtype=np.float64) for r in rows], dtype=np.float64)
-    bias = np.array([float(r[bias_col] or 0.0) for r in rows]) if bias_col else np.zeros(len(rows))
-    bc = spark.sparkContext.broadcast((lab, wmat, bias))
-
-    def run(batches):
-        lab_, w_, b_ = bc.value
-        for b in batches:
-            if b.num_rows == 0:
-                continue
-            ids = np.asarray(b.column(id_col).to_pylist(), dtype=np.int64)
-            x = np.array(b.column("vec").to_pylist(), dtype=np.float64)
-            s = x @ w_.T + b_
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(ids, len(lab_))), pa.array(np.tile(lab_, len(ids))), pa.array(s.ravel())],
-                [id_col, label_col, "score"])
-    return (vectors.select(F.col(id_col).cast("long").alias(id_col), F.col("vec").cast("array<double>").alias("vec"))
-            .mapInArrow(run, f"{id_col} long, {label_col} long, score double"))
-
-
-def _linear_blocked(vectors: DataFrame, weights: DataFrame, n_labels: int, id_col: str, label_col: str,
-                    bias_col: str | None) -> DataFrame:
-    """R4 for weight matrices too large to broadcast: labels cut into bounded
-    blocks, docs into bounded chunks; each (block, chunk) is one cogrouped task
-    doing one NumPy block product."""
-    import pandas as pd
-    n_blocks = max(1, -(-n_labels // BLOCK_ROWS))
-    n_docs = vectors.count()
-    n_chunks = max(1, -(-n_docs // BLOCK_ROWS))
-    b = F.col(bias_col).cast("double") if bias_col else F.lit(0.0)
-    wb = (weights.select(F.col(label_col).cast("long").alias("label"), F.col("w").cast("array<double>").alias("w"),
-                         b.alias("bias"))
-          .withColumn("blk", F.pmod(F.col("label"), F.lit(n_blocks)))
-          .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1)).cast("array<long>"))))
-    vb = (vectors.select(F.col(id_col).cast("long").alias("doc"), F.col("vec").cast("array<double>").alias("vec"))
-          .withColumn("chunk", F.pmod(F.xxhash64("doc"), F.lit(n_chunks)))
-          .withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>"))))
-
-    def block(wp: pd.DataFrame, vp: pd.DataFrame) -> pd.DataFrame:
-        if len(wp) == 0 or len(vp) == 0:
-            return pd.DataFrame({"doc": [], "label": [], "score": []})
-        w = np.array(list(wp["w"]), dtype=np.float64)
-        x = np.array(list(vp["vec"]), dtype=np.float64)
-        s = x @ w.T + wp["bias"].to_numpy()
-        return pd.DataFrame({"doc": np.repeat(vp["doc"].to_numpy(), len(wp)),
-                             "label": np.tile(wp["label"].to_numpy(), len(vp)), "score": s.ravel()})
-
-    out = (wb.groupBy("blk", "chunk").cogroup(vb.groupBy("blk", "chunk"))
-           .applyInPandas(block, "doc long, label long, score double"))
-    return out.select(F.col("doc").alias(id_col), F.col("label").alias(label_col), "score")
+                  bias_col: str | None = "bias", k: int | None = None) -> DataFrame:
+    """logit = w_label . x + b_label -> (doc_id, label_id, score), for every
+    label or, with ``k``, for the k best labels of each vector."""
+    b = F.coalesce(F.col(bias_col).cast("double"), F.lit(0.0)) if bias_col else F.lit(0.0)
+    w = weights.select(F.col(label_col).cast("long").alias("name"), F.col("w").cast("array<double>").alias("vec"),
+                       b.alias("bias"))
+    v = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
+    return _scores(v, w, "long", k, cosine=False).select(
+        F.col("id").cast("long").alias(id_col), F.col("name").alias(label_col), "score")
 
 
 def attach_vectors(vocab: DataFrame, vectors: DataFrame, dim: int, word_col: str = "word") -> DataFrame:
@@ -217,6 +190,7 @@ def hashed_text_vectors(df: DataFrame, text_col: str, dim: int = 64, id_col: str
     token adds 1 at its md5 bucket. Stands in for a sentence encoder."""
     toks = words(text_col)
     buckets = F.transform(toks, lambda t: token_bucket(t, dim))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
+    # Folded, so that each token is hashed once.
+    vec = F.aggregate(buckets, F.array_repeat(F.lit(0.0), dim),
+                      lambda acc, b: F.transform(acc, lambda v, i: F.when(i == b, v + 1.0).otherwise(v)))
     return df.select(F.col(id_col), vec.alias("vec"))

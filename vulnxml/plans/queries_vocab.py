@@ -69,20 +69,15 @@ S["A4_word_doc_freq"] = with_fx([], "select word, count(*) as word_freq, count(d
 def _q_a10(spark, sf):
     e = tfidf_edges(doc_words(docs(spark, sf))).withColumnRenamed("word", "term")
     n = W.l2_normalize(e)
-    return n.groupBy("doc_id").agg(F.count(F.lit(1)).cast("bigint").alias("n"),
-                                   F.round(F.max("weight"), 6).alias("max_w"),
-                                   F.round(F.sum(F.col("weight") * F.col("weight")), 6).alias("sum_sq"))
+    return n.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
 Q["A10_l2_normalize"] = _q_a10
 S["A10_l2_normalize"] = with_fx([], (
-    "select doc_id, count(*) as n, round(max(w / nullif(nr, 0)), 6) as max_w, round(sum((w / nr) * (w / nr)), 6) "
-    "as sum_sq from (select *, sqrt(sum(w * w) over (partition by doc_id)) as nr from (select t.doc_id, t.word, "
+    "select doc_id, word as term, round(case when nr > 0 then w / nr else w end, 6) as weight from (select *, sqrt(sum(w * w) over (partition by doc_id)) as nr from (select t.doc_id, t.word, "
     "t.tf * ln((select count(*) from documents) / d.df) as w from (select doc_id, word, count(*) as tf from tokens "
     "group by doc_id, word) t join (select word, count(distinct doc_id) as df from tokens group by word) d "
-    "using (word)) a) b group by doc_id"), [TOKENS_SQL])
-# Note: a doc whose weights are all 0 keeps them (norm 0): sum_sq is then NULL/NaN-free only because such
-# docs have 0/0 -> the SQL twin uses nullif; the fixture has none.
+    "using (word)) a) b"), [TOKENS_SQL])
 
 LT = ("lt", "select doc_id, unnest(ws) as word, unnest(generate_series(0, len(ws) - 1)) as pos from (select doc_id, "
             + words_sql("lower(coalesce(text, ''))") + " as ws from documents) x")
@@ -105,14 +100,11 @@ def _ids(spark, sf):
     return W.lookup_vocab(W.lower_tokens(d), vocab)
 
 
-Q["J5_lookup_vocab"] = lambda spark, sf: _ids(spark, sf).groupBy("doc_id").agg(
-    F.count(F.lit(1)).cast("bigint").alias("n_tokens"),
-    F.sum(F.when(F.col("word_id") == 0, 1).otherwise(0)).cast("bigint").alias("n_unk"),
-    F.sum("word_id").cast("bigint").alias("sum_ids"))
-IDS = ("ids", "select lt.doc_id, lt.pos, coalesce(v.word_id, 0) as word_id from lt left join vocab v using (word)")
-S["J5_lookup_vocab"] = dsql("select doc_id, count(*) as n_tokens, cast(sum(case when word_id = 0 then 1 else 0 end) "
-                            "as bigint) as n_unk, cast(sum(word_id) as bigint) as sum_ids from ids group by doc_id",
-                            [LT, VOCAB_TRAIN, IDS])
+Q["J5_lookup_vocab"] = lambda spark, sf: _ids(spark, sf).select(
+    "doc_id", F.col("pos").cast("bigint").alias("pos"), "word", "word_id")
+IDS = ("ids", "select lt.doc_id, lt.pos, lt.word, coalesce(v.word_id, 0) as word_id from lt left join vocab v using (word)")
+S["J5_lookup_vocab"] = dsql("select doc_id, cast(pos as bigint) as pos, word, cast(word_id as bigint) as word_id "
+                            "from ids", [LT, VOCAB_TRAIN, IDS])
 
 Q["Q3_fix_length_tokens"] = lambda spark, sf: W.fix_length_tokens(_ids(spark, sf), docs(spark, sf), 500).select(
     "doc_id", F.array_join("ids", ",").alias("ids"))
@@ -196,14 +188,13 @@ def _q_j10(spark, sf):
     vocab = W.build_vocab(W.lower_tokens(docs(spark, sf)))
     out = V.attach_vectors(vocab, _word_vectors(spark, sf), 64)
     return out.select(F.col("word_id").cast("bigint").alias("word_id"), "word",
-                      F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x), 6).alias("vec_sum"),
-                      F.size("vec").cast("bigint").alias("dim"))
+                      F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 Q["J10_attach_vectors"] = _q_j10
 S["J10_attach_vectors"] = with_fx([], (
-    "select cast(v.word_id as bigint) as word_id, v.word, round(coalesce(list_sum(w.vec), 0.0), 6) as vec_sum, "
-    "cast(64 as bigint) as dim from vocab v left join wv w using (word)"), [LT, VOCAB_ALL, WV])
+    "select cast(v.word_id as bigint) as word_id, v.word, coalesce(list_transform(w.vec, lambda x: round(x, 6)), "
+    "list_transform(generate_series(1, 64), lambda i: cast(0 as double))) as vec from vocab v left join wv w using (word)"), [LT, VOCAB_ALL, WV])
 
 # ------------------------------------------------------------------ labels
 def fx_pairs(spark, sf):
@@ -333,12 +324,11 @@ S["D4_tail_validation"] = dsql(
 def _q_j9(spark, sf):
     train = docs(spark, sf).select("doc_id", "text")
     test = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id"), "text")
-    return use_given_split(train, test).select("doc_id", "split", F.length("text").cast("bigint").alias("n_chars"))
+    return use_given_split(train, test).select("doc_id", "split", "text")
 
 
 Q["J9_union_splits"] = _q_j9
-S["J9_union_splits"] = ("select doc_id, 'train' as split, cast(length(text) as bigint) as n_chars from documents "
-                        "union all select item_id, 'test', cast(length(text) as bigint) from benchmark")
+S["J9_union_splits"] = "select doc_id, 'train' as split, text from documents union all select item_id, 'test', text from benchmark"
 
 def _q_d5(spark, sf):
     sp = doc_split(spark, sf)

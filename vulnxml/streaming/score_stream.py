@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from vulnxml.functions.text import basic_cleaning, words
 from vulnxml.operators.labels import encode_labels
 from vulnxml.operators.rank import predict_labels
-from vulnxml.operators.vectors import SIM_DECIMALS, linear_scores, token_bucket, unit
+from vulnxml.session import cut_lineage
+from vulnxml.operators.vectors import linear_scores, token_bucket, unit
 
 DIM = 64
 
@@ -50,17 +51,15 @@ def fit_centroids(docs: DataFrame, doc_labels: DataFrame, lmap: DataFrame, dim:
 
 def score_batch(reports: DataFrame, weights: DataFrame, lmap: DataFrame, k: int = 3) -> DataFrame:
     """(doc_id, labels): the k best label names per report, best first."""
-    scores = linear_scores(text_vectors(reports), weights)
-    # Rounded so that equal scores tie exactly whatever the float path.
-    return predict_labels(scores.withColumn("score", F.round("score", SIM_DECIMALS)), lmap, k)
+    scores = linear_scores(text_vectors(reports), weights, k=k)
+    return predict_labels(scores, lmap, k)
 
 
 def score_stream(spark: SparkSession, source_dir: str, weights: DataFrame, lmap: DataFrame, sink_dir: str,
                  checkpoint_dir: str, k: int = 3, file_glob: str = "documents.parquet",
                  schema: str = "doc_id bigint, text string") -> None:
     """Run the stream until every available file is scored (availableNow)."""
-    weights = weights.cache()
-    lmap = lmap.cache()
+    weights, lmap = cut_lineage(weights), cut_lineage(lmap)
     stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
               .option("maxFilesPerTrigger", 16).parquet(source_dir))
 
