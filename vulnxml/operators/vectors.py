@@ -74,7 +74,7 @@ def _chunks(vectors: DataFrame, dim: int) -> DataFrame:
 
 def _scores(vectors: DataFrame, keys: DataFrame, name_type: str, k: int | None, cosine: bool) -> DataFrame:
     """(id string, name, score): every key's score, or the best ``k`` per vector
-    (rounded scores, ties to the smaller name)."""
+    (ranked by rounded score, ties to the smaller name)."""
     keys = cut_lineage(keys)
     size = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
     dim = max(1, size["dim"] or 1)
@@ -102,10 +102,9 @@ def _scores(vectors: DataFrame, keys: DataFrame, name_type: str, k: int | None,
                         cols = np.tile(np.arange(len(names)), len(part))
                         rows, vals = np.repeat(np.arange(len(part)), len(names)), s.ravel()
                     else:
-                        # Rounded so that mathematically equal scores tie exactly and
-                        # fall to the name order, whatever the float path.
-                        s = np.round(s, SIM_DECIMALS)
-                        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                        # Ranked after rounding, so that mathematically equal scores tie
+                        # exactly and fall to the name order, whatever the float path.
+                        best = np.argsort(-np.round(s, SIM_DECIMALS), axis=1, kind="stable")[:, :k]
                         rows, cols = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
                         vals = s[rows, cols]
                     yield pa.RecordBatch.from_arrays(
@@ -115,7 +114,7 @@ def _scores(vectors: DataFrame, keys: DataFrame, name_type: str, k: int | None,
     out = pairs.mapInArrow(score, f"id string, name {name_type}, score double")
     if k is None:
         return out
-    w = Window.partitionBy("id").orderBy(F.desc("score"), "name")
+    w = Window.partitionBy("id").orderBy(F.desc(F.round("score", SIM_DECIMALS)), "name")
     return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 
