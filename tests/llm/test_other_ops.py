@@ -225,6 +225,28 @@ def test_rates_meet_targets(make_docs, make_labels):
     assert np.mean([r["copies"] for r in rows if truth[r["doc_id"]] != (1, 0)]) <= 0.2
 
 
+def test_long_clean_documents_stay(make_docs, make_labels):
+    """Marker words that clean texts have too, seldom: a long text holds many."""
+    r = random.Random(8)
+    marks = [c * 6 for c in "ijklmnopqrst"]
+    word = lambda share: r.choice(marks) if r.random() < share else "".join(r.choice("abcdefgh") for _ in range(5))
+    texts, labels = [], []
+    for i in range(480):
+        q, t = (1, 0) if i % 8 < 6 else (0, 0) if i % 8 == 6 else (1, 1)
+        words = [word(0.15 if t else 0.002) for _ in range(r.randint(30, 400))]
+        texts.append(" ".join(words if q else [w + "###" for w in words]))
+        labels.append((i, q, t))
+    sizes = [1000, 1500, 2000, 3000, 5000, 8000, 12_000, 20_000] * 2
+    texts += [" ".join(word(0.002) for _ in range(n)) for n in sizes]
+    rows = {x["doc_id"]: x for x in mixing.mixture(make_docs(texts), make_labels(labels)).collect()}
+    short = [rows[i] for i, q, t in labels if (q, t) == (1, 0)]
+    long = [rows[480 + i] for i in range(len(sizes))]
+    for name in ("rate", "copies"):
+        assert np.mean([x[name] for x in long]) >= np.mean([x[name] for x in short]) - 0.07
+    assert all(x["rate"] >= 0.8 for x in long)
+    assert np.mean([rows[i]["rate"] for i, q, t in labels if t]) <= 0.5
+
+
 def test_fit_is_projected_gradient(spark):
     """The table's fit against the same steps in numpy."""
     r = np.random.default_rng(2)

@@ -3,9 +3,13 @@
 A classifier learned from a labelled table gives every document a posterior
 over the domains of its labels. One half of a sample (at most about ``SAMPLE``
 labelled rows of each domain, chosen by a hash of the id) finds each domain's
-marker words and word ends; the other half counts how many markers of each
+marker words and word ends; the other half tells how many markers of each
 domain, and what share of different words, the texts of each domain have. The
-posterior is naive Bayes over these few counts, none included. The expected
+posterior is naive Bayes over these few values, none included. Long texts hold
+more markers by chance, so a count is set against the count that the other
+domains' texts of as many different words have (a power of that number, fitted
+by ``Curve``), and different words are counted in stretches of ``STRETCH`` words,
+which long texts have more of: both values mean the same at any length. The expected
 tokens of a domain are the sum over documents of rate x tokens x posterior.
 Projected gradient descent on the squared gap to the targets, started at rate
 1, fits a nonnegative rate of at most ``MAX_RATE`` for each document. A round
@@ -26,6 +30,7 @@ Repeated rows get the same rate and copies each.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -41,8 +46,13 @@ MAX_RATE = 1.0
 #: A marker is this many times likelier in its domain, in this share of its rows
 #: and in so many of them; the best ones of a domain are used.
 RATIO, SUPPORT, LEAST, MARKERS = 5.0, 0.02, 4, 256
-#: Counts of markers are told apart up to here, and shares of different words in as many steps.
-MOST, STEPS = 3, 8
+#: Shares of different words are told apart in as many steps, over stretches of so many words.
+STEPS, STRETCH = 8, 256
+#: Levels of a marker count over its expected one: two to a factor of 2, up to the greatest there is.
+#: A level counts for this share of a row at its neighbours, which few short texts may reach.
+LEVELS, BLUR = int(2 * math.log2(2 * MARKERS + 1)) + 1, 0.02
+#: Classes of different words to a factor of e, and the greatest power of them a mean may grow with.
+CLASSES, STEEP = 8, 2.0
 SPACES, SIGNS = "[ \\t-\\r]+", "[ \\t-\\r.,;:!?|#$%&*()\"<>]+"
 #: Shares of expected tokens by domain of the labels table, and its columns.
 TARGETS = {"quality=1,toxic=0": 0.96, "quality=1,toxic=1": 0.02, "quality=0,toxic=0": 0.02}
@@ -65,6 +75,32 @@ def domain(label_cols: list[str]) -> Column:
     return F.concat_ws(",", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in label_cols])
 
 
+@dataclass
+class Curve:
+    """Mean count exp(level + power x size) of texts of a size (a log)."""
+
+    level: float
+    power: float
+
+    def mean(self, size: float) -> float:
+        return math.exp(min(50.0, max(-50.0, self.level + self.power * size)))
+
+    @classmethod
+    def fit(cls, seen: Counter) -> Curve:
+        """From {(size, count): rows}, by Newton steps of Poisson regression
+        that holds to half a marker in all and to power 1 if rows are few."""
+        events, rows = sum(k * n for (_, k), n in seen.items()), sum(seen.values())
+        out = cls(math.log((events + 0.5) / (rows + 1)), 1.0)
+        for _ in range(50):
+            means = [(x, k, n, out.mean(x)) for (x, k), n in seen.items()]
+            push = [0.5 + sum(n * (k - m) for _, k, n, m in means) - out.mean(0.0), sum(n * (k - m) * x for x, k, n, m in means) - 4 * (out.power - 1)]
+            across = sum(n * m * x for x, _, n, m in means)
+            step = solve([[sum(n * m for *_, n, m in means) + out.mean(0.0), across], [across, sum(n * m * x * x for x, _, n, m in means) + 4]], push, 0.0)
+            long = max(1.0, *map(abs, step))
+            out.level, out.power = out.level + step[0] / long, min(STEEP, max(-STEEP, out.power + step[1] / long))
+        return out
+
+
 @dataclass
 class Model:
     """Bounded by domains x ``MARKERS``."""
@@ -72,20 +108,41 @@ class Model:
     names: list[str]
     markers: list[list[str]]
     priors: list[float]
+    curves: list[Curve]  # expected count of each domain's markers in other domains' texts
+    centre: float  # mean size, from which the curves count
     chances: list[list[list[float]]]  # log chance of each value, by feature and domain
 
-    def features(self, e: Column, words_: Column) -> list[Column]:
+    def counts(self, e: Column) -> list[Column]:
         held = [F.split(F.lit(" ".join(m)), " ") if m else F.array().cast("array<string>") for m in self.markers]  # a word holds no space
-        counts = [F.least(F.size(F.array_intersect(e, m)), F.lit(MOST)) for m in held]
-        n = F.size(words_)
-        variety = F.floor(F.size(F.array_distinct(words_)) * (STEPS - 1) / F.greatest(n, F.lit(1))).cast("int")
-        return [*counts, variety]
+        return [F.size(F.array_intersect(e, m)) for m in held]
+
+    def features(self, e: Column, words_: Column) -> list[Column]:
+        size = size_of(e) - F.lit(self.centre)
+        return [*[level(k, F.exp(F.lit(c.level) + F.lit(c.power) * size)) for k, c in zip(self.counts(e), self.curves)], variety(words_)]
+
+
+def level(count: Column, mean: Column) -> Column:
+    """How far a count is over its expected one; half the root allows for chance."""
+    over = F.log2((count + F.lit(0.5)) / (mean + F.sqrt(mean) / 2 + F.lit(0.5)))
+    return F.least(F.greatest(F.floor(2 * over), F.lit(0)), F.lit(LEVELS - 1)).cast("int")
+
+
+def size_of(e: Column) -> Column:
+    """Log of the number of different words and word ends."""
+    return F.log(F.greatest(F.size(e), F.lit(1)).cast("double"))
+
+
+def variety(words_: Column) -> Column:
+    n = F.size(words_)
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / STRETCH).cast("int"))
+    different = F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.size(F.array_distinct(F.slice(words_, i * STRETCH + 1, STRETCH))))
+    return F.floor(different * (STEPS - 1) / F.greatest(n, F.lit(1))).cast("int")
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: list[str], id_col: str = "doc_id", text_col: str = "text") -> Model:
     known = labels.where(F.col(id_col).isNotNull()).dropna(subset=label_cols).select(F.col(id_col).alias("id"), domain(label_cols).alias("domain")).distinct()
     sizes = {r["domain"]: r["n"] for r in known.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
-    model = Model(sorted(sizes), [], [], [])
+    model = Model(sorted(sizes), [], [], [], 0.0, [])
     share = F.lit(0.0)
     for name, n in sizes.items():
         share = F.when(F.col("domain") == name, min(1.0, SAMPLE / n)).otherwise(share)
@@ -106,12 +163,24 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: list[str], id
         best = per_word.where((F.col(f"n{i}") >= max(LEAST, SUPPORT * own)) & (lift >= RATIO)).orderBy((F.col(f"n{i}") * F.log(lift)).desc(), "word").limit(MARKERS)
         model.markers.append([r["word"] for r in best.select("word").collect()])
     model.priors = [math.log(sizes[d] / sum(sizes[x] for x in model.names)) for d in model.names]
+    rest = src.where("half = 1")
+    size = F.round(size_of(F.col("e")) * CLASSES).cast("int")
+    counts = F.array(*model.counts(F.col("e"))).cast("array<int>")
+    found = rest.select("domain", size.alias("size"), F.posexplode(counts).alias("k", "v")).groupBy("domain", "size", "k", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+    model.centre = sum(r["size"] / CLASSES * r["n"] for r in found) / max(1, sum(r["n"] for r in found))
+    for i, d in enumerate(model.names):
+        others = Counter()
+        for r in found:
+            if r["k"] == i and r["domain"] != d:
+                others[r["size"] / CLASSES - model.centre, r["v"]] += r["n"]
+        model.curves.append(Curve.fit(others))
     features = model.features(F.col("e"), F.col("w"))
-    table = src.where("half = 1").select("domain", F.posexplode(F.array(*features)).alias("k", "v")).groupBy("domain", "k", "v").agg(F.count(F.lit(1)).alias("n"))
+    table = rest.select("domain", F.posexplode(F.array(*features)).alias("k", "v")).groupBy("domain", "k", "v").agg(F.count(F.lit(1)).alias("n"))
     seen = {(r["domain"], r["k"], r["v"]): r["n"] for r in table.collect()}
     for k in range(len(features)):
-        values = MOST + 1 if k < len(features) - 1 else STEPS
-        model.chances.append([[math.log((seen.get((d, k, v), 0) + 0.25) / (drawn.get((1, d), 0) + 0.25 * values)) for v in range(values)] for d in model.names])
+        values, blur = (LEVELS, BLUR) if k < len(features) - 1 else (STEPS, 0.0)
+        rows = lambda d, v: seen.get((d, k, v), 0) + blur * (seen.get((d, k, v - 1), 0) + seen.get((d, k, v + 1), 0)) + 0.25
+        model.chances.append([[math.log(rows(d, v) / (drawn.get((1, d), 0) * (1 + 2 * blur) + 0.25 * values)) for v in range(values)] for d in model.names])
     return model
 
 
