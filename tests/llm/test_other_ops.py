@@ -247,6 +247,22 @@ def test_long_clean_documents_stay(make_docs, make_labels):
     assert np.mean([rows[i]["rate"] for i, q, t in labels if t]) <= 0.5
 
 
+def test_copies_meet_targets(make_docs, make_labels):
+    """A third and more of the tokens is junk whose target is 0.02: its rates are low but drawn."""
+    docs, labels = labelled(make_docs, make_labels, 3000)
+    hot = docs.where("doc_id % 4 = 2").select((F.col("doc_id") + 10_000).alias("doc_id"), *docs.columns[1:])
+    rows = mixing.mixture(docs.unionByName(hot), labels).collect()
+    fitted, drawn = Counter(), Counter()
+    for r in rows:
+        for d, p in r["posterior"].items():
+            fitted[d] += p * r["rate"] * r["n_tokens"]
+            drawn[d] += p * r["copies"] * r["n_tokens"]
+    assert max(r["rate"] for r in rows if r["doc_id"] > 10_000) <= 0.1
+    for d, share in mixing.TARGETS.items():
+        assert drawn[d] / sum(drawn.values()) == pytest.approx(share, abs=0.008)
+        assert drawn[d] == pytest.approx(fitted[d], rel=0.35)
+
+
 def test_fit_is_projected_gradient(spark):
     """The table's fit against the same steps in numpy."""
     r = np.random.default_rng(2)

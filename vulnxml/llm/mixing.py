@@ -18,8 +18,8 @@ domain, from which every document takes its next step. The targets are shares;
 their total is the largest for which no domain has to be repeated. Where soft
 membership puts a target out of reach, the fit is the nearest it can be.
 
-Rates become copies: those within ``SNAP`` of a whole number are rounded, other
-fractions are kept by a hash of id and text.
+Rates become copies: fractions are kept by a hash of id and text, so every
+document with a positive rate may be drawn and copies add up to the fit.
 
 Everything is built-in functions: no Python touches a row. Null text has no
 words and the prior as its posterior; null ids hash like any value; without
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from vulnxml.llm.common import fresh_name, materialise, unit_hash
 
-SAMPLE, ROUNDS, TOLERANCE, SNAP = 1500, 40, 1e-3, 0.1
+SAMPLE, ROUNDS, TOLERANCE = 1500, 40, 1e-3
 #: No document is used more often.
 MAX_RATE = 1.0
 #: A marker is this many times likelier in its domain, in this share of its rows
@@ -269,8 +269,7 @@ def solve(matrix: list[list[float]], right: list[float], ridge: float) -> list[f
 
 
 def copies(rate: Column, *key: Column | str) -> Column:
-    whole = F.round(rate)
-    return F.when(F.abs(rate - whole) <= SNAP, whole).otherwise(F.floor(rate + unit_hash(*key, seed=17))).cast("int")
+    return F.floor(rate + unit_hash(*key, seed=17)).cast("int")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, label_cols: list[str] | None = None,
