@@ -283,6 +283,18 @@ def test_fit_is_projected_gradient(spark):
     assert [w for _, w in result.values()] == pytest.approx(list(target))
 
 
+def test_little_junk_drops_no_clean_document(spark):
+    names = list(mixing.TARGETS)
+    rows = [(100, [1.0, 0.0, 0.0])] * 200 + [(100, [0.0, 1.0, 0.0]), (100, [0.0, 0.0, 1.0])]
+    df = spark.createDataFrame(rows, "tokens bigint, posterior array<double>")
+    _, result = mixing.fit_rates(df, names, mixing.TARGETS)
+    assert [v for v, _ in result.values()] == pytest.approx([20_000, 100, 100], rel=0.01)
+    _, result = mixing.fit_rates(df, names, mixing.TARGETS, upper=frozenset())
+    assert [t for _, t in result.values()] == pytest.approx([4800, 100, 100])
+    much = spark.createDataFrame(rows[:100] + rows[200:] * 50, "tokens bigint, posterior array<double>")
+    assert [v for v, _ in mixing.fit_rates(much, names, mixing.TARGETS)[1].values()] == pytest.approx([10_000, 208.3, 208.3], rel=0.01)
+
+
 def test_mixing_odd_rows(make_docs, make_labels):
     texts = [None, "", "  ", "w", "x " * 20_000, "same", "same"]
     for labels in ([], [(0, 1, 0), (1, 0, 0), (None, 1, 1), (3, None, 0), (3, 1, 0), (3, 1, 0)]):

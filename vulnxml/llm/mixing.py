@@ -15,7 +15,9 @@ Projected gradient descent on the squared gap to the targets, started at rate
 1, fits a nonnegative rate of at most ``MAX_RATE`` for each document. A round
 is one aggregate over the documents' narrow table; its result is one number per
 domain, from which every document takes its next step. The targets are shares;
-their total is the largest for which no domain has to be repeated. Where soft
+their total is the largest for which no domain has to be repeated. Shares of
+the domains in ``UPPER`` are upper ones: such a domain doesn't bind the total,
+and one that has less than its share is asked for what it has. Where soft
 membership puts a target out of reach, the fit is the nearest it can be.
 
 Rates become copies: fractions are kept by a hash of id and text, so every
@@ -57,6 +59,8 @@ SPACES, SIGNS = "[ \\t-\\r]+", "[ \\t-\\r.,;:!?|#$%&*()\"<>]+"
 #: Shares of expected tokens by domain of the labels table, and its columns.
 TARGETS = {"quality=1,toxic=0": 0.96, "quality=1,toxic=1": 0.02, "quality=0,toxic=0": 0.02}
 LABELS = ["quality", "toxic"]
+#: Domains that nothing is dropped for: little junk must not shrink the corpus.
+UPPER = frozenset(("quality=1,toxic=1", "quality=0,toxic=0"))
 
 
 def words(text: Column) -> Column:
@@ -218,7 +222,7 @@ def rate_of(posterior: list[str], moves: list[list[float]]) -> Column:
     return F.expr(reduce(step, moves, "1D"))
 
 
-def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float]) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
+def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float], upper: frozenset[str] = UPPER) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
     """(steps, {domain: (expected total, target)}) for a table of tokens and
     posterior. The squared gaps are weighted by the inverse of the matrix of
     sum(tokens x posterior_i x posterior_j), for which a step of length 1 is
@@ -240,8 +244,9 @@ def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float]) ->
     want = [max(0.0, weights.get(n, 0.0)) if h > 0 else 0.0 for n, h in zip(names, have)]
     if not sum(want):
         return [], {n: (h, h) for n, h in zip(names, have)}
-    budget = min(h * sum(want) / w for h, w in zip(have, want) if w > 0)
-    target = [budget * w / sum(want) for w in want]
+    reach = {n: h * sum(want) / w for n, h, w in zip(names, have, want) if w > 0}
+    budget = min([b for n, b in reach.items() if n not in upper] or reach.values())
+    target = [min(h, budget * w / sum(want)) for h, w in zip(have, want)]
     moves: list[list[float]] = []
     now, loss = have, math.inf
     while True:
