@@ -191,6 +191,19 @@ def test_language_odd_rows(make_docs):
     assert "language" in lang_id.drop_rejected(docs).columns
 
 
+def test_other_languages_are_rejected(spark, make_docs):
+    """Short and long, while short texts of the sampled languages stay."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = lang_id.fit(docs)
+    strange = ["Это короткий русский текст", "Привет, как дела сегодня", "今天天气很好我们去公园散步然后回家吃饭", "สวัสดีชาวโลก ยินดี", "zzxq kvvj qqpw xjkz", "Szczęście wszystkich"]
+    assert all(model.predict(t)[2] for t in strange)
+    assert all(model.predict((t + ". ") * 30)[2] for t in strange)
+    short = [r["text"] for r in docs.where("length(text) < 64 and length(text) > 3").collect() if lang_id.has_letter(r["text"])]
+    assert len(short) > 10 and sum(model.predict(t)[2] for t in short) <= 0.02 * len(short)
+    kept = lang_id.drop_rejected(docs.unionByName(make_docs([(10 ** 9 + i, t) for i, t in enumerate(strange)], lang=None))).where("doc_id >= 1000000000")
+    assert kept.count() == 0
+
+
 def test_language_learns_from_unheld_rows_alone(make_docs, spark):
     docs = make_docs(["text number %d of the lot" % i for i in range(60)])
     wrong = docs.withColumn("lang", F.when(held_out("doc_id"), "xx").otherwise("en"))
