@@ -116,13 +116,20 @@ class Model:
     centre: float  # mean size, from which the curves count
     chances: list[list[list[float]]]  # log chance of each value, by feature and domain
 
-    def counts(self, e: Column) -> list[Column]:
-        held = [F.split(F.lit(" ".join(m)), " ") if m else F.array().cast("array<string>") for m in self.markers]  # a word holds no space
-        return [F.size(F.array_intersect(e, m)) for m in held]
+    def hits(self, e: Column) -> Column:
+        """The markers of any domain in the evidence."""
+        return F.array_intersect(e, _held(sorted({w for m in self.markers for w in m})))
 
-    def features(self, e: Column, words_: Column) -> list[Column]:
-        size = size_of(e) - F.lit(self.centre)
-        return [*[level(k, F.exp(F.lit(c.level) + F.lit(c.power) * size)) for k, c in zip(self.counts(e), self.curves)], variety(words_)]
+    def counts(self, hits: Column) -> list[Column]:
+        return [F.size(F.array_intersect(_held(m), hits)) for m in self.markers]
+
+    def features(self, size: Column, hits: Column, words_: Column) -> list[Column]:
+        x = size - F.lit(self.centre)
+        return [*[level(k, F.exp(F.lit(c.level) + F.lit(c.power) * x)) for k, c in zip(self.counts(hits), self.curves)], variety(words_)]
+
+
+def _held(markers: list[str]) -> Column:
+    return F.split(F.lit(" ".join(markers)), " ") if markers else F.array().cast("array<string>")  # a word holds no space
 
 
 def level(count: Column, mean: Column) -> Column:
@@ -169,7 +176,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: list[str], id
     model.priors = [math.log(sizes[d] / sum(sizes[x] for x in model.names)) for d in model.names]
     rest = src.where("half = 1")
     size = F.round(size_of(F.col("e")) * CLASSES).cast("int")
-    counts = F.array(*model.counts(F.col("e"))).cast("array<int>")
+    counts = F.array(*model.counts(model.hits(F.col("e")))).cast("array<int>")
     found = rest.select("domain", size.alias("size"), F.posexplode(counts).alias("k", "v")).groupBy("domain", "size", "k", "v").agg(F.count(F.lit(1)).alias("n")).collect()
     model.centre = sum(r["size"] / CLASSES * r["n"] for r in found) / max(1, sum(r["n"] for r in found))
     for i, d in enumerate(model.names):
@@ -178,7 +185,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, label_cols: list[str], id
             if r["k"] == i and r["domain"] != d:
                 others[r["size"] / CLASSES - model.centre, r["v"]] += r["n"]
         model.curves.append(Curve.fit(others))
-    features = model.features(F.col("e"), F.col("w"))
+    features = model.features(size_of(F.col("e")), model.hits(F.col("e")), F.col("w"))
     table = rest.select("domain", F.posexplode(F.array(*features)).alias("k", "v")).groupBy("domain", "k", "v").agg(F.count(F.lit(1)).alias("n"))
     seen = {(r["domain"], r["k"], r["v"]): r["n"] for r in table.collect()}
     for k in range(len(features)):
@@ -206,7 +213,8 @@ def with_posteriors(docs: DataFrame, model: Model, text_col: str, tokens: str, p
             F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v), lambda total: F.transform(x, lambda v: v / total)))
 
     def scored(w: Column) -> Column:
-        p = _let(evidence(text, w), lambda e: _let(F.array(*model.features(e, w)), lambda f: _let(logits(f), softmax)))
+        p = _let(evidence(text, w), lambda e: _let(F.struct(size_of(e).alias("size"), model.hits(e).alias("hits")), lambda m: _let(
+            F.array(*model.features(m["size"], m["hits"], w)), lambda f: _let(logits(f), softmax))))
         return F.struct(F.size(w).cast("bigint").alias("n"), p.alias("p"))
 
     both = fresh_name(docs, "scored")
