@@ -1,5 +1,8 @@
 """Golden tests from the literal fixtures (FIXTURES.md part C) and edge cases."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from vulnxml.functions.arrays import fit_length, strip_padding
@@ -374,3 +377,35 @@ def test_svmlight_header_roundtrip(spark):
     back = IO.read_svmlight(spark, path, has_header=True).collect()
     got = sorted((r["doc_id"], tuple(r["labels"]), r["idx"], r["val"]) for r in back)
     assert got == [(0, (2, 7), 1, 0.25), (0, (2, 7), 3, 0.5), (1, (), 2, 1.0), (2, (5,), 0, 2.0)]
+
+
+def test_reference_text_keeps_nouns(spark):
+    from vulnxml.operators.pages import reference_text
+    pages = spark.createDataFrame([(f"https://bugs.launchpad.net/{i}", f'<span class="yui3-editable_text-text ellipsis">{t}</span>')
+                                   for i, t in enumerate(["A Crash happens in the kernel.", "quickly seen"])], "url string, html string")
+    urls = spark.createDataFrame([(1, 0, "https://bugs.launchpad.net/0"), (1, 1, "https://bugs.launchpad.net/1"), (2, 0, "https://bugs.launchpad.net/1")], "report_id long, pos int, url string")
+    tags = spark.createDataFrame([("crash", "NN"), ("kernel", "NNP"), ("happens", "VBZ"), ("quickly", "RB")], "word string, tag string")
+    reports = spark.createDataFrame([(1,), (2,), (3,)], "report_id long")
+    assert {r["report_id"]: r["reference_text"] for r in reference_text(urls, pages, reports=reports, tags=tags).collect()} == {"1": "crash kernel", "2": "", "3": ""}
+
+
+def test_expand_groups_training_form(spark):
+    from vulnxml.operators.rank import expand_groups
+    scores = spark.createDataFrame([(1, 0, 2.0), (1, 1, 1.0), (1, 2, -3.0)], "doc_id long, group_id long, score double")
+    groups = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2), ("d", 2)], "label string, group_id long")
+    truth = spark.createDataFrame([(1, 2), (1, 2)], "doc_id long, group_id long")
+    got = {r["label"]: r["group_score"] for r in expand_groups(scores, groups, 2, truth).collect()}
+    low, high = 1 / (1 + math.exp(3)), 1 / (1 + math.exp(-2))
+    assert got == pytest.approx({"a": high, "c": 1 + low, "d": 1 + low})
+
+
+def test_label_groups_save_levels(spark):
+    from vulnxml.operators.cluster import split_label_groups
+    feats = spark.createDataFrame([(f"L{i:02d}", t, float((i * 7 + t * 5) % 11 + 1)) for i in range(12) for t in range(4)], "label string, term_id long, weight double")
+    saved = {0: None, 1: None, 2: None, 5: None}
+    last = {tuple(r) for r in split_label_groups(feats, max_leaf=3, seed=5, saved=saved).collect()}
+    assert saved[5] is None and {tuple(r) for r in saved[2].collect()} == last
+    for x in (0, 1, 2):
+        rows = saved[x].collect()
+        assert len({r["label"] for r in rows}) == len(rows) == 12 and {r["group_id"] for r in rows} == set(range(2 ** x))
+    assert {(r["label"], r["node"]) for r in saved[1].collect()} == {(lab, node[:1]) for lab, _, node in last}

@@ -43,17 +43,26 @@ def _rank_in_node(df: DataFrame, order: list) -> DataFrame:
 
 
 def split_label_groups(label_feats: DataFrame, max_leaf: int = 100, eps: float = 1e-4, seed: int = 0,
-                       labels: DataFrame | None = None) -> DataFrame:
+                       labels: DataFrame | None = None, saved: dict[int, DataFrame | None] | None = None) -> DataFrame:
     """(label, group_id, node) - top-down balanced 2-means until every
     node has at most ``max_leaf`` labels; finished leaves are kept. Each node
     goes on until its own mean similarity grows by less than ``eps``. ``labels``
-    (label): labels that may have no feature row; they have similarity 0."""
+    (label): labels that may have no feature row; they have similarity 0.
+    ``saved``: its keys are the levels wanted; the groups of level x, with 2**x
+    nodes, become its value (None stays where no round has so many)."""
+    def numbered(assign: DataFrame) -> DataFrame:
+        nodes = with_sequential_id(assign.select("node").distinct(), ["node"], "group_id")
+        return assign.join(nodes, "node").select("label", "group_id", "node")
+
     # Materialised once: every round reads the features again.
     feats = cut_lineage(label_feats.select("label", "term_id", "weight"))
     names = feats.select("label") if labels is None else feats.select("label").union(labels.select("label"))
     assign = cut_lineage(names.distinct().withColumn("node", F.lit("")))
     while True:
         sizes = assign.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+        if saved:
+            n = sizes.count()
+            saved.update({x: numbered(assign) for x in saved if 2 ** x == n})
         big = sizes.filter(F.col("n") > max_leaf).select("node")
         if big.limit(1).count() == 0:
             break
@@ -94,8 +103,7 @@ def split_label_groups(label_feats: DataFrame, max_leaf: int = 100, eps: float =
                 .groupBy("node", "side", "term_id").agg(F.sum("weight").alias("weight")), ["node", "side"]))
         assign = cut_lineage(assign.join(moved, "label", "left")
                              .select("label", F.coalesce("_new", "node").alias("node")))
-    nodes = with_sequential_id(assign.select("node").distinct(), ["node"], "group_id")
-    return assign.join(nodes, "node").select("label", "group_id", "node")
+    return numbered(assign)
 
 
 def group_export(groups: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnxml.functions.text import basic_cleaning, url_authority
+from vulnxml.operators.text_ops import nouns_only
 
 # Host routing of the reference, flattened into ordered leaf rules.
 # (priority, host must contain all of these, URL must contain (or ''), rule)
@@ -387,9 +388,10 @@ def _extract_rows(rows: DataFrame, keys: str) -> DataFrame:
     return rows.mapInPandas(run, keys + ", text string")
 
 
-def reference_text(report_urls: DataFrame, pages: DataFrame, rules=HOST_RULES, reports: DataFrame | None = None) -> DataFrame:
-    """Per report its routed pages' texts, cleaned (P1), joined by a space
-    in URL order; '' for a report without a saved page. report_urls: (report_id,
+def reference_text(report_urls: DataFrame, pages: DataFrame, rules=HOST_RULES, reports: DataFrame | None = None,
+                   tags: DataFrame | None = None) -> DataFrame:
+    """Per report its routed pages' texts, cleaned (P1, and P2 if there are
+    ``tags``: (word, tag), of which nouns stay), joined by a space in URL order; '' for a report without a saved page. report_urls: (report_id,
     pos, url); pages: (url, html), of which one per URL counts; reports:
     (report_id), if some have no URL at all. Each row carries its report and
     place through the extraction, so nothing is joined back by position."""
@@ -401,6 +403,8 @@ def reference_text(report_urls: DataFrame, pages: DataFrame, rules=HOST_RULES, r
         F.struct("pos", "text"))), lambda s: s["text"]), " ").alias("t"))
     # texts that came out empty leave no gap
     joined = joined.select("report_id", F.trim(F.regexp_replace("t", " +", " ")).alias("reference_text"))
+    if tags is not None:
+        joined = nouns_only(joined, tags, "reference_text", "report_id").select(F.col("doc_id").alias("report_id"), F.col("text").alias("reference_text"))
     if reports is None:
         return joined
     all_ids = reports.select(F.col("report_id").cast("string").alias("report_id")).distinct()

@@ -61,10 +61,15 @@ def threshold_labels(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
     return scores.filter(F.col("score") >= threshold)
 
 
-def expand_groups(group_scores: DataFrame, groups: DataFrame, topk: int) -> DataFrame:
+def expand_groups(group_scores: DataFrame, groups: DataFrame, topk: int, truth: DataFrame | None = None) -> DataFrame:
     """Sigmoid the group scores, keep the best ``topk`` groups per doc, and
-    give every member label its group's score -> (doc_id, label, group_id, group_score)."""
-    best = top_k(group_scores.withColumn("score", sigmoid("score")), topk, label_col="group_id")
+    give every member label its group's score -> (doc_id, label, group_id, group_score).
+    Training form: 1 is added to the score of each pair in ``truth`` (doc_id, group_id)."""
+    scores = group_scores.withColumn("score", sigmoid("score"))
+    if truth is not None:
+        true = truth.select("doc_id", "group_id").distinct().withColumn("_true", F.lit(1.0))
+        scores = scores.join(true, ["doc_id", "group_id"], "left").withColumn("score", F.col("score") + F.coalesce("_true", F.lit(0.0))).drop("_true")
+    best = top_k(scores, topk, label_col="group_id")
     return (best.join(groups.select("label", "group_id"), "group_id")
             .select("doc_id", "label", "group_id", F.col("score").alias("group_score")))
 
