@@ -155,6 +155,15 @@ def test_leaf_blocks():
     assert texts(None) == texts("") == texts("<") == [] or texts("<") == ["<"]
 
 
+def test_unclosed_hidden_tags_keep_the_page():
+    texts = lambda h: [b.text for b in html_blocks.leaf_blocks(h)]
+    assert texts("<svg class=x /><p>a</p><svg><text>no</text></svg><p>b") == ["a", "b"]
+    for t in ("svg", "object", "select", "noscript", "template"):
+        assert texts(f"<{t}><p>a</p><{t} x=1><p>b</p>") == ["a", "b"]
+        assert texts(f"<{t}>no</{t}><p>a</p><{t}><p>b</p>") == ["a", "b"]
+    assert texts("<p>a</p><script>no<p>no") == ["a"]
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     p = {n: v.astype(np.float64) for n, v in html_blocks.start().items()}

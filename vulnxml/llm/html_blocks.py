@@ -46,6 +46,8 @@ _PART = re.compile(r"[a-z]+")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr br".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN_TAGS = ("script", "style", "title", "noscript", "template", "textarea", "svg", "iframe", "object", "select")
+#: Of these, a start tag without an end tag hides nothing.
+UNCLOSED = frozenset("noscript template svg object select".split())
 _END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in HIDDEN_TAGS}
 #: A start tag that closes an open one of the second set, down to the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
@@ -80,6 +82,7 @@ def leaf_blocks(page: str | None, marks: frozenset = frozenset(("article",))) ->
     names: dict[str, int] = {}
     block: Block | None = None
     links = marked = 0
+    endless: set[str] = set()
 
     def text(raw: str) -> None:
         nonlocal block
@@ -138,8 +141,13 @@ def leaf_blocks(page: str | None, marks: frozenset = frozenset(("article",))) ->
         if tag not in INLINE:
             flush()
         if tag in _END:
+            if tag in endless or tag == "svg" and m.group(3).rstrip().endswith("/"):
+                continue
             end = _END[tag].search(page, at)
-            at = end.end() if end else len(page)
+            if end is None and tag in UNCLOSED:
+                endless.add(tag)
+            else:
+                at = end.end() if end else len(page)
             continue
         if tag in VOID:
             continue
