@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnxml.llm import ann, html_blocks, lang_id, mixing, packing, pii, quality_mil, quality_rules, simhash, warc
+from vulnxml.llm import ann, bpe, html_blocks, lang_id, mixing, packing, pii, quality_mil, quality_rules, simhash, warc
 from vulnxml.llm.common import read_table
 
 
@@ -52,6 +52,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -59,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc_index, op3_pii, op4_simhash, op5_quality_rules, op6_mixing,
-                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, pipeline)}
+                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, op11_bpe, pipeline)}
 
 ORACLE = {
     "op2_warc_index": """
