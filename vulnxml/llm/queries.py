@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnxml.llm import ann, bpe, html_blocks, lang_id, mixing, packing, pii, quality_mil, quality_rules, simhash, warc
+from vulnxml.llm import ann, bpe, html_blocks, lang_id, merkle, mixing, packing, pii, quality_mil, quality_rules, simhash, warc
 from vulnxml.llm.common import read_table
 
 
@@ -56,6 +56,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc_index, op3_pii, op4_simhash, op5_quality_rules, op6_mixing,
-                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, op11_bpe, pipeline)}
+                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, op11_bpe, op13_merkle, pipeline)}
 
 ORACLE = {
     "op2_warc_index": """
@@ -76,4 +80,52 @@ ORACLE = {
                CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to,
                strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured
         FROM p JOIN d USING (h)""",
+    "op13_merkle": """
+        WITH RECURSIVE d AS (
+          SELECT doc_id, source, row_number() OVER () AS rid,
+                 coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                 || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS fixed, text,
+                 list_reduce(list_concat([4294967295], flatten([[ascii(c), 0, 0, 0, 0, 0, 0, 0] for c in string_split(CAST(doc_id AS VARCHAR), '')])),
+                             lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS crc
+          FROM documents),
+        leaf AS (
+          SELECT doc_id, source, rid, sha256(fixed || coalesce(strlen(text) || ':' || text, '-')) AS h,
+                 CASE WHEN doc_id IS NOT NULL AND crc % 2 = 1 THEN sha256(fixed || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS claimed
+          FROM d),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM leaf),
+        nodes(source, l, i, h) AS (
+          SELECT source, 0, i, h FROM ranked
+          UNION ALL
+          SELECT source, l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i))
+          FROM (SELECT *, count(*) OVER (PARTITION BY source) AS n FROM nodes) x WHERE n > 1 GROUP BY source, l, i // 3),
+        steps AS (
+          SELECT source, l, i, coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') AS before,
+                 coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS after, max(l) OVER (PARTITION BY source) AS top
+          FROM nodes WINDOW w AS (PARTITION BY source, l, i // 3 ORDER BY i)),
+        subroots AS (
+          SELECT source, h, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i
+          FROM (SELECT *, max(l) OVER (PARTITION BY source) AS top FROM nodes) x WHERE l = top),
+        upper(l, i, h) AS (
+          SELECT 0, i, h FROM subroots
+          UNION ALL
+          SELECT l + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS n FROM upper) x WHERE n > 1 GROUP BY l, i // 3),
+        upper_steps AS (
+          SELECT l, i, coalesce(lag(h, 2) OVER w, '') || coalesce(lag(h) OVER w, '') AS before,
+                 coalesce(lead(h) OVER w, '') || coalesce(lead(h, 2) OVER w, '') AS after, max(l) OVER () AS top
+          FROM upper WINDOW w AS (PARTITION BY l, i // 3 ORDER BY i)),
+        walk(rid, source, l, i, folded, proof) AS (
+          SELECT rid, source, 0, i, coalesce(claimed, h), '' FROM ranked
+          UNION ALL
+          SELECT rid, w.source, w.l + 1, w.i // 3, sha256(before || folded || after), proof || before || after
+          FROM walk w JOIN steps s ON w.source IS NOT DISTINCT FROM s.source AND w.l = s.l AND w.i = s.i WHERE s.l < s.top),
+        at_subroot AS (SELECT * FROM (SELECT *, max(l) OVER (PARTITION BY rid) AS top FROM walk) x WHERE l = top),
+        climb(rid, subroot, l, i, folded, proof) AS (
+          SELECT rid, s.h, 0, s.i, folded, proof FROM at_subroot a JOIN subroots s ON a.source IS NOT DISTINCT FROM s.source
+          UNION ALL
+          SELECT rid, subroot, c.l + 1, c.i // 3, sha256(before || folded || after), proof || before || after
+          FROM climb c JOIN upper_steps s ON c.l = s.l AND c.i = s.i WHERE s.l < s.top),
+        ended AS (SELECT * FROM (SELECT *, max(l) OVER (PARTITION BY rid) AS top FROM climb) x WHERE l = top),
+        root AS (SELECT h FROM upper ORDER BY l DESC LIMIT 1)
+        SELECT r.doc_id, r.h AS leaf, e.subroot, root.h AS root, sha256(e.proof) AS proof_sha256, e.folded AS folded_root, e.folded = root.h AS verified
+        FROM ranked r JOIN ended e USING (rid), root""",
 }
