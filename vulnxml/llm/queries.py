@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnxml.llm import ann, bpe, html_blocks, lang_id, merkle, mixing, packing, pii, quality_mil, quality_rules, simhash, warc
+from vulnxml.llm import ann, bpe, html_blocks, lang_id, merkle, mixing, packing, pii, prefix_trie, quality_mil, quality_rules, simhash, warc
 from vulnxml.llm.common import read_table
 
 
@@ -56,6 +56,10 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.digests(read_table(spark, sf_dir, "conversations"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(read_table(spark, sf_dir, "documents"))
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_warc_index, op3_pii, op4_simhash, op5_quality_rules, op6_mixing,
-                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, op11_bpe, op13_merkle, pipeline)}
+                                   op7_nearest, op8_quality_mil, op9_main_text, op10_packing, op11_bpe, op12_prefix_trie, op13_merkle, pipeline)}
 
 ORACLE = {
     "op2_warc_index": """
