@@ -84,6 +84,34 @@ ORACLE = {
                CASE WHEN page_id IS DISTINCT FROM response THEN response END AS refers_to,
                strftime(TIMESTAMP '2024-01-01 00:00:00' + to_seconds(coalesce(page_id, 0)), '%Y-%m-%dT%H:%M:%SZ') AS captured
         FROM p JOIN d USING (h)""",
+    "op12_prefix_trie": """
+        WITH t AS (
+          SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                 sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS s FROM conversations WHERE conv_id IS NOT NULL),
+        own AS (
+          SELECT c, role, text, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, substr(s, 1, 1) >= '8' DESC, substr(s, 1, 16),
+                 substr(s, 17, 1) >= '8' DESC, substr(s, 17, 16)) - 1 AS i FROM t),
+        convs AS (
+          SELECT c, c - c % 5 AS base, xor(list_reduce(list_concat([4294967295], flatten([[ascii(x), 0, 0, 0, 0, 0, 0, 0] for x in string_split(CAST(c AS VARCHAR), '')])),
+                 lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 9 AS h FROM (SELECT DISTINCT c FROM own)),
+        rebuilt AS (
+          SELECT v.c, i, role, text FROM convs v JOIN own o ON o.c = v.base WHERE i < h
+          UNION ALL SELECT v.c, i, role, text FROM convs v JOIN own o ON o.c = v.c WHERE i >= h),
+        p AS (
+          SELECT c, row_number() OVER w AS d, strlen(text) AS b,
+                 string_agg(strlen(role) || ':' || role || strlen(text) || ':' || text, '') OVER (PARTITION BY c ORDER BY i ROWS UNBOUNDED PRECEDING) AS k
+          FROM rebuilt WINDOW w AS (PARTITION BY c ORDER BY i)
+          UNION ALL SELECT c, 0, 0, '' FROM convs),
+        q AS (SELECT *, max(d) OVER (PARTITION BY c) AS n, lag(k) OVER (PARTITION BY c ORDER BY d) AS up FROM p),
+        nodes AS (
+          SELECT k, d, any_value(up) AS up, any_value(b) AS b, min(c) AS conv_id, count(*) AS n_convs, max(n) > d AS inner_node,
+                 sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends_sha256 FROM q GROUP BY k, d),
+        sums AS (
+          SELECT q.k, count(*) FILTER (WHERE NOT inner_node) AS n_leaves, sum((n_convs - 1) * o.b) AS saved
+          FROM nodes o JOIN q ON q.c = o.conv_id AND q.d <= o.d GROUP BY q.k)
+        SELECT o.conv_id, o.d AS depth, u.conv_id AS parent_conv_id, o.n_convs, (SELECT count(*) FROM nodes x WHERE x.up = o.k) AS n_children,
+               s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, o.ends_sha256
+        FROM nodes o JOIN sums s USING (k) LEFT JOIN nodes u ON u.k = o.up""",
     "op13_merkle": """
         WITH RECURSIVE d AS (
           SELECT doc_id, source, row_number() OVER () AS rid,
