@@ -405,7 +405,59 @@ def test_label_groups_save_levels(spark):
     saved = {0: None, 1: None, 2: None, 5: None}
     last = {tuple(r) for r in split_label_groups(feats, max_leaf=3, seed=5, saved=saved).collect()}
     assert saved[5] is None and {tuple(r) for r in saved[2].collect()} == last
-    for x in (0, 1, 2):
-        rows = saved[x].collect()
-        assert len({r["label"] for r in rows}) == len(rows) == 12 and {r["group_id"] for r in rows} == set(range(2 ** x))
-    assert {(r["label"], r["node"]) for r in saved[1].collect()} == {(lab, node[:1]) for lab, _, node in last}
+    assert {r["node"] for r in saved[1].collect()} == {"0", "1"} and saved[0].select("group_id").distinct().count() == 1
+
+
+def _unit_labels(n, seed, terms=40):
+    import random
+    rnd = random.Random(seed)
+    vecs = {}
+    for i in range(n):
+        v = {t: rnd.random() for t in rnd.sample(range(terms), rnd.randint(1, 5))}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        vecs[f"L{i:05d}"] = {t: x / norm for t, x in v.items()}
+    return vecs
+
+
+@pytest.mark.parametrize("node_rows", [0, 30, 1 << 20])
+def test_label_groups_rounds_and_tasks_agree(spark, node_rows):
+    """Splits by all tasks (0), by both (30) and inside tasks give the same."""
+    from vulnxml.operators.cluster import split_label_groups
+    vecs = _unit_labels(21, 7, 12)
+    feats = spark.createDataFrame([(a, t, x) for a, v in vecs.items() for t, x in v.items()], "label string, term_id long, weight double")
+    got = {r["label"]: r["group_id"] for r in split_label_groups(feats, max_leaf=4, seed=2, labels=spark.createDataFrame([("none",)], "label string"), node_rows=node_rows).collect()}
+    assert got == _groups_brute_force({**vecs, "none": {}}, 4, 1e-4, 2)
+
+
+def test_label_groups_ten_thousand(spark):
+    from vulnxml.operators.cluster import split_label_groups
+    vecs = _unit_labels(10_000, 8, 300)
+    feats = spark.createDataFrame([(a, t, x) for a, v in vecs.items() for t, x in v.items()], "label string, term_id long, weight double")
+    rows = split_label_groups(feats, max_leaf=100, seed=2).collect()
+    sizes = {}
+    for r in rows:
+        sizes[r["node"]] = sizes.get(r["node"], 0) + 1
+    assert sorted(r["label"] for r in rows) == sorted(vecs)
+    assert len(sizes) == 128 and set(sizes.values()) == {78, 79}
+    assert {r["label"]: r["group_id"] for r in rows} == _groups_brute_force(vecs, 100, 1e-4, 2)
+
+
+def test_label_groups_edge_cases(spark):
+    from vulnxml.operators.cluster import split_label_groups
+    schema = "label string, term_id long, weight double"
+    assert split_label_groups(spark.createDataFrame([], schema), max_leaf=2).collect() == []
+    one = split_label_groups(spark.createDataFrame([("a", 1, 2.0)], schema), max_leaf=2).collect()
+    assert [tuple(r) for r in one] == [("a", 0, "")]
+    same = spark.createDataFrame([(f"L{i}", 1, 1.0) for i in range(9)], schema)
+    for node_rows in (0, 100):
+        got = {r["label"]: r["node"] for r in split_label_groups(same, max_leaf=3, node_rows=node_rows).collect()}
+        assert got == {f"L{i}": "0" + "01"[i > 1] if i < 4 else "1" + "01"[i > 5] for i in range(9)}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 40_000])
+def test_cut_key_is_the_median(spark, n):
+    from vulnxml.operators.cluster import _cut_key
+    from pyspark.sql import functions as F
+    df = spark.range(n).select(F.lit("x").alias("node"), (F.shiftleft(F.col("id") * 7919 % n % 1000, 31) + F.col("id")).alias("key"))
+    keys = sorted(((i * 7919 % n % 1000) << 31) + i for i in range(n))
+    assert [tuple(r) for r in _cut_key(df).collect()] == [("x", keys[n // 2])]
