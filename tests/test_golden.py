@@ -461,3 +461,46 @@ def test_cut_key_is_the_median(spark, n):
     df = spark.range(n).select(F.lit("x").alias("node"), (F.shiftleft(F.col("id") * 7919 % n % 1000, 31) + F.col("id")).alias("key"))
     keys = sorted(((i * 7919 % n % 1000) << 31) + i for i in range(n))
     assert [tuple(r) for r in _cut_key(df).collect()] == [("x", keys[n // 2])]
+
+
+def _small_scorer(spark, **kw):
+    from vulnxml.streaming.score_stream import pack_scorer
+    weights = spark.createDataFrame([(j, [float((j * 5 + d) % 7) / 7 for d in range(64)], 0.0) for j in range(6)], "label_id long, w array<double>, bias double")
+    return pack_scorer(spark, weights, spark.createDataFrame([(f"L{j}", j) for j in range(6)], "label string, label_id long"), **kw)
+
+
+def test_scorer_broadcast_equals_blocks(spark):
+    from vulnxml.streaming.score_stream import score_batch
+    docs = spark.createDataFrame([(1, "a buffer overflow in x"), (2, None), (3, ""), (4, "zz " * 500), (5, "a b")], "doc_id long, text string")
+    here = {tuple(r) for r in score_batch(docs, _small_scorer(spark)).collect()}
+    there = {tuple(r) for r in score_batch(docs, _small_scorer(spark, broadcast_bytes=0)).collect()}
+    assert here == there and len(here) == 5
+    assert dict(here)[2] == dict(here)[3] == "L0,L1,L2"  # a zero vector: ties by label id
+
+
+def test_stream_batches_need_no_shuffle(spark, tmp_path):
+    import os
+    from vulnxml.session import ensure_checkpoint_dir
+    from vulnxml.streaming.score_stream import score_batch, score_stream
+    scorer = _small_scorer(spark)
+    docs = spark.createDataFrame([(i, f"word{i % 5} and more") for i in range(40)], "doc_id long, text string")
+    assert "Exchange" not in score_batch(docs, scorer)._jdf.queryExecution().executedPlan().toString()
+    src = str(tmp_path / "in")
+    for i in range(50):
+        docs.where(f"doc_id % 50 = {i}").coalesce(1).write.mode("append").parquet(src)
+    kept = lambda: sorted(os.listdir(ensure_checkpoint_dir(spark).removeprefix("file:")))
+    before = kept()
+    for run in (1, 2):  # a second run finds nothing new
+        score_stream(spark, src, scorer, str(tmp_path / "out"), str(tmp_path / "ckpt"), file_glob="*.parquet")
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+    assert kept() == before  # no micro-batch leaves a checkpoint
+
+
+def test_best_columns_ties_and_k():
+    import numpy as np
+    from vulnxml.operators.vectors import best_columns
+    s = np.array([[0.1, 0.3, 0.3, 0.2], [0.5, 0.5 + 1e-12, 0.5, 0.5], [0.0, 0.0, 0.0, -1.0]])
+    for k in (1, 2, 3, 4, 9):
+        rows, cols = best_columns(s, k)
+        want = [(r, c) for r in range(3) for c in sorted(range(4), key=lambda c: (-round(s[r, c], 9), c))[:k]]
+        assert list(zip(rows.tolist(), cols.tolist())) == want

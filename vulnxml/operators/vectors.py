@@ -11,19 +11,21 @@ product at a time, and keeps the best ``k`` of a block, not the whole product.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnxml.functions.text import words
-from vulnxml.session import cut_lineage
+from vulnxml.session import write_and_read
 
 # Similarities are compared after rounding to this many decimals (ties -> key).
 SIM_DECIMALS = 9
 # Bytes of a block of keys, of a chunk of vectors and of a slice of their product.
 BLOCK_BYTES = 4 << 20
-# Tasks that share the chunks of one block.
+# Tasks that share the chunks of one block at most.
 SALTS = 16
 
 
@@ -39,25 +41,46 @@ def dot(a, b) -> F.Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _blocks(keys: DataFrame, names: str, n_keys: int, dim: int) -> tuple[DataFrame, int]:
-    """(blk, names, mat, bias): the rows of ``keys`` (name, vec, bias) in blocks
-    of about ``BLOCK_BYTES``, sorted by name inside a block."""
-    per_block = max(1, BLOCK_BYTES // (8 * dim))
-    n_blocks = max(1, -(-n_keys // per_block))
+@dataclass
+class PackedKeys:
+    """A key or label matrix, packed once: blocks (blk, names, mat, bias) as a
+    written table, and the vectors' length."""
+
+    blocks: DataFrame
+    n_blocks: int
+    dim: int
+    name_type: str
+
+
+def pack_keys(keys: DataFrame, name_type: str, cosine: bool) -> PackedKeys:
+    """Packs the rows of ``keys`` (name, vec, bias) into blocks of about
+    ``BLOCK_BYTES``, sorted by name inside a block. ``cosine``: at unit length."""
+    keys = write_and_read(keys, "keys")
+    size = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
+    dim = max(1, size["dim"] or 1)
+    n_blocks = max(1, -(-size["n"] // max(1, BLOCK_BYTES // (8 * dim))))
+
+    def pack(part: pa.Table) -> pa.Table:
+        part = part.sort_by("name")
+        mat = _matrix(part.column("vec"), dim)
+        mat = _unit_rows(mat) if cosine else mat
+        return pa.table({"blk": part.column("blk")[:1], "names": pa.array([part.column("name").to_pylist()], pa.list_(out_type)),
+                         "mat": pa.array([mat.tobytes()], pa.binary()), "bias": pa.array([part.column("bias").to_pylist()], pa.list_(pa.float64()))})
 
-    def pack(pdf):
-        import pandas as pd
-        pdf = pdf.sort_values("name")
-        mat = np.array(list(pdf["vec"]), dtype=np.float64)
-        return pd.DataFrame({"blk": [int(pdf["blk"].iloc[0])], "names": [list(pdf["name"])], "mat": [mat.tobytes()],
-                             "bias": [list(pdf["bias"])]})
+    out_type = pa.int64() if name_type == "long" else pa.string()
     packed = (keys.withColumn("blk", F.pmod(F.xxhash64("name"), F.lit(n_blocks)))
-              .groupBy("blk").applyInPandas(pack, f"blk long, names array<{names}>, mat binary, bias array<double>"))
-    return packed, n_blocks
+              .groupBy("blk").applyInArrow(pack, f"blk long, names array<{name_type}>, mat binary, bias array<double>"))
+    return PackedKeys(write_and_read(packed, "key-blocks"), n_blocks, dim, name_type)
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Rows of a list column of equal lengths."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
 
 
 def _chunks(vectors: DataFrame, dim: int) -> DataFrame:
-    """(ids, x): the rows of ``vectors`` (id long, vec) in chunks of at most
+    """(ids, x): the rows of ``vectors`` (id, vec) in chunks of at most
     ``BLOCK_BYTES``, made inside each partition."""
     per_chunk = max(1, BLOCK_BYTES // (8 * dim))
 
@@ -65,54 +88,57 @@ def _chunks(vectors: DataFrame, dim: int) -> DataFrame:
         for b in batches:
             for at in range(0, b.num_rows, per_chunk):
                 part = b.slice(at, per_chunk)
-                x = np.array(part.column("vec").to_pylist(), dtype=np.float64)
+                ids = part.column("id")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.column("id").to_pylist()], pa.list_(pa.string())), pa.array([x.tobytes()], pa.binary())],
+                    [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([_matrix(part.column("vec"), dim).tobytes()], pa.binary())],
                     ["ids", "x"])
     return vectors.select(F.col("id").cast("string").alias("id"), "vec").mapInArrow(pack, "ids array<string>, x binary")
 
 
-def _scores(vectors: DataFrame, keys: DataFrame, name_type: str, k: int | None, cosine: bool) -> DataFrame:
+def best_columns(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``k`` best scores of each row, best first. Scores
+    are ranked after rounding, so that mathematically equal ones tie exactly and
+    fall to the column order, whatever the float path. Only the columns that
+    reach the k-th score are put in order."""
+    k = min(k, s.shape[1])
+    least = s.max(axis=1) if k == 1 else np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    rows, cols = np.nonzero(s >= (np.round(least, SIM_DECIMALS) - 10.0 ** -SIM_DECIMALS)[:, None])
+    order = np.lexsort((cols, -np.round(s[rows, cols], SIM_DECIMALS), rows))
+    rows, cols = rows[order], cols[order]
+    place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+    return rows[place < k], cols[place < k]
+
+
+def _scores(vectors: DataFrame, keys: PackedKeys, k: int | None, cosine: bool) -> DataFrame:
     """(id string, name, score): every key's score, or the best ``k`` per vector
     (ranked by rounded score, ties to the smaller name)."""
-    keys = cut_lineage(keys)
-    size = keys.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("dim")).first()
-    dim = max(1, size["dim"] or 1)
-    blocks, n_blocks = _blocks(keys, name_type, size["n"], dim)
-    salted = blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    pairs = (_chunks(vectors, dim).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"))
-             .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
+    # Few blocks are copied, so that every core gets one; many are not.
+    salts = max(1, min(SALTS, 2 * vectors.sparkSession.sparkContext.defaultParallelism // keys.n_blocks))
+    salted = keys.blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pairs = (_chunks(vectors, keys.dim).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+             .withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(keys.n_blocks - 1).cast("long"))))
              .join(salted, ["blk", "salt"]).select("ids", "x", "names", "mat", "bias"))
-    out_type = pa.int64() if name_type == "long" else pa.string()
 
     def score(batches):
         for b in batches:
             for r in range(b.num_rows):
-                ids, names = b.column("ids")[r].as_py(), b.column("names")[r].as_py()
+                ids, names = b.column("ids")[r].values, b.column("names")[r].values
                 x = np.frombuffer(b.column("x")[r].as_buffer(), dtype=np.float64).reshape(len(ids), -1)
                 mat = np.frombuffer(b.column("mat")[r].as_buffer(), dtype=np.float64).reshape(len(names), -1)
-                bias = np.array(b.column("bias")[r].as_py(), dtype=np.float64)
-                if cosine:
-                    x, mat = _unit_rows(x), _unit_rows(mat)
+                bias = b.column("bias")[r].values.to_numpy()
+                x = _unit_rows(x) if cosine else x
                 step = max(1, BLOCK_BYTES // (8 * len(names)))
                 for at in range(0, len(ids), step):
                     s = x[at:at + step] @ mat.T + bias
-                    part = ids[at:at + step]
                     if k is None:
-                        cols = np.tile(np.arange(len(names)), len(part))
-                        rows, vals = np.repeat(np.arange(len(part)), len(names)), s.ravel()
+                        rows, cols = np.repeat(np.arange(len(s)), len(names)), np.tile(np.arange(len(names)), len(s))
                     else:
-                        # Ranked after rounding, so that mathematically equal scores tie
-                        # exactly and fall to the name order, whatever the float path.
-                        best = np.argsort(-np.round(s, SIM_DECIMALS), axis=1, kind="stable")[:, :k]
-                        rows, cols = np.repeat(np.arange(len(part)), best.shape[1]), best.ravel()
-                        vals = s[rows, cols]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([part[i] for i in rows], pa.string()), pa.array([names[c] for c in cols], out_type),
-                         pa.array(vals, pa.float64())], ["id", "name", "score"])
-
-    out = pairs.mapInArrow(score, f"id string, name {name_type}, score double")
-    if k is None:
+                        rows, cols = best_columns(s, k)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows + at)), names.take(pa.array(cols)), pa.array(s[rows, cols], pa.float64())],
+                                                     ["id", "name", "score"])
+
+    out = pairs.mapInArrow(score, f"id string, name {keys.name_type}, score double")
+    if k is None or keys.n_blocks == 1:
         return out
     w = Window.partitionBy("id").orderBy(F.desc(F.round("score", SIM_DECIMALS)), "name")
     return out.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")
@@ -133,19 +159,23 @@ def nearest_key(queries: DataFrame, keys: DataFrame, query_col: str = "query", k
     if keys.isEmpty():
         return q.select(F.col("id").alias("query"), F.lit(None).cast("string").alias("nearest"),
                         F.lit(None).cast("double").alias("sim"))
-    return _scores(q, kk, "string", 1, cosine=True).select(
+    return _scores(q, pack_keys(kk, "string", cosine=True), 1, cosine=True).select(
         F.col("id").alias("query"), F.col("name").alias("nearest"), F.col("score").alias("sim"))
 
 
-def linear_scores(vectors: DataFrame, weights: DataFrame, id_col: str = "doc_id", label_col: str = "label_id",
+def pack_weights(weights: DataFrame, label_col: str = "label_id", bias_col: str | None = "bias") -> PackedKeys:
+    """The weights of R4 (label, w, bias), packed once for any number of calls."""
+    b = F.coalesce(F.col(bias_col).cast("double"), F.lit(0.0)) if bias_col else F.lit(0.0)
+    return pack_keys(weights.select(F.col(label_col).cast("long").alias("name"), F.col("w").cast("array<double>").alias("vec"), b.alias("bias")), "long", cosine=False)
+
+
+def linear_scores(vectors: DataFrame, weights: DataFrame | PackedKeys, id_col: str = "doc_id", label_col: str = "label_id",
                   bias_col: str | None = "bias", k: int | None = None) -> DataFrame:
     """logit = w_label . x + b_label -> (doc_id, label_id, score), for every
     label or, with ``k``, for the k best labels of each vector."""
-    b = F.coalesce(F.col(bias_col).cast("double"), F.lit(0.0)) if bias_col else F.lit(0.0)
-    w = weights.select(F.col(label_col).cast("long").alias("name"), F.col("w").cast("array<double>").alias("vec"),
-                       b.alias("bias"))
+    packed = weights if isinstance(weights, PackedKeys) else pack_weights(weights, label_col, bias_col)
     v = vectors.select(F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    return _scores(v, w, "long", k, cosine=False).select(
+    return _scores(v, packed, k, cosine=False).select(
         F.col("id").cast("long").alias(id_col), F.col("name").alias(label_col), "score")
 
 

@@ -1,5 +1,4 @@
-"""T1 registered queries: the streaming scorer and its batch twin (rows check;
-the hashed vectors use Spark's xxhash64, which the SQL oracle lacks)."""
+"""T1 registered queries: the streaming scorer and its batch twin, both with a SQL twin."""
 
 from __future__ import annotations
 
@@ -12,25 +11,24 @@ from vulnxml.plans.queries_vocab import doc_split
 from vulnxml.sources.fixtures import fx_doclabels, fx_labelmap, with_fx
 from vulnxml.sources.formats import scratch_dir
 from vulnxml.sources.tables import read_table
-from vulnxml.streaming.score_stream import fit_centroids, score_batch, score_stream
+from vulnxml.streaming.score_stream import fit_centroids, pack_scorer, score_batch, score_stream
 
 
-def _weights(spark, sf):
+def _scorer(spark, sf):
     docs = read_table(spark, sf, "documents")
     train = docs.join(doc_split(spark, sf).filter("split = 'train'"), "doc_id")
-    return fit_centroids(train, fx_doclabels(spark, sf), fx_labelmap(spark, sf))
+    lmap = fx_labelmap(spark, sf)
+    return pack_scorer(spark, fit_centroids(train, fx_doclabels(spark, sf), lmap), lmap)
 
 
 def _q_stream(spark, sf):
     base = scratch_dir(spark, "stream")
-    score_stream(spark, sf, _weights(spark, sf), fx_labelmap(spark, sf), os.path.join(base, "sink"),
-                 os.path.join(base, "checkpoint"))
+    score_stream(spark, sf, _scorer(spark, sf), os.path.join(base, "sink"), os.path.join(base, "checkpoint"))
     return spark.read.parquet(os.path.join(base, "sink")).select("doc_id", "labels")
 
 
 def _q_batch(spark, sf):
-    return score_batch(read_table(spark, sf, "documents"), _weights(spark, sf), fx_labelmap(spark, sf)).select(
-        "doc_id", "labels")
+    return score_batch(read_table(spark, sf, "documents"), _scorer(spark, sf)).select("doc_id", "labels")
 
 
 QUERIES_STREAM = {"T1_score_stream": _q_stream, "T1_score_batch": _q_batch}
