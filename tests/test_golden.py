@@ -504,3 +504,60 @@ def test_best_columns_ties_and_k():
         rows, cols = best_columns(s, k)
         want = [(r, c) for r in range(3) for c in sorted(range(4), key=lambda c: (-round(s[r, c], 9), c))[:k]]
         assert list(zip(rows.tolist(), cols.tolist())) == want
+
+
+def _iterative_twin(ids, labels_of, num, den, seed):
+    import hashlib
+    order = lambda d: (hashlib.md5(f"{seed}|{d}".encode()).hexdigest(), d)
+    docs_of = {}
+    for d in ids:
+        for lab in labels_of.get(d, ()):
+            docs_of.setdefault(lab, set()).add(d)
+    lack = {lab: (2 * num * len(v) + den) // (2 * den) for lab, v in docs_of.items()}
+    open_, test = {d for d in ids if labels_of.get(d)}, set()
+    while open_:
+        lab = min((len(v & open_), x) for x, v in docs_of.items() if v & open_)[1]
+        mine = sorted(docs_of[lab] & open_, key=order)
+        new = set(mine[:max(0, lack[lab])])
+        test |= new
+        open_ -= set(mine)
+        for d in new:
+            for x in labels_of[d]:
+                lack[x] -= 1
+    missing = len(ids) * num // den - len(test)
+    can = [d for d in ids if (d not in test) == (missing > 0) and (missing > 0 or labels_of.get(d))]
+    for d in sorted(can, key=lambda d: (len(labels_of.get(d, ())), *order(d)))[:abs(missing)]:
+        (test.add if missing > 0 else test.discard)(d)
+    return test
+
+
+@pytest.mark.parametrize("bare", [0, 30])
+def test_iterative_split_equals_twin(spark, bare):
+    import random
+    from vulnxml.operators.split import iterative_split
+    rnd = random.Random(3)
+    labels_of = {d: {f"L{min(int(rnd.expovariate(0.4)), 7)}" for _ in range(rnd.randint(1, 3))} for d in range(160)}
+    ids = list(range(160 + bare))
+    docs = spark.createDataFrame([(d,) for d in ids], "doc_id long")
+    dl = spark.createDataFrame([(d, x) for d, v in labels_of.items() for x in v] + [(9999, "L0")], "doc_id long, label string")
+    rows = iterative_split(docs, dl, 1, 5, seed=4).collect()
+    got = {r["doc_id"] for r in rows if r["split"] == "test"}
+    assert len(rows) == len(ids) and len(got) == len(ids) // 5
+    assert got == _iterative_twin(ids, labels_of, 1, 5, 4)
+    # Several labels a round: still the exact size and shares near the quota.
+    band = iterative_split(docs, dl, 1, 5, seed=4, rounds=3).where("split = 'test'").collect()
+    assert len(band) == len(ids) // 5
+    for lab in {x for v in labels_of.values() for x in v}:
+        n = sum(lab in v for v in labels_of.values())
+        for chosen in (got, {r["doc_id"] for r in band}):
+            assert abs(sum(lab in labels_of.get(d, ()) for d in chosen) - n / 5) <= max(3, 0.1 * n)
+
+
+def test_iterative_split_edge_cases(spark):
+    from vulnxml.operators.split import iterative_split
+    none = spark.createDataFrame([], "doc_id long, label string")
+    docs = spark.createDataFrame([(d,) for d in (1, 1, 2, 3, 4, 5, 6)], "doc_id long")
+    assert sorted(r["split"] for r in iterative_split(docs, none, 1, 3).collect()) == ["test"] * 2 + ["train"] * 4
+    assert iterative_split(docs.limit(0), none).collect() == []
+    one = spark.createDataFrame([(d, "a") for d in range(1, 7)] * 2, "doc_id long, label string")
+    assert iterative_split(docs, one, 1, 2).where("split = 'test'").count() == 3

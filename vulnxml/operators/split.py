@@ -3,10 +3,17 @@ and SQL engines give the same order."""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnxml.operators.ids import with_sequential_id
+from vulnxml.session import write_and_read
+
+# Rounds of the iterative split over the labels; with more labels than that a
+# round settles several.
+ROUNDS = 64
 
 
 def seeded_hash(seed, id_col: str = "doc_id") -> Column:
@@ -39,6 +46,55 @@ def stratified_split(docs: DataFrame, doc_labels: DataFrame, num: int = 1, den:
     return ranked.select(F.col("doc_id").alias(id_col), F.when(is_test, "test").otherwise("train").alias("split"))
 
 
+def iterative_split(docs: DataFrame, doc_labels: DataFrame, num: int = 1, den: int = 5, seed: int = 42,
+                    id_col: str = "doc_id", rounds: int = ROUNDS) -> DataFrame:
+    """D1, iterative form -> (doc_id, split in {'train','test'}): every label has
+    a quota, its share of test docs. A round takes the label with the fewest
+    docs not yet settled (ties by name; ``ceil(labels / rounds)`` labels at
+    once) and settles those docs: as many as its quota still lacks go to test,
+    the first in seeded order, the others to train; what they bring counts
+    towards the quotas of all their labels. With several labels in a round a doc
+    belongs to its rarest one, which fills its part of the quota. Docs without
+    labels come last and bring the test split to floor(N*num/den) docs; if they
+    can't, the docs with the fewest labels change sides. Only unsettled rows are
+    carried into the next round; the rank inside a label is a range-partitioned
+    number, so a label of a third of all docs is spread over the tasks."""
+    ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
+    dl = doc_labels.select(F.col(id_col).alias("doc_id"), "label").distinct().join(ids, "doc_id", "left_semi")
+    left = write_and_read(dl.withColumn("h", seeded_hash(seed)), "split-left")
+    n_labels = dl.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    bare = ids.join(n_labels, "doc_id", "left_anti")
+    quota = F.floor((F.col("n") * (2 * num) + den) / (2 * den)).cast("bigint")
+    lacks = write_and_read(left.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", quota.alias("lack")), "split-lack")
+    each = max(1, -(-lacks.count() // rounds))
+    settled = []
+    while not left.isEmpty():
+        band = left.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).orderBy("rows", "label").limit(each).join(lacks, "label")
+        own = (left.join(band, "label").groupBy("doc_id", "h").agg(F.min(F.struct("rows", "label", "lack")).alias("s"))
+               .select("doc_id", "h", F.col("s.label").alias("label"), F.col("s.rows").alias("rows"), F.col("s.lack").alias("lack")))
+        numbered = with_sequential_id(own, ["label", "h", "doc_id"], "seq")
+        first = numbered.groupBy("label").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("own"))
+        takes = F.round(F.col("lack") * F.col("own") / F.col("rows"))
+        done = write_and_read(numbered.join(first, "label").select("doc_id", (F.col("seq") - F.col("first") < takes).alias("test")), "split-done")
+        settled.append(done)
+        brought = left.join(done.where("test"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("got"))
+        lacks = write_and_read(lacks.join(brought, "label", "left").select("label", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("lack")), "split-lack")
+        left = write_and_read(left.join(done, "doc_id", "left_anti"), "split-left")
+    if not settled:
+        settled.append(ids.limit(0).withColumn("test", F.lit(True)))
+    some = functools.reduce(DataFrame.unionByName, settled)
+    want = ids.count() * num // den
+    missing = want - some.where("test").count()
+    # Docs that change sides: those without labels, then those with few.
+    turn = missing > 0
+    spare = (bare.select("doc_id", F.lit(0).alias("n_labels"), F.lit(not turn).alias("test")) if turn else bare.limit(0).select("doc_id", F.lit(0).alias("n_labels"), F.lit(True).alias("test")))
+    movable = some.where(F.col("test") != F.lit(turn)).join(n_labels, "doc_id").select("doc_id", "n_labels", "test").unionByName(spare)
+    moved = movable.orderBy("n_labels", seeded_hash(seed), "doc_id").limit(abs(missing)).select("doc_id", F.lit(turn).alias("new"))
+    every = some.unionByName(bare.select("doc_id", F.lit(False).alias("test")))
+    return (every.join(moved, "doc_id", "left")
+            .select(F.col("doc_id").alias(id_col), F.when(F.coalesce("new", "test"), "test").otherwise("train").alias("split")))
+
+
 def holdout(corpus: DataFrame, n: int = 400, seed: int = 1240, id_col: str = "doc_id",
             from_split: str = "train", to_split: str = "valid") -> DataFrame:
     """Exactly n rows of ``from_split`` (smallest seeded hash) become ``to_split``.

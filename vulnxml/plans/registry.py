@@ -36,6 +36,13 @@ def _q_split(spark, sf):
     return train.unionByName(test).select("report_id", "split")
 
 
+def _q_iterative_split(spark, sf):
+    from vulnxml.operators.split import iterative_split
+    from vulnxml.sources.fixtures import fx_labels
+    ids = cpe_flow.report_sets(spark, sf).select(F.col("report_id").alias("doc_id"))
+    return iterative_split(ids, fx_labels(spark, sf), cpe_flow.TEST_NUM, cpe_flow.TEST_DEN, cpe_flow.SPLIT_SEED).withColumnRenamed("doc_id", "report_id")
+
+
 def _q_matcher(spark, sf):
     return cpe_flow.matcher_table(spark, sf).select("key", "label", F.col("cnt").cast("bigint").alias("cnt"))
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "P7_parse_list_repr": _q_parse_list,
     "A1_library_sets": _q_library_sets,
     "D1_stratified_split": _q_split,
+    "D1_iterative_split": _q_iterative_split,
     "A2_build_matcher": _q_matcher,
     "A3_select_labels": _q_selected,
     "A3_select_labels_top_n": _q_selected_top_n,
