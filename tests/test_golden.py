@@ -455,12 +455,19 @@ def test_label_groups_edge_cases(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 40_000])
-def test_cut_key_is_the_median(spark, n):
-    from vulnxml.operators.cluster import _cut_key
+def test_rank_cuts(spark, n):
+    from vulnxml.operators.ids import median_bracket, rank_cuts, uniform_bracket
     from pyspark.sql import functions as F
-    df = spark.range(n).select(F.lit("x").alias("node"), (F.shiftleft(F.col("id") * 7919 % n % 1000, 31) + F.col("id")).alias("key"))
+    df = spark.range(n).select(F.lit("x").alias("g"), (F.shiftleft(F.col("id") * 7919 % n % 1000, 31) + F.col("id")).alias("key"))
     keys = sorted(((i * 7919 % n % 1000) << 31) + i for i in range(n))
-    assert [tuple(r) for r in _cut_key(df).collect()] == [("x", keys[n // 2])]
+    assert rank_cuts(df, "g", median_bracket(df, "g")).first()["cut"] == keys[n // 2]
+    hashes = spark.range(n).select(F.explode(F.array(*map(F.lit, range(4)))).alias("g"), F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("bigint").alias("key"))
+    targets = [0, n // 2, n // 5, n]
+    counted = spark.createDataFrame([(g, n, t) for g, t in enumerate(targets)], "g int, n long, target long")
+    import hashlib
+    keys = sorted(int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16) for i in range(n))
+    got = {r["g"]: r["cut"] for r in rank_cuts(hashes, "g", uniform_bracket(counted, "g", 1 << 60)).collect()}
+    assert got == {g: None if t >= n else 0 if t == 0 else keys[t] for g, t in enumerate(targets)}
 
 
 def _small_scorer(spark, **kw):

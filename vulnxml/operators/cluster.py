@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnxml.operators.ids import with_sequential_id
+from vulnxml.operators.ids import median_bracket, rank_cuts, with_sequential_id
 from vulnxml.session import write_and_read
 
 # Differences of similarities are compared after rounding to this many decimals.
 SIM_DECIMALS = 9
-# Accuracy of the quantile sketch; feature rows of a node that one task may split.
-SKETCH, NODE_ROWS = 10_000, 1 << 21
+# Feature rows of a node that one task may split.
+NODE_ROWS = 1 << 21
 
 
 def _l2(df: DataFrame, keys: list[str], w: str = "weight") -> DataFrame:
@@ -51,23 +51,6 @@ def _rounded(col: F.Column) -> F.Column:
     return F.round(col * F.lit(10.0 ** SIM_DECIMALS)).cast("bigint")
 
 
-def _cut_key(sims: DataFrame) -> DataFrame:
-    """(node, cut): per node the key of rank floor(n / 2), by a quantile sketch
-    and an exact count. The sketch (partial aggregates of bounded size) brackets
-    the median, rows below the bracket are counted, and only the keys inside it,
-    some ``n / SKETCH``, are put in order."""
-    near = (0.5 - 2.0 / SKETCH, 0.5 + 2.0 / SKETCH)
-    # The sketch works on doubles: keys of 63 bits are off by less than 2^11.
-    bracket = sims.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("key", list(near), SKETCH).alias("q")).select(
-        "node", "n", (F.col("q")[0] - (1 << 11)).alias("lo"), (F.col("q")[1] + (1 << 11)).alias("hi"))
-    inside = F.when(F.col("key").between(F.col("lo"), F.col("hi")), F.col("key"))
-    counted = sims.select("node", "key").join(bracket, "node").groupBy("node").agg(
-        F.sum((F.col("key") < F.col("lo")).cast("bigint")).alias("below"), F.array_sort(F.collect_list(inside)).alias("keys"), F.max("n").alias("n"))
-    at = (F.floor(F.col("n") / 2) - F.col("below")).cast("int")
-    found = F.when((at >= 0) & (at < F.size("keys")), F.get("keys", at)).otherwise(F.raise_error(F.lit("median outside its bracket")).cast("bigint"))
-    return counted.select("node", found.alias("cut"))
-
-
 def _round(work: DataFrame, feats: DataFrame, centers: DataFrame, prev: DataFrame, eps: float) -> DataFrame:
     """(label, lid, node, side, obj, stop): one round of balanced 2-means for
     all nodes of ``work`` (label, lid, node). ``centers``: (node, term_id, c0, c1)."""
@@ -76,7 +59,8 @@ def _round(work: DataFrame, feats: DataFrame, centers: DataFrame, prev: DataFram
     # One integer orders a node's labels: the rounded difference, then the label.
     key = F.shiftleft(_rounded(F.col("d1") - F.col("d0")) + F.lit(1 << 31), 31).bitwiseOR(F.col("lid"))
     sims = work.join(dots, ["node", "label"], "left").fillna(0.0, ["d0", "d1"]).withColumn("key", key)
-    sides = sims.join(_cut_key(sims), "node").select(
+    cuts = rank_cuts(sims, "node", median_bracket(sims, "node"))
+    sides = sims.join(cuts, "node").select(
         "label", "lid", "node", (F.col("key") >= F.col("cut")).cast("int").alias("side"),
         F.when(F.col("key") < F.col("cut"), F.col("d0")).otherwise(F.col("d1")).alias("sim"))
     gain = sides.groupBy("node").agg(F.avg("sim").alias("obj")).join(prev, "node", "left")

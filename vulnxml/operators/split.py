@@ -8,7 +8,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnxml.operators.ids import with_sequential_id
+from vulnxml.operators.ids import rank_cuts, uniform_bracket, with_sequential_id
 from vulnxml.session import write_and_read
 
 # Rounds of the iterative split over the labels; with more labels than that a
@@ -57,32 +57,36 @@ def iterative_split(docs: DataFrame, doc_labels: DataFrame, num: int = 1, den: i
     belongs to its rarest one, which fills its part of the quota. Docs without
     labels come last and bring the test split to floor(N*num/den) docs; if they
     can't, the docs with the fewest labels change sides. Only unsettled rows are
-    carried into the next round; the rank inside a label is a range-partitioned
-    number, so a label of a third of all docs is spread over the tasks."""
-    ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
+    carried into the next round; the cut inside a label comes from a count
+    around its expected place, so a label of a third of all docs is spread over the tasks."""
+    ids = write_and_read(docs.select(F.col(id_col).alias("doc_id")).distinct(), "split-ids")
     dl = doc_labels.select(F.col(id_col).alias("doc_id"), "label").distinct().join(ids, "doc_id", "left_semi")
-    left = write_and_read(dl.withColumn("h", seeded_hash(seed)), "split-left")
-    n_labels = dl.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_labels"))
+    # 60 bits of the seeded hash order the docs.
+    h = F.conv(F.substring(seeded_hash(seed), 1, 15), 16, 10).cast("bigint")
+    state = write_and_read(dl.select("doc_id", "label", h.alias("key"), F.lit(None).cast("boolean").alias("test")), "split-state")
+    n_labels = state.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_labels"))
     bare = ids.join(n_labels, "doc_id", "left_anti")
     quota = F.floor((F.col("n") * (2 * num) + den) / (2 * den)).cast("bigint")
-    lacks = write_and_read(left.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", quota.alias("lack")), "split-lack")
+    lacks = write_and_read(state.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label", quota.alias("lack")), "split-lack")
     each = max(1, -(-lacks.count() // rounds))
     settled = []
+    left = state
     while not left.isEmpty():
         band = left.groupBy("label").agg(F.count(F.lit(1)).alias("rows")).orderBy("rows", "label").limit(each).join(lacks, "label")
-        own = (left.join(band, "label").groupBy("doc_id", "h").agg(F.min(F.struct("rows", "label", "lack")).alias("s"))
-               .select("doc_id", "h", F.col("s.label").alias("label"), F.col("s.rows").alias("rows"), F.col("s.lack").alias("lack")))
-        numbered = with_sequential_id(own, ["label", "h", "doc_id"], "seq")
-        first = numbered.groupBy("label").agg(F.min("seq").alias("first"), F.count(F.lit(1)).alias("own"))
-        takes = F.round(F.col("lack") * F.col("own") / F.col("rows"))
-        done = write_and_read(numbered.join(first, "label").select("doc_id", (F.col("seq") - F.col("first") < takes).alias("test")), "split-done")
-        settled.append(done)
-        brought = left.join(done.where("test"), "doc_id").groupBy("label").agg(F.count(F.lit(1)).alias("got"))
+        own = (left.select("doc_id", "key", "label").join(band, "label").groupBy("doc_id", "key").agg(F.min(F.struct("rows", "label", "lack")).alias("s"))
+               .select("doc_id", "key", F.col("s.label").alias("label"), F.col("s.rows").alias("rows"), F.col("s.lack").alias("lack")))
+        counted = own.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows"), F.max("lack").alias("lack")).select(
+            "label", "n", F.greatest(F.round(F.col("lack") * F.col("n") / F.col("rows")), F.lit(0)).cast("bigint").alias("target"))
+        cuts = rank_cuts(own, "label", uniform_bracket(counted, "label", 1 << 60))
+        done = own.join(cuts, "label").select("doc_id", F.coalesce(F.col("key") < F.col("cut"), F.lit(True)).alias("done"))
+        state = write_and_read(left.join(done, "doc_id", "left").select("doc_id", "label", "key", F.col("done").alias("test")), "split-state")
+        settled.append(state.where("test is not null").select("doc_id", "test").distinct())
+        brought = state.where("test").groupBy("label").agg(F.count(F.lit(1)).alias("got"))
         lacks = write_and_read(lacks.join(brought, "label", "left").select("label", (F.col("lack") - F.coalesce("got", F.lit(0))).alias("lack")), "split-lack")
-        left = write_and_read(left.join(done, "doc_id", "left_anti"), "split-left")
+        left = state.where("test is null")
     if not settled:
         settled.append(ids.limit(0).withColumn("test", F.lit(True)))
-    some = functools.reduce(DataFrame.unionByName, settled)
+    some = write_and_read(functools.reduce(DataFrame.unionByName, settled), "split-settled")
     want = ids.count() * num // den
     missing = want - some.where("test").count()
     # Docs that change sides: those without labels, then those with few.
