@@ -365,3 +365,40 @@ def test_packing_pads_little(spark, sf):
     full = sorted(length)[:-1]
     waste = sum(2048 - n for s, n in length.items() if s in full and n & (n - 1))
     assert waste <= 0.015 * sum(length.values())
+
+
+def test_packing_ids_of_long_runs():
+    """Runs of white space that end the rank merger's pattern, and any others."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    full, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.Encoder()
+    for text in [" " * 1_000_000, "\n" * 1_000_000 + "x", "a" * 1_000_000, "x" + "\t" * 60_000 + " y<|endoftext|>z"]:
+        assert np.frombuffer(enc(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
+    for text in (" " * 5_000_000, "\n" * 5_000_000):
+        assert len(enc(text)) >= 4
+
+
+def test_queries_run_without_the_package_on_the_workers(tmp_path):
+    """Every query from an empty folder, with workers that can't import the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+import __spark_entry__ as E
+from vulnxml.session import get_spark
+from vulnxml.llm.queries import QUERIES
+spark = get_spark(app="apart", cpus=4, shuffle_partitions=4)
+everything = E.queries()
+for name in QUERIES:
+    everything[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    print("ran", name)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=900)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert done.stdout.count("ran ") >= 14

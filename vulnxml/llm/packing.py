@@ -17,12 +17,13 @@ an empty table gives an empty result; nothing is kept from other columns.
 from __future__ import annotations
 
 import base64
-import functools
+import json
 import re
 import zlib
 from array import array
 from collections import deque
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,39 +38,42 @@ SENTENCE_PENALTY, HARD_PENALTY, WINDOW_COST = 2, 24, 32
 HARD_STEP = 32
 #: Shortest power-of-two length that is worth a window of its own.
 LEAST_POWER = 1024
+#: Runs of white space of this length are encoded apart.
+SPACES = 50_000
 
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes, equal to those of the
     tokenizer file. The merging runs on the same vocabulary as ranks, which is
-    several times faster; a text that holds an added token's string goes to the
-    tokenizer itself."""
+    several times faster; a text that holds an added token's string, or a run of
+    ``SPACES`` spaces (beyond some 700,000 the rank merger's pattern ends the
+    process), goes to the tokenizer itself, which is read when first needed."""
 
     def __init__(self, tokenizer_path: str | None = None, ranks_path: str | None = None) -> None:
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.full = Tokenizer.from_file(tokenizer_path or public_tokenizers.path("byte_bpe_50k.json"))
+        self.path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
         with open(ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        added = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
-        self.stop = np.zeros(self.full.get_vocab_size() + 1, bool)
+        with open(self.path, encoding="utf-8") as f:
+            added = [t["content"] for t in json.load(f)["added_tokens"]]
+        self.apart = re.compile("|".join([*map(re.escape, added), rf"\s{{{SPACES}}}"])).search
+        self.stop = np.zeros(max(ranks.values()) + 2, bool)
         self.stop[[i for t, i in ranks.items() if t[-1:] in (b".", b"!", b"?", b"\n")]] = True
 
+    @cached_property
+    def full(self) -> "Tokenizer":  # noqa: F821
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def __call__(self, text: str) -> bytes:
-        if self.added(text):
+        if self.apart(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(array("I", self.merge(text)), "<u4").tobytes()
 
 
-@functools.cache
-def encoder(tokenizer_path: str | None = None, ranks_path: str | None = None) -> Encoder:
-    """One per Python worker."""
-    return Encoder(tokenizer_path, ranks_path)
-
-
 def cut_windows(ends: np.ndarray, penalty: np.ndarray, size: int = SIZE) -> list[int]:
     """Window ends of least cost for a stream that starts at 0. ``ends``:
     allowed ends, ascending, the last is the stream's; gaps are ``size`` at most."""
@@ -135,7 +139,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size:
     partitions."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, ranks_path)
+        encode = Encoder(tokenizer_path, ranks_path)
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         tail = np.array([end_id], "<u4").tobytes()
         held: list[tuple[int | None, int, int, bytes]] = []  # id, ids before, ids of the document, ids
