@@ -14,10 +14,10 @@ own; each pair of blocks is one group of bounded size, and each query's best of
 all blocks are merged. The query set is given (here: ids divisible by 50).
 
 Null or zero vectors, those with a null or non-finite component, and rows with
-a null id take no part; so do vectors whose length differs from the most
-frequent one's. Ties go to the smaller id; rows that repeat an id count as
-different rows except that a query's own id is never its neighbour. Fewer than
-k candidates: all of them. Empty tables give no rows.
+a null id take no part. Vectors meet those of their own length only. Ties go to
+the smaller id; rows that repeat an id count as different rows, each query row
+with neighbours of its own, except that a query's own id is never its
+neighbour. Fewer than k candidates: all of them. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 M, SHARE, GROW, Z = 64, 0.6, 1.25, 2.0
 #: Half-width of the first windows, for vectors of unit length.
 FIRST = 0.6
-BLOCK, QUERY_BLOCK = 8192, 2048
+BLOCK, QUERY_BLOCK = 4096, 4096
 _ERF_X = np.linspace(0, 5, 2001)
 _ERF_Y = np.concatenate(([0], np.cumsum(np.exp(-((_ERF_X[1:] + _ERF_X[:-1]) / 2) ** 2 / 2)) * (_ERF_X[1] - _ERF_X[0]) * np.sqrt(2 / np.pi)))
 
@@ -97,25 +97,31 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "v
             block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each query."""
     pick = lambda d: d.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    data, asked = pick(vectors), pick(queries)
-    sizes = data.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
-    dim, n = (sizes["dim"], sizes["n"]) if sizes else (0, 0)
-    data, asked = data.where(F.size("v") == dim), asked.where(F.size("v") == dim)
-    n_data, n_asked = max(1, -(-n // block)), max(1, -(-asked.count() // query_block))
+    # Equal query rows are searched once and counted.
+    data, asked = pick(vectors), pick(queries).groupBy("id", "v").agg(F.count(F.lit(1)).alias("times"))
+    # One row per length of vectors.
+    lengths = data.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n")).join(
+        asked.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("m")), "dim").collect()
+    blocks = lambda name, size: F.create_map(*[F.lit(x) for r in lengths for x in (r["dim"], max(1, -(-r[name] // size)))])
+    if not lengths:
+        return data.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score"))
+    n_data, n_asked = blocks("n", block), blocks("m", query_block)
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             here = Block(left["id"].to_numpy(np.int64), np.array(left["v"].tolist(), np.float64))
-            for own, q in zip(right["id"].tolist(), right["v"]):
+            for own, q, times, mark in zip(right["id"].tolist(), right["v"], right["times"].tolist(), right["mark"]):
                 ids, scores = here.search(own, np.asarray(q, np.float64), k)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-
-    spread = lambda d, own, other, own_n, other_n, seed: d.withColumn(own, F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(own_n)).cast("int")).withColumn(
-        other, F.explode(F.sequence(F.lit(0), F.lit(other_n - 1))))
-    left = spread(data, "d", "q", n_data, n_asked, 1).groupBy("d", "q")
-    right = spread(asked, "q", "d", n_asked, n_data, 2).groupBy("d", "q")
-    found = left.cogroup(right).applyInPandas(search, "query_id bigint, vec_id bigint, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                out.append(pd.DataFrame({"query_id": own, "mark": mark, "times": times, "vec_id": ids, "score": scores}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype=t) for c, t in (("query_id", "int64"), ("mark", "object"), ("times", "int64"), ("vec_id", "int64"), ("score", "float64"))})
+
+    spread = lambda d, own, other, own_n, other_n, seed: d.withColumn("dim", F.size("v")).where(F.col("dim").isin([r["dim"] for r in lengths])).withColumn(
+        own, F.pmod(F.xxhash64(F.lit(seed), "id"), own_n[F.col("dim")]).cast("int")).withColumn(
+        other, F.explode(F.sequence(F.lit(0), other_n[F.col("dim")] - 1)))
+    left = spread(data, "d", "q", n_data, n_asked, 1).groupBy("dim", "d", "q")
+    right = spread(asked.withColumn("mark", F.sha2(F.to_json(F.struct("v")).cast("binary"), 256)), "q", "d", n_asked, n_data, 2).groupBy("dim", "d", "q")
+    found = left.cogroup(right).applyInPandas(search, "query_id bigint, mark string, times bigint, vec_id bigint, score double")
+    order = Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return best.withColumn("times", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")
