@@ -105,6 +105,27 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df, empty).count() == 0
 
 
+def brute_nearest(rows, k=5):
+    """Exact neighbours of every query row, vectors of equal length only."""
+    fit = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
+    out = []
+    for own, q in fit:
+        if own % 50 == 0:
+            near = sorted((-round(float(q @ x / np.sqrt((q @ q) * (x @ x))), 12), i) for i, x in fit if i != own and len(x) == len(q))
+            out += [(own, rank, i, -s) for rank, (s, i) in enumerate(near[:k], 1)]
+    return sorted(out)
+
+
+def test_nearest_repeated_ids_vectors_and_lengths(spark):
+    r = np.random.default_rng(8)
+    rows = [(int(i), r.standard_normal(3 if i % 7 else 5).tolist()) for i in range(160)]
+    rows += [(50, [1.0, 0.0, 0.5])] * 2 + [(50, [0.0, 1.0, 0.5])] + rows[3:9] * 3 + [(100, rows[100][1]), (7, [1.0]), (200, [2.0]), (250, [])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    for block, queries in ((4096, 4096), (16, 2)):
+        got = ann.nearest(df, df.where("vec_id % 50 = 0"), block=block, query_block=queries).collect()
+        assert sorted((a, b, c, round(s, 12)) for a, b, c, s in map(tuple, got)) == [(a, b, c, pytest.approx(s, abs=1e-11)) for a, b, c, s in brute_nearest(rows)]
+
+
 def test_ties_among_equal_vectors(spark):
     df = spark.createDataFrame([(i, [0.3, 0.4, 0.5] if i % 3 else [1.0, 0.1 * i, 0.0]) for i in range(200)], "vec_id bigint, embedding array<double>")
     got = ann.nearest(df, df.where("vec_id % 50 = 0"), block=17).where("query_id = 50").orderBy("rank").collect()

@@ -12,9 +12,12 @@ by ``Curve``), and different words are counted in stretches of ``STRETCH`` words
 which long texts have more of: both values mean the same at any length. The expected
 tokens of a domain are the sum over documents of rate x tokens x posterior.
 Projected gradient descent on the squared gap to the targets, started at rate
-1, fits a nonnegative rate of at most ``MAX_RATE`` for each document. A round
-is one aggregate over the documents' narrow table; its result is one number per
-domain, from which every document takes its next step. The targets are shares;
+1, fits a nonnegative rate of at most ``MAX_RATE`` for each document. As a rate
+depends on the posterior alone, documents are first added up by posterior, of
+which there are no more than values of the features, at any size of the corpus;
+a round is one aggregate over that table, its result one number per domain, from
+which every posterior takes its next step. Rounds end when the loss no longer
+falls, not at a number. The targets are shares;
 their total is the largest for which no domain has to be repeated. Shares of
 the domains in ``UPPER`` are upper ones: such a domain doesn't bind the total,
 and one that has less than its share is asked for what it has. Where soft
@@ -31,18 +34,18 @@ Repeated rows get the same rate and copies each.
 
 from __future__ import annotations
 
+import json
 import math
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vulnxml.llm.common import fresh_name, materialise, unit_hash
 
-SAMPLE, ROUNDS, TOLERANCE = 1500, 40, 1e-3
+SAMPLE, TOLERANCE = 1500, 1e-3
 #: No document is used more often.
 MAX_RATE = 1.0
 #: A marker is this many times likelier in its domain, in this share of its rows
@@ -224,10 +227,14 @@ def with_posteriors(docs: DataFrame, model: Model, text_col: str, tokens: str, p
 
 def rate_of(posterior: list[str], moves: list[list[float]]) -> Column:
     """A document's rate after the given steps: each moves against the
-    gradient, then back into 0 to ``MAX_RATE``. ``posterior``: SQL of each."""
-    def step(rate: str, push: list[float]) -> str:
-        return f"least({MAX_RATE}D, greatest(0D, {rate} - ({' + '.join(f'{g!r}D * {p}' for g, p in zip(push, posterior))})))"
-    return F.expr(reduce(step, moves, "1D"))
+    gradient, then back into 0 to ``MAX_RATE``. ``posterior``: SQL of each. The
+    steps are one literal, so the plan is the same however many there are."""
+    steps = F.from_json(F.lit(json.dumps(moves)), "array<array<double>>")
+
+    def step(rate: Column, push: Column) -> Column:
+        down = sum((push[i] * F.expr(p) for i, p in enumerate(posterior)), F.lit(0.0))
+        return F.least(F.lit(MAX_RATE), F.greatest(F.lit(0.0), rate - down))
+    return F.aggregate(steps, F.lit(1.0), step)
 
 
 def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float], upper: frozenset[str] = UPPER) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
@@ -239,7 +246,7 @@ def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float], up
     d = len(names)
     if not d:
         return [], {}
-    narrow = narrow.select("tokens", *[F.col("posterior")[i].alias(f"p{i}") for i in range(d)])
+    narrow = materialise(narrow.groupBy("posterior").agg(F.sum("tokens").alias("tokens")).select("tokens", *[F.col("posterior")[i].alias(f"p{i}") for i in range(d)]), "classes")
     posterior = [f"p{i}" for i in range(d)]
 
     def sums(rate: Column, cells: list[str]) -> list[float]:
@@ -261,7 +268,7 @@ def fit_rates(narrow: DataFrame, names: list[str], weights: dict[str, float], up
         gap = [s - t for s, t in zip(now, target)]
         push = solve(curve, gap, 1e-6 * whole)
         before, loss = loss, sum(g * x for g, x in zip(gap, push)) / whole
-        if loss <= TOLERANCE ** 2 or moves and before - loss <= TOLERANCE * before or len(moves) == ROUNDS:
+        if loss <= TOLERANCE ** 2 or moves and before - loss <= TOLERANCE * before:
             return moves, dict(zip(names, zip(now, target)))
         moves.append(push)
         now = sums(rate_of(posterior, moves), posterior)
