@@ -58,7 +58,8 @@ class Encoder:
         self.merge = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         with open(self.path, encoding="utf-8") as f:
             added = [t["content"] for t in json.load(f)["added_tokens"]]
-        self.apart = re.compile("|".join([*map(re.escape, added), rf"\s{{{SPACES}}}"])).search
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
+        self.spaces = re.compile(rf"\s{{{SPACES}}}").search
         self.stop = np.zeros(max(ranks.values()) + 2, bool)
         self.stop[[i for t, i in ranks.items() if t[-1:] in (b".", b"!", b"?", b"\n")]] = True
 
@@ -69,7 +70,7 @@ class Encoder:
         return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
-        if self.apart(text):
+        if self.added(text) or len(text) >= SPACES and self.spaces(text):
             return np.array(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(array("I", self.merge(text)), "<u4").tobytes()
 
