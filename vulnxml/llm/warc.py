@@ -13,7 +13,10 @@ are computed from the payload read and must equal the header's.
 Index: every archive yields runs sorted by URL key (host reversed, lower-case)
 and timestamp, written to the shared folder. Key ranges are dealt to tasks;
 each merges its slices of all runs with a loser tree, so the index is ordered
-over all partitions (``position`` ascends with them). A hot URL may span ranges.
+over all partitions (``position`` ascends with them). Ranges are cut by rows
+(about ``RANGE_ROWS``) and their keys end with run and place, so a hot URL, or
+one row repeated, spans ranges and a task's memory doesn't grow with the table.
+A slice stays in Arrow form; the tree reads it as a sorted iterator.
 
 Null html is an empty payload; a null url gives an empty key; rows with a null
 id come first of their group, with one of them the response if no other has an
@@ -26,9 +29,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +44,10 @@ GAP = "\r\n\r\n"
 EPOCH = 1_704_067_200
 #: Index entries of a locally sorted run.
 RUN_ROWS = 50_000
+#: Index entries of a merged range: what one task holds.
+RANGE_ROWS = 200_000
+#: Entries of a run that are decoded at a time.
+DECODE = 500
 
 
 def _digit(h: Column, i: Column) -> Column:
@@ -55,21 +63,30 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     src = pages.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), html.alias("html"),
                        seconds.alias("seconds"), F.sha1(html.cast("binary")).alias("hex"))
     last = src.groupBy("hex").agg(F.max("id").alias("response"))
-    both = src.join(last, "hex")
-    revisit = ~F.col("id").eqNullSafe(F.col("response"))
+    # Payloads move by digest and id, so a payload that many pages share has no
+    # hot key; revisit records carry no block and are joined without it.
+    of = (src["hex"] == last["hex"]) & src["id"].eqNullSafe(last["response"])
+    first = src.join(last, of, "left_semi").select("*", F.lit(None).cast("bigint").alias("response"), F.octet_length("html").alias("size"))
+    again = (src.select("id", "url", "seconds", "hex", F.octet_length("html").alias("size")).join(last, "hex")
+             .where(~F.col("id").eqNullSafe(F.col("response"))))
+    return _record(first, False).unionAll(_record(again, True))
+
+
+def _record(rows: DataFrame, revisit: bool) -> DataFrame:
+    """(record) of rows (id, url, seconds, hex, response, size and, of responses, html)."""
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(">"))
-    size = F.octet_length("html").cast("string")
+    size = F.col("size").cast("string")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     header = F.concat(
-        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
+        F.lit("WARC/1.1\r\n"), line("WARC-Type", F.lit("revisit" if revisit else "response")),
         line("WARC-Record-ID", urn("id")), line("WARC-Target-URI", F.replace(F.replace(F.col("url"), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))),
         line("WARC-Date", F.concat(F.date_format(F.timestamp_seconds("seconds"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_of_hex(F.col("hex")))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
-                                 line("WARC-Refers-To", urn("response")), line("X-Payload-Length", size))).otherwise(F.lit("")),
+        F.concat(line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
+                 line("WARC-Refers-To", urn("response")), line("X-Payload-Length", size)) if revisit else F.lit(""),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
-        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit("0")).otherwise(size)))
-    return both.select(F.concat(header, F.lit(GAP), F.when(revisit, F.lit("")).otherwise(F.col("html"))).alias("record"))
+        F.concat(F.lit("Content-Length: "), F.lit("0") if revisit else size))
+    return rows.select(F.concat(header, F.lit(GAP), F.lit("") if revisit else F.col("html")).alias("record"))
 
 
 def base32_of_hex(hexed: Column) -> Column:
@@ -173,18 +190,23 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
 
 
 class LoserTree:
-    """k sorted sequences merged with one comparison per level and entry."""
-
-    def __init__(self, runs: list[list[tuple]]) -> None:
-        self.runs, self.at, self.k = runs, [0] * len(runs), len(runs)
+    """k sorted sequences merged with one comparison per level and entry; of
+    each one entry is held."""
+
+    def __init__(self, runs: Iterable[Iterable[tuple]]) -> None:
+        self.runs = [iter(r) for r in runs]
+        self.k = len(self.runs)
+        self.head: list[tuple | None] = [None] * self.k
+        self.keys: list[tuple] = [()] * self.k
         self.loser = [-1] * max(1, self.k)
         for i in range(self.k):
+            self.advance(i)
             self.play(i)
 
-    def key(self, i: int) -> tuple:
+    def advance(self, i: int) -> None:
         """An ended run loses to all others; ties go to the earlier run."""
-        ended = self.at[i] >= len(self.runs[i])
-        return (True, (), i) if ended else (False, _order(self.runs[i][self.at[i]]), i)
+        entry = self.head[i] = next(self.runs[i], None)
+        self.keys[i] = (True, (), i) if entry is None else (False, _order(entry), i)
 
     def play(self, i: int) -> None:
         node, winner = (i + self.k) // 2, i
@@ -193,7 +215,7 @@ class LoserTree:
             if other < 0:  # still being built: wait here
                 self.loser[node] = winner
                 return
-            if self.key(other) < self.key(winner):
+            if self.keys[other] < self.keys[winner]:
                 self.loser[node], winner = winner, other
             node //= 2
         self.loser[0] = winner
@@ -201,32 +223,41 @@ class LoserTree:
     def __iter__(self) -> Iterator[tuple]:
         while self.k:
             i = self.loser[0]
-            if self.at[i] >= len(self.runs[i]):
+            if self.head[i] is None:
                 return
-            yield self.runs[i][self.at[i]]
-            self.at[i] += 1
+            yield self.head[i]
+            self.advance(i)
             self.play(i)
 
 
-def merge_runs(runs: DataFrame, partitions: int | None = None) -> DataFrame:
+def _entries(slices: list[pa.RecordBatch]) -> Iterator[tuple]:
+    """The entries of one run, decoded a few at a time."""
+    for part in slices:
+        for at in range(0, part.num_rows, DECODE):
+            yield from zip(*(c.to_pylist() for c in part.slice(at, DECODE).columns))
+
+
+def merge_runs(runs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """The globally ordered index: (entry..., position)."""
-    n = partitions or int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slices: dict[int, list[tuple]] = {}
+        slices: dict[int, list[pa.RecordBatch]] = {}
         for b in batches:  # sorted by run and place
-            cols = [c.to_pylist() for c in b.columns]
-            for row in zip(*cols):
-                slices.setdefault(row[7], []).append(row[:7])
+            run = b.column(7).to_numpy()
+            cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo < hi:
+                    slices.setdefault(int(run[lo]), []).append(b.select(_NAMES).slice(lo, hi - lo))
         out = []
-        for entry in LoserTree([slices[r] for r in sorted(slices)]):
+        for entry in LoserTree(_entries(slices[r]) for r in sorted(slices)):
             out.append(entry)
             if len(out) == 10_000:
                 yield _batch(out)
                 out = []
         yield _batch(out)
 
-    dealt = runs.repartitionByRange(n, F.col("url_key"), F.col("captured"), F.col("page_id").asc_nulls_first()).sortWithinPartitions("run", "place")
+    dealt = runs.repartitionByRange(n, "url_key", "captured", F.col("page_id").asc_nulls_first(), "run", "place").sortWithinPartitions("run", "place")
     return dealt.mapInArrow(each, ENTRY).withColumn("position", F.monotonically_increasing_id())
 
 
