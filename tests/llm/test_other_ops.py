@@ -50,6 +50,31 @@ def test_index_is_globally_ordered(spark):
     assert len({k for k, _, _ in keys}) == 21
 
 
+def test_index_of_repeated_rows_in_small_ranges(spark):
+    """A hot URL with one hot payload, and rows repeated as a whole, spread over ranges."""
+    rows = [(i, "http://hot.example/", "same") for i in range(300)] + [(None, "u", "x")] * 200 + [(7, "http://a.example/", "own")] * 100
+    runs = warc.read_runs(spark, _archive(spark, rows)).cache()
+    got = warc.merge_runs(runs, range_rows=60).withColumn("part", F.spark_partition_id()).collect()
+    runs.unpersist()
+    order = sorted(got, key=lambda r: r["position"])
+    keys = [warc._order((r["url_key"], r["captured"], r["page_id"])) for r in order]
+    assert len(got) == 600 and keys == sorted(keys)
+    assert max(Counter(r["part"] for r in got).values()) <= 200
+    kinds = Counter((r["payload_digest"], r["record_type"]) for r in got)
+    assert sorted(kinds.values()) == [1, 100, 200, 299]
+
+
+def _archive(spark, rows):
+    path = warc.shared_path(spark, "warc")
+    warc.write(pages_of(spark, rows).repartition(4), path, id_col="page_id", url_col="url", html_col="html")
+    return path
+
+
+def test_payloads_never_move_by_digest_alone(spark):
+    plan = warc.records(pages_of(spark, [(1, "u", "x")]).repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "Inner" in plan
+
+
 def test_payloads_survive_the_buffer_edge(spark, tmp_path):
     """Line ends around the reader's buffer size."""
     texts = [("y" * n) + "\r\n" * k for n in range(65_300, 65_600, 7) for k in (1, 2, 3)]
@@ -185,6 +210,26 @@ def test_unclosed_hidden_tags_keep_the_page():
     assert texts("<p>a</p><script>no<p>no") == ["a"]
 
 
+def test_long_pages_in_stretches():
+    """States are carried from stretch to stretch: same logits at every length."""
+    p = html_blocks.start()
+    pages = [html_blocks.leaf_blocks("<article>" + "".join(f"<p class=c{i % 5}>word{i % 9} and {i}, more." for i in range(n)) + "</article>") for n in (57, 20, 1)]
+    whole, _ = html_blocks.logits(p, *html_blocks.padded([html_blocks.vectors(b) for b in pages]))
+    for stretch in (7, 19, 57, 100):
+        z = html_blocks.logits_in_stretches(p, pages, stretch)
+        for j, b in enumerate(pages):
+            assert np.allclose(z[:len(b), j], whole[:len(b), j], atol=1e-4)
+
+
+def test_learns_from_few_marked_pages(spark):
+    """One marked page in 300, and marked pages that share a null id."""
+    mark = "<html><body><nav><a href=/>x</a></nav><article><p>one two three.</p></article></body></html>"
+    plain = "<html><body><div><p>one two three.</p></div></body></html>"
+    assert html_blocks.fit(pages_of(spark, [(i, "u", plain) for i in range(299)] + [(299, "u", mark)])) is not None
+    assert html_blocks.fit(pages_of(spark, [(i, "u", plain) for i in range(5)])) is None
+    assert html_blocks.fit(pages_of(spark, [(None, "u", mark)] * 400)) is not None
+
+
 def test_recurrent_gradients():
     rng = np.random.default_rng(0)
     p = {n: v.astype(np.float64) for n, v in html_blocks.start().items()}

@@ -4,18 +4,21 @@ A page becomes its leaf sequence: the text blocks between block-level tags, in
 page order (scripts, styles, comments and the head carry no text). Each block
 has a vector of its tag path (hashed tag, class and id words), one of its
 hashed words, and a few measures. A bidirectional LSTM in numpy reads the whole
-sequence and classifies every block with the page as context. It is trained on
-at most ``SAMPLE`` pages that mark their article themselves, and on as many
-layouts laid around the same texts (menus, headers, sidebars, notices, adverts,
+sequence and classifies every block with the page as context. Pages of more than
+``CELLS`` blocks are read in stretches, each direction's state carried over and
+one number per block kept, so a page takes little more than its blocks' texts.
+It is trained on at most ``SAMPLE`` pages that mark their article themselves
+(of up to ``TRAIN_CHARS`` characters, drawn among all such pages) and on layouts laid around the same texts (menus, headers, sidebars, notices, adverts,
 forms, reader comments, with usual class names or none); path words are hidden
 at random in training, so that no single name decides.
 
 Character references are decoded, white space in a block becomes one space,
 blocks are joined by two \\n. Null html counts as empty and gives an empty text;
 a null url stays null; unclosed and deeply nested tags are walked without
-recursion; whole pages are read, of any length. Without pages to learn from, a
-block counts as main text if no part of its path is a known container of the
-other kinds. Repeated rows get repeated results.
+recursion; whole pages are read, of any length. If no page of the table marks an
+article, there is nothing to learn from, and a block counts as main text if no
+part of its path is a known container of the other kinds. Repeated rows get
+repeated results; a block whose score ties at the border (0) isn't main text.
 """
 
 from __future__ import annotations
@@ -38,6 +41,9 @@ WIDTH = PATH + WORDS + MEASURES
 SAMPLE, EPOCHS, BATCH, RATE, HIDE = 160, 16, 16, 0.01, 0.15
 #: Blocks of one training page at most (from its start), and of a padded batch.
 TRAIN_BLOCKS, CELLS = 160, 1 << 15
+#: Characters of a training page at most; of its main blocks, characters and
+#: number that a layout takes; number of other blocks.
+TRAIN_CHARS, LAYOUT_CHARS, LAYOUT_BLOCKS, LAYOUT_OTHERS = 200_000, 2000, 40, 3
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+[^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -60,7 +66,8 @@ class Block:
     __slots__ = ("parts", "path", "names", "linked", "inside", "text", "heading")
 
     def __init__(self, path: np.ndarray, names: tuple, inside: bool, heading: bool) -> None:
-        self.parts, self.path, self.names, self.inside, self.heading = [], path, names, inside, heading
+        self.parts: list[str] | None = []
+        self.path, self.names, self.inside, self.heading = path, names, inside, heading
         self.linked, self.text = 0, ""
 
 
@@ -83,12 +90,18 @@ def leaf_blocks(page: str | None, marks: frozenset = frozenset(("article",))) ->
     block: Block | None = None
     links = marked = 0
     endless: set[str] = set()
+    paths: dict[tuple, tuple] = {}  # blocks of like place share their path
+
+    def place() -> tuple[np.ndarray, tuple]:
+        small = np.minimum(path, 2).astype(np.int8)
+        key = small.tobytes(), tuple(names)
+        return paths.setdefault(key, (small, key[1]))
 
     def text(raw: str) -> None:
         nonlocal block
         if raw and (block is not None or not raw.isspace()):
             if block is None:
-                block = Block(np.minimum(path, 2).astype(np.float32), tuple(names), marked > 0, any(f"h{i}" in names for i in range(1, 7)))
+                block = Block(*place(), marked > 0, any(f"h{i}" in names for i in range(1, 7)))
             block.parts.append(raw)
             if links:
                 block.linked += len(raw)
@@ -97,7 +110,7 @@ def leaf_blocks(page: str | None, marks: frozenset = frozenset(("article",))) ->
         nonlocal block
         if block is not None:
             block.text = " ".join(entities.unescape("".join(block.parts)).split())
-            block.parts = []
+            block.parts = None
             if block.text:
                 out.append(block)
         block = None
@@ -185,9 +198,11 @@ def leaf_blocks(page: str | None, marks: frozenset = frozenset(("article",))) ->
     return out
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    x = np.zeros((len(blocks), WIDTH), np.float32)
-    for i, b in enumerate(blocks):
+def vectors(blocks: list[Block], lo: int = 0, hi: int | None = None) -> np.ndarray:
+    """Vectors of a page's blocks, or of those from ``lo`` to ``hi``."""
+    part = blocks[lo:hi]
+    x = np.zeros((len(part), WIDTH), np.float32)
+    for i, b in enumerate(part):
         t, n = b.text, len(b.text)
         x[i, :PATH] = b.path
         words = t.lower().split(" ")
@@ -196,7 +211,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
         x[i, PATH:PATH + WORDS] = count / max(float(np.linalg.norm(count)), 1)
         stops = t.count(".") + t.count("!") + t.count("?")
         x[i, PATH + WORDS:] = (np.log1p(n) / 4, min(1.0, b.linked / n), 1.0 * (t[-1] in ".!?:"), min(1.0, 10 * t.count(",") / n),
-                               min(1.0, 20 * stops / n), np.log1p(len(words)) / 3, i / len(blocks), 1.0 * b.heading)
+                               min(1.0, 20 * stops / n), np.log1p(len(words)) / 3, (lo + i) / len(blocks), 1.0 * b.heading)
     return x
 
 
@@ -211,11 +226,12 @@ def start(seed: int = 5) -> dict[str, np.ndarray]:
     return p
 
 
-def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
-    """States (T, B, H) of one direction; padded steps leave the state alone."""
+def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool, state: tuple | None = None) -> tuple[np.ndarray, list, tuple]:
+    """States (T, B, H) of one direction, from ``state`` on, and the last one;
+    padded steps leave the state alone."""
     steps, n, _ = x.shape
     pre = x @ p["x" + way] + p["b" + way]
-    h = c = np.zeros((n, HIDDEN), np.float32)
+    h, c = state or (np.zeros((n, HIDDEN), np.float32),) * 2
     out, tape = np.zeros((steps, n, HIDDEN), np.float32), []
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
         z = pre[t] + h @ p["h" + way]
@@ -228,7 +244,7 @@ def run_way(p: dict, way: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> t
         if keep:
             tape.append((t, h, c, i, f, o, u, tc, m))
         h, c, out[t] = nh, nc, nh
-    return out, tape
+    return out, tape, (h, c)
 
 
 def back_way(p: dict, way: str, x: np.ndarray, tape: list, dout: np.ndarray, g: dict) -> None:
@@ -258,12 +274,28 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def logits(p: dict, x: np.ndarray, mask: np.ndarray, keep: bool = False) -> tuple[np.ndarray, tuple]:
-    f, tf = run_way(p, "f", x, mask, keep)
-    b, tb = run_way(p, "b", x, mask, keep)
+    f, tf, _ = run_way(p, "f", x, mask, keep)
+    b, tb, _ = run_way(p, "b", x, mask, keep)
     both = np.concatenate([f, b], axis=2)
     return both @ p["o"] + p["c"], (both, tf, tb)
 
 
+def logits_in_stretches(p: dict, pages: list[list[Block]], stretch: int) -> np.ndarray:
+    """(T, B): the logits of whole pages, vectors made for ``stretch`` steps at a time."""
+    steps = max(map(len, pages))
+    z = np.full((steps, len(pages)), p["c"], np.float32)
+    cuts = range(0, steps, stretch)
+    x, mask = None, None
+    for way, part, order in (("f", slice(None, HIDDEN), cuts), ("b", slice(HIDDEN, None), reversed(cuts))):
+        state = None
+        for lo in order:
+            if x is None or len(cuts) > 1:
+                x, mask = padded([vectors(blocks, lo, lo + stretch) for blocks in pages])
+            out, _, state = run_way(p, way, x, mask, False, state)
+            z[lo:lo + len(out)] += out @ p["o"][part]
+    return z
+
+
 def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = 5) -> dict:
     p, r = start(seed), np.random.default_rng(seed)
     m, s, k = {n: np.zeros_like(v) for n, v in p.items()}, {n: np.zeros_like(v) for n, v in p.items()}, 0
@@ -343,8 +375,8 @@ def training_set(pages: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
         if len(blocks) and y.any():
             xs.append(vectors(blocks))
             ys.append(y)
-            texts.append([b.text[:2000] for b in blocks if b.inside][:40])
-            others += [b.text for b in blocks if not b.inside and len(b.text) > 30][:3]
+            texts.append([b.text[:LAYOUT_CHARS] for b in blocks if b.inside][:LAYOUT_BLOCKS])
+            others += [b.text for b in blocks if not b.inside and len(b.text) > 30][:LAYOUT_OTHERS]
     for i, t in enumerate(texts):
         if i % 4 == 0:  # a page that says one thing over and over
             t = t[:4] + [min(t, key=len)] * 40
@@ -372,19 +404,19 @@ def main_mask(p: dict | None, pages: list[list[Block]]) -> list[np.ndarray]:
         size = len(pages[order[-1]])
         take = order[-max(1, CELLS // size):]
         del order[-len(take):]
-        x, mask = padded([vectors(pages[i]) for i in take])
-        z, _ = logits(p, x, mask)
+        z = logits_in_stretches(p, [pages[i] for i in take], CELLS)
         for j, i in enumerate(take):
             out[i] = z[:len(pages[i]), j] > 0
     return out
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict | None:
-    """Weights learned from at most about ``SAMPLE`` pages with an article tag,
-    chosen by a hash of the id."""
-    n = pages.count()
-    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).where(
-        (unit_hash("id", seed=5) < min(1.0, SAMPLE / max(n, 1))) & F.col("html").isNotNull() & (F.length("html") < 200_000))
+    """Weights learned from at most ``SAMPLE`` of the pages with an article tag
+    (the smallest hashes of the id)."""
+    marked = pages.select(F.col(id_col).cast("string").alias("id"), F.col(html_col).alias("html")).where(
+        F.col("html").rlike("(?i)<article[\\s>]") & (F.length("html") < TRAIN_CHARS)).withColumn("hash", unit_hash("id", seed=5))
+    # Most pages aren't sorted: about half as many again as are wanted pass the hash.
+    rows = marked.where(F.coalesce("hash", F.lit(0.0)) < 1.5 * SAMPLE / max(marked.count(), 1)).orderBy("hash", "id", "html").limit(SAMPLE)
     texts = [r["html"] for r in sorted(rows.collect(), key=lambda r: (r["id"] or "", r["html"]))]
     xs, ys = training_set(texts)
     return train(xs, ys) if xs else None
