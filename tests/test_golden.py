@@ -560,6 +560,65 @@ def test_iterative_split_equals_twin(spark, bare):
             assert abs(sum(lab in labels_of.get(d, ()) for d in chosen) - n / 5) <= max(3, 0.1 * n)
 
 
+def test_multi_hot_export(spark):
+    from vulnxml.functions.arrays import multi_hot
+    cases = [[], None, [0], [4], [3, 1, 3], [0, 1, 2, 3, 4], [None, 2], [-1, 5, 2]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, ids array<bigint>")
+    got = {r["i"]: r["v"] for r in df.select("i", multi_hot("ids", 5).alias("v")).collect()}
+    assert got == {i: [int(x in (c or [])) for x in range(5)] for i, c in enumerate(cases)}
+    assert df.select(multi_hot("ids", 0).alias("v")).first()["v"] == []
+
+
+def test_mean_vectors_edge_cases(spark):
+    """Unknown words count but add nothing; null and short vectors add what they have."""
+    from vulnxml.operators.vectors import mean_vectors
+    tokens = spark.createDataFrame([(1, 0, "a"), (1, 1, "a"), (1, 2, "b"), (1, 3, "?"), (2, 0, "?"), (3, 0, "n"), (4, 0, "s"), (4, 1, None)],
+                                   "doc_id int, pos int, word string")
+    vecs = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [4.0, -4.0]), ("n", None), ("s", [6.0])], "word string, vec array<double>")
+    got = {r["doc_id"]: r["vec"] for r in mean_vectors(tokens, vecs, 2).collect()}
+    assert got == {1: [1.5, 0.0], 2: [0.0, 0.0], 3: [0.0, 0.0], 4: [3.0, 0.0]}
+    assert mean_vectors(tokens.limit(0), vecs, 2).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 200])
+def test_holdout_share_equals_holdout(spark, n):
+    from vulnxml.operators.split import holdout, holdout_share
+    corpus = spark.range(n + 5).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, "train").otherwise("test").alias("split"))
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "split").collect()))
+    assert rows(holdout_share(corpus, 1, 4, 42)) == rows(holdout(corpus, n // 4, 42))
+
+
+def test_word_in_every_doc_is_spread(spark):
+    """A word that all docs have is one join key: its partition is split at run
+    time, and results stay whole."""
+    from vulnxml.operators import text_ops, vectors, vocab
+    docs = spark.range(0, 20000, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("the w"), F.pmod(F.xxhash64("id"), F.lit(3000))).alias("text"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4096",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "8192", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        voc = vocab.build_vocab(vocab.lower_tokens(docs))
+        stop = spark.createDataFrame([("w1",), ("w2",)], "word string")
+        the = "the"
+        for out, check in (
+                (vocab.lookup_vocab(vocab.lower_tokens(docs), voc), lambda rows: sum(r["word"] == the for r in rows) == 20000 and len(rows) == 40000),
+                (vocab.tfidf_transform(docs, vocab.tfidf_fit(docs)), lambda rows: len({r["doc_id"] for r in rows}) == 20000),
+                (text_ops.remove_frequent_words(docs, stop), lambda rows: len(rows) == 20000 and all(r["text"].startswith(the) for r in rows)),
+                (text_ops.nouns_only(docs, spark.createDataFrame([(the, "NN"), (the, "NNS"), ("w1", "VB")], "word string, tag string")),
+                 lambda rows: len(rows) == 20000 and {r["text"] for r in rows} == {the}),
+                (G.tfidf_edges(G.doc_words(docs)), lambda rows: len(rows) == 40000 and sum(r["word"] == the and r["weight"] == 0 for r in rows) == 20000),
+                (vectors.mean_vectors(vocab.lower_tokens(docs), spark.createDataFrame([(the, [2.0])], "word string, vec array<double>"), 1),
+                 lambda rows: len(rows) == 20000 and {r["vec"][0] for r in rows} == {1.0})):
+            assert check(out.collect())
+            plan = out._jdf.queryExecution().executedPlan().toString()
+            assert "skew=true" in plan.split("== Initial Plan ==")[0], [x.strip()[:90] for x in plan.split("\n") if "Join" in x or "Read" in x]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_iterative_split_edge_cases(spark):
     from vulnxml.operators.split import iterative_split
     none = spark.createDataFrame([], "doc_id long, label string")

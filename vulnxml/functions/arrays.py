@@ -34,11 +34,16 @@ def strip_padding(ids) -> Column:
 
 
 def multi_hot(ids, n_labels: int | Column) -> Column:
-    """0/1 vector of length n_labels with 1 at every id in ``ids``."""
-    n = n_labels if isinstance(n_labels, Column) else F.lit(n_labels)
-    a = _c(ids)
-    return F.transform(F.sequence(F.lit(0), n - 1),
-                       lambda i: F.when(F.array_contains(a, i), 1).otherwise(0))
+    """0/1 vector of length n_labels with 1 at every id in ``ids``. The ids
+    are the sparse form; this is its export, in O(n_labels + k log k): the
+    sorted ids, each as the zeros since the one before it and a one. Repeated
+    ids count once; nulls and ids outside the range are left out; a null array
+    gives all zeros."""
+    n = (n_labels if isinstance(n_labels, Column) else F.lit(n_labels)).cast("int")
+    a = F.coalesce(F.array_sort(F.array_distinct(F.filter(_c(ids).cast("array<int>"), lambda x: (x >= 0) & (x < n)))), F.array().cast("array<int>"))
+    gaps = F.zip_with(F.concat(a, F.array(n)), F.concat(F.array(F.lit(-1)), a),
+                      lambda x, before: F.concat(F.array_repeat(F.lit(0), x - before - 1), F.array(F.lit(1))))
+    return F.slice(F.flatten(gaps), F.lit(1), n)
 
 
 def sigmoid(col) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vulnxml.functions.text import SPACE_SET, text_or_empty, words
 from vulnxml.operators.ids import with_sequential_id
-from vulnxml.session import cut_lineage
+from vulnxml.session import cut_lineage, write_and_read
 
 WINDOW = 20
 # Characters that are not word characters or whitespace are deleted (as P1).
@@ -168,7 +168,7 @@ def tfidf_ids(enc: DataFrame) -> DataFrame:
     n_docs = enc.count()
     tf = (enc.select("doc_id", F.explode("wids").alias("wid"))
           .groupBy("doc_id", "wid").agg(F.count(F.lit(1)).alias("tf")))
-    df_ = tf.groupBy("wid").agg(F.count(F.lit(1)).alias("df"))
+    df_ = write_and_read(tf.groupBy("wid").agg(F.count(F.lit(1)).alias("df")), "df")
     return tf.join(df_, "wid").select("doc_id", "wid", (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df")))
                                       .alias("weight"))
 
@@ -178,7 +178,9 @@ def tfidf_edges(dw: DataFrame) -> DataFrame:
     n_docs = dw.count()
     toks = dw.select("doc_id", F.explode("words").alias("word"))
     tf = toks.groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
-    df_ = tf.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    # Written, so that the join has plain shuffles below it: AQE can then split a
+    # word that all docs have.
+    df_ = write_and_read(tf.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "df")
     return (tf.join(df_, "word")
             .select("doc_id", "word", (F.col("tf") * F.log(F.lit(float(n_docs)) / F.col("df"))).alias("weight")))
 

@@ -109,7 +109,6 @@ def label_map(doc_labels: DataFrame, label_col: str = "label") -> DataFrame:
 def corpus_summary(corpus: DataFrame, doc_labels: DataFrame) -> DataFrame:
     """(metric, value): docs per split, labels in train, labels over all
     splits, labels seen only in test."""
-    spark = corpus.sparkSession
     per_split = corpus.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("value")).select(
         F.concat(F.lit("docs_"), "split").alias("metric"), "value")
     lab = doc_labels.join(corpus.select("doc_id", "split"), "doc_id")
@@ -122,7 +121,6 @@ def corpus_summary(corpus: DataFrame, doc_labels: DataFrame) -> DataFrame:
     out = per_split
     for c in counts:
         out = out.unionByName(c.select("metric", F.col("value").cast("bigint")))
-    del spark
     return out
 
 

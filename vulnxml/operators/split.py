@@ -110,6 +110,19 @@ def holdout(corpus: DataFrame, n: int = 400, seed: int = 1240, id_col: str = "do
             .drop("_pick"))
 
 
+def holdout_share(corpus: DataFrame, num: int = 1, den: int = 4, seed: int = 42, id_col: str = "doc_id",
+                  from_split: str = "train", to_split: str = "valid") -> DataFrame:
+    """D2 for a share of the rows: floor(n * num / den) of the n rows of
+    ``from_split``, those of the smallest seeded hash, become ``to_split``. The
+    (hash, id) rows are numbered in ranges: no task sorts the share as a whole."""
+    ranked = with_sequential_id(corpus.filter(F.col("split") == from_split).select(id_col, seeded_hash(seed, id_col).alias("_h")),
+                                ["_h", id_col], "_r")
+    chosen = ranked.filter(F.col("_r") < ranked.count() * num // den).select(id_col, F.lit(True).alias("_pick"))
+    return (corpus.join(chosen, id_col, "left")
+            .withColumn("split", F.when(F.col("_pick"), F.lit(to_split)).otherwise(F.col("split")))
+            .drop("_pick"))
+
+
 def shuffle_docs(docs: DataFrame, seed: int = 42, id_col: str = "doc_id") -> DataFrame:
     """D3: reproducible shuffle inside each split -> adds ``doc_index`` (0-based
     within the split). Global range-partitioned numbering, then per-split

@@ -5,6 +5,9 @@ selection (P16).
 Tokens are exploded with their position, so order survives any shuffle;
 re-assembly sorts a doc's own (pos, word) pairs, which is bounded by the
 size of that one input text.
+
+Joins on a word have shuffles right below them on both sides (no aggregate in
+between), which is what lets AQE split the partition of a word that all texts have.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ def nouns_only(df: DataFrame, tags: DataFrame, text_col: str = "text", id_col: s
     """Keep the tokens tagged as nouns, in order. ``tags`` is (word, tag),
     the output of any part-of-speech tagger (not built here)."""
     toks = tokenize(df, text_col, id_col, clean=False).withColumn("word", F.lower("word"))
-    nouns = tags.filter(F.col("tag").isin(*NOUN_TAGS)).select("word").distinct()
+    nouns = tags.filter(F.col("tag").isin(*NOUN_TAGS)).select("word")
     kept = word_positions(toks).join(nouns, "word", "left_semi")
     out = reassemble(kept, df.select(F.col(id_col).alias("doc_id")), "doc_id", "text")
     return out.select("doc_id", basic_cleaning("text").alias("text"))
@@ -84,7 +87,7 @@ def remove_frequent_words(df: DataFrame, stop_words: DataFrame, text_col: str =
                           id_col: str = "doc_id") -> DataFrame:
     """Delete the listed words from each cleaned text, keeping order."""
     toks = tokenize(df, text_col, id_col)
-    kept = word_positions(toks).join(stop_words.select("word").distinct(), "word", "left_anti")
+    kept = word_positions(toks).join(stop_words.select("word"), "word", "left_anti")
     return reassemble(kept, df.select(F.col(id_col).alias("doc_id")), "doc_id", "text")
 
 

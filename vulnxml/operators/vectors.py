@@ -191,21 +191,15 @@ def mean_vectors(tokens: DataFrame, vectors: DataFrame, dim: int, id_col: str =
     """Doc vector = sum of its words' vectors / number of tokens (unknown
     words add zero but count); an empty doc gets the zero vector.
 
-    tokens: (doc_id, pos, word); vectors: (word, vec). Sums run per (doc, dim)
-    with map-side partial aggregation; then one re-assembly per doc."""
-    n_tok = tokens.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n"))
-    # Count each (doc, word) once, then weight its vector by the count: the
-    # per-dimension rows are one per distinct (doc, word), not one per token,
-    # and a frequent word has at most one row per doc in the join.
+    tokens: (doc_id, pos, word); vectors: (word, vec). A word is counted once per
+    doc and its vector weighted by the count, so a frequent word has at most one
+    row per doc in the join; one aggregate with a sum per dimension follows
+    (partial sums before the shuffle, no row per dimension)."""
     tf = tokens.groupBy(id_col, word_col).agg(F.count(F.lit(1)).alias("_tf"))
-    comps = (tf.join(vectors.select(word_col, "vec"), word_col)
-             .select(id_col, "_tf", F.posexplode("vec").alias("d", "x"))
-             .groupBy(id_col, "d").agg(F.sum(F.col("x") * F.col("_tf")).alias("s")))
-    per_doc = comps.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("d", "s"))).alias("_m"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0.0)) / F.col("_n"))
-    return (n_tok.join(per_doc, id_col, "left")
-            .select(id_col, F.when(F.col("_m").isNull(), F.array_repeat(F.lit(0.0), dim)).otherwise(vec).alias("vec")))
+    sums = [F.sum(F.get("_vec", F.lit(i)) * F.col("_tf")).alias(f"_s{i}") for i in range(dim)]
+    per_doc = (tf.join(vectors.select(word_col, F.col("vec").cast("array<double>").alias("_vec")), word_col, "left")
+               .groupBy(id_col).agg(F.sum("_tf").alias("_n"), *sums))
+    return per_doc.select(id_col, F.array(*[F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) / F.col("_n") for i in range(dim)]).alias("vec"))
 
 
 def token_bucket(tok, dim: int):

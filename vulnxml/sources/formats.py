@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vulnxml.functions.text import SPACE_SET, TAG_DROP_CHARS, split_labels, strip, text_or_empty
-from vulnxml.operators.split import holdout
+from vulnxml.operators.split import holdout_share
 
 # Fixed values of the formats.
 LABEL_PREFIX = "__label__"
@@ -282,8 +282,7 @@ def write_id_labels_text_tsv(corpus: DataFrame, out_dir: str, seed: int = 42, va
     """I10 as files ``train.txt``, ``valid.txt`` and ``test.txt``: of the
     corpus's train rows floor(n * valid_num / valid_den), a quarter as a rule,
     go to the validation file (smallest seeded hash first)."""
-    n_train = corpus.filter("split = 'train'").count()
-    parts = holdout(corpus, n_train * valid_num // valid_den, seed)
+    parts = holdout_share(corpus, valid_num, valid_den, seed)
     for name in ("train", "valid", "test"):
         rows = parts.filter(F.col("split") == name)
         id_labels_text_tsv(rows).select(F.col("line").alias("value")).write.mode("overwrite").text(
