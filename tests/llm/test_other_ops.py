@@ -415,3 +415,42 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, sf).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
     assert {r["doc_id"] for r in out} == set(seen["mixing"]) and all(r["n"] == r["t"] for r in out)
     assert lang_id.language(docs).where("rejected").count() == 0
+
+
+@pytest.mark.parametrize("case", ["empty", "null texts", "odd"])
+def test_pipeline_odd_tables(spark, tmp_path, case):
+    import corpus_pipeline
+
+    src = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    some = docs.orderBy("doc_id").limit(5)
+    if case == "empty":
+        docs = docs.limit(0)
+    elif case == "null texts":
+        docs = docs.withColumn("text", F.lit(None).cast("string"))
+    else:
+        bare = some.select(*[(F.col(c) + 30_000 if c == "doc_id" else F.col(c) if c == "text" else F.lit(None).cast(t)).alias(c) for c, t in docs.dtypes])
+        blank = some.withColumn("doc_id", F.col("doc_id") + 40_000).withColumn("text", F.lit(""))
+        nameless = some.limit(1).withColumn("doc_id", F.lit(None).cast("bigint"))
+        docs = docs.unionByName(some).unionByName(bare).unionByName(blank).unionByName(nameless)
+        for name in ("id", "rank", "score", "fp", "component_id", "rejected", "copies", "rate", "tokens"):
+            docs = docs.withColumn(name, F.lit("kept"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{src}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    step, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
+    columns = step.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        step = corpus_pipeline.materialise(stage(spark, step, str(tmp_path)), "test")
+        assert step.columns == columns
+        seen[name] = step.collect()
+    out = corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect()
+    assert {r["doc_id"] for r in out} == {r["doc_id"] for r in seen["mixing"]} and all(r["n"] == r["t"] for r in out)
+    if case != "odd":
+        assert not any(seen.values())
+        return
+    ids = {name: Counter(r["doc_id"] for r in rows) for name, rows in seen.items()}
+    firsts = {r["doc_id"] for r in some.collect()}
+    assert all(ids["language"][i] == 2 and ids["language"][i + 30_000] == 1 and not ids["language"][i + 40_000] for i in firsts)
+    assert max(ids["near_duplicates"].values()) == 1 and None not in ids["near_duplicates"]
+    assert not any(i >= 30_000 for i in ids["near_duplicates"])
+    assert ids["personal_data"] == ids["near_duplicates"] and all(r["rank"] == r["tokens"] == "kept" for r in seen["mixing"])
