@@ -2,6 +2,7 @@
 against brute-force versions, and the odd rows each must stand."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -180,6 +181,35 @@ def test_language_held_out_accuracy(spark, sf):
     assert kept.columns == docs.columns and kept.count() == docs.count()
 
 
+def test_language_equals_plain_cosines(spark, sf):
+    """IDF counted and cosines summed bucket by bucket, for every row of the table."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    train = [r["text"] for r in rows if r["text"] is not None and r["lang"] is not None and not held[r["doc_id"]]]
+    df = Counter(int(b) for t in train for b in np.flatnonzero(lang_id.counts(t)))
+    idf = [math.log((1 + len(train)) / (1 + df[b])) + 1 for b in range(1 << lang_id.BITS)]
+    model = lang_id.fit(docs)
+    assert np.allclose(model.idf, idf, rtol=1e-5) and np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-3)
+    got = {r["doc_id"]: r for r in lang_id.language(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        found = got[r["doc_id"]]
+        assert found["held_out"] == held[r["doc_id"]]
+        if not lang_id.has_letter(r["text"]):
+            assert (found["lang_pred"], found["score"], found["rejected"]) == ("und", 0.0, True)
+            continue
+        seen = lang_id.counts(r["text"])
+        v = {int(b): math.log1p(float(seen[b])) * idf[b] for b in np.flatnonzero(seen)}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        cos = [sum(x * float(c[b]) for b, x in v.items()) / norm for c in model.centroids]
+        assert abs(found["score"] - max(cos)) < 1e-4
+        near = {model.langs[model.owner[i]] for i, c in enumerate(cos) if c > max(cos) - 1e-4}
+        floor = float(model.floor[min(len(r["text"]).bit_length(), len(model.floor) - 1)])
+        assert found["lang_pred"] in near
+        assert found["rejected"] == (max(cos) < floor) or abs(max(cos) - floor) < 1e-4
+
+
 def test_language_odd_rows(make_docs):
     docs = make_docs([*ODD, "12 34 !!", *["the cat and the dog of the house " * 5 + str(i) for i in range(30)]], extra={"score": 1, "language": "x"})
     rows = {r["doc_id"]: r for r in lang_id.language(docs).collect()}
