@@ -286,6 +286,50 @@ def test_passage_classifier(spark, sf, make_docs, make_labels):
     assert quality_mil.scores(make_docs([]), labels).count() == 0
 
 
+def plain_passages(text):
+    """Feature rows of a text, passage by passage and word by word (one block at most)."""
+    q, b = quality_mil, (text or "").encode()
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", b))
+    if not found:
+        return [[0.0] * q.WIDTH]
+    hasher, size, out = q.WordHasher(), 1 << q.BITS, []
+    grams = q.trigram_buckets(q.utf8(text), q.BITS)
+    groups = [found[i:i + q.PASSAGE] for i in range(0, len(found), q.PASSAGE)]
+    cuts = [0, *(g[0].start() for g in groups[1:]), len(b)]
+    for g, lo, hi in zip(groups, cuts, cuts[1:]):
+        words = [m.group() for m in g]
+        hashes = [hasher(np.frombuffer(w, np.uint8))[0] for w in words]
+        counted = [Counter(int(q.word_buckets(h, q.BITS)[0]) for h in hashes), Counter(map(int, grams[lo:hi])), Counter(int(q._CLASS[c]) for c in b[lo:hi])]
+        row = []
+        for part, width in zip(counted, (size, size, 16)):
+            logs = [math.log1p(part[i]) for i in range(width)]
+            norm = max(math.sqrt(sum(v * v for v in logs)), 1e-6)
+            row += [v / norm for v in logs]
+        row += [len(set(words)) / len(words), sum(x == y for x, y in zip(words, words[1:])) / len(words),
+                len(found) / (len(groups) * q.PASSAGE)]  # of the block, not of the passage
+        out.append(row)
+    return out
+
+
+def test_passage_scores_equal_plain_attention(spark, sf):
+    """Every text's features and attention worked out plainly, with the fitted weights."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_mil.fit(docs, labels)
+    p = {n: v.astype(np.float64) for n, v in model.p.items()}
+    got = {r["doc_id"]: r for r in quality_mil.scores(docs, labels).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        h = [np.tanh(np.array(x) @ p["E"] + p["e"]) for x in plain_passages(r["text"])]
+        a = [float((np.tanh(x @ p["V"]) / (1 + np.exp(-(x @ p["U"])))) @ p["w"]) for x in h]
+        share = [math.exp(x) / sum(map(math.exp, a)) for x in a]
+        z = sum(s * x for s, x in zip(share, h))
+        want = 1 / (1 + math.exp(-(model.slope * float(z @ p["c"] + p["b"]) + model.shift)))
+        found = got[r["doc_id"]]
+        assert abs(found["score"] - want) < 1e-3
+        assert found["predicted"] == int(found["score"] >= 0.3) and found["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_passage_gradients():
     rng = np.random.default_rng(0)
     p = {n: v.astype(np.float64) for n, v in quality_mil.start().items()}
