@@ -130,7 +130,7 @@ def test_nearest_odd_rows(spark):
     assert ann.nearest(df, empty).count() == 0
 
 
-def brute_nearest(rows, k=5):
+def brute_ranked(rows, k=5):
     """Exact neighbours of every query row, vectors of equal length only."""
     fit = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all() and any(v)]
     out = []
@@ -148,7 +148,7 @@ def test_nearest_repeated_ids_vectors_and_lengths(spark):
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     for block, queries in ((4096, 4096), (16, 2)):
         got = ann.nearest(df, df.where("vec_id % 50 = 0"), block=block, query_block=queries).collect()
-        assert sorted((a, b, c, round(s, 12)) for a, b, c, s in map(tuple, got)) == [(a, b, c, pytest.approx(s, abs=1e-11)) for a, b, c, s in brute_nearest(rows)]
+        assert sorted((a, b, c, round(s, 12)) for a, b, c, s in map(tuple, got)) == [(a, b, c, pytest.approx(s, abs=1e-11)) for a, b, c, s in brute_ranked(rows)]
 
 
 def test_ties_among_equal_vectors(spark):
