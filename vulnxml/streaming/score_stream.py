@@ -118,9 +118,13 @@ def score_batch(reports: DataFrame, scorer: Scorer, k: int = 3, dim: int = DIM)
 def score_stream(spark: SparkSession, source_dir: str, scorer: Scorer, sink_dir: str,
                  checkpoint_dir: str, k: int = 3, file_glob: str = "documents.parquet",
                  schema: str = "doc_id bigint, text string") -> None:
-    """Run the stream until every available file is scored (availableNow)."""
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-              .option("maxFilesPerTrigger", 16).parquet(source_dir))
+    """Run the stream until every available file is scored (availableNow). What
+    ``file_glob`` finds in the folder is a file or a folder of files (a table
+    written by several tasks)."""
+    # A plain name is spelled as a pattern, as a stream refuses the path of one file.
+    found = file_glob if any(c in file_glob for c in "*?[{") else f"[{file_glob[0]}]{file_glob[1:]}"
+    stream = (spark.readStream.schema(schema)
+              .option("maxFilesPerTrigger", 16).parquet(f"{source_dir.rstrip('/')}/{found}"))
 
     def run(batch: DataFrame, epoch_id: int) -> None:
         out = score_batch(batch, scorer, k)
