@@ -40,10 +40,11 @@ def _l2(df: DataFrame, keys: list[str], w: str = "weight") -> DataFrame:
 def label_features(features: DataFrame, doc_labels: DataFrame) -> DataFrame:
     """(label, term_id, weight) = L2 of the sum of the (unit) feature rows
     of the label's docs."""
-    rows = _l2(features.select("doc_id", "term_id", "weight"), ["doc_id"])
+    # Both are read twice by the scaling, for the norms and for the rows.
+    rows = _l2(write_and_read(features.select("doc_id", "term_id", "weight"), "doc-feats"), ["doc_id"])
     summed = (rows.join(doc_labels.select("doc_id", "label").distinct(), "doc_id")
               .groupBy("label", "term_id").agg(F.sum("weight").alias("weight")))
-    return _l2(summed, ["label"])
+    return _l2(write_and_read(summed, "label-sums"), ["label"])
 
 
 def _rounded(col: F.Column) -> F.Column:

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from vulnxml.functions.text import SPACE_SET, TAG_DROP_CHARS, split_labels, strip, text_or_empty
 from vulnxml.operators.split import holdout_share
+from vulnxml.session import write_and_read
 
 # Fixed values of the formats.
 LABEL_PREFIX = "__label__"
@@ -170,7 +171,8 @@ def write_svmlight(features: DataFrame, doc_labels: DataFrame, path: str, header
     (range-partitioned sort, no single writer). With ``header=(rows, features,
     labels)`` the first line is ``n f l``: the header row carries a key below
     every doc id, so the sort puts it at the top of the first part file."""
-    lines = svmlight_lines(features, doc_labels).select(F.col("doc_id").cast("long").alias("_k"), "line")
+    # Written, so that the sample that finds the ranges doesn't compute it again.
+    lines = write_and_read(svmlight_lines(features, doc_labels).select(F.col("doc_id").cast("long").alias("_k"), "line"), "svmlight-lines")
     if header is not None:
         spark = features.sparkSession
         head = spark.createDataFrame([(" ".join(str(x) for x in header),)], "line string")
