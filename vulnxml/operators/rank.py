@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnxml.functions.arrays import sigmoid
+from vulnxml.session import write_and_read
 
 
 def seeded_int(seed, *cols) -> Column:
@@ -99,7 +100,9 @@ def sample_candidates(doc_labels: DataFrame, groups: DataFrame, labels: DataFram
     order of all labels starting at a per-doc offset (n consecutive positions
     always hold enough new labels), so no doc x label product is formed.
     -> (doc_id, label, is_true)."""
-    truth = doc_labels.select("doc_id", "label").distinct()
+    # Labels, groups and chosen candidates are each read several times: written once.
+    truth = write_and_read(doc_labels.select("doc_id", "label").distinct(), "truth")
+    groups = write_and_read(groups.select("label", "group_id"), "groups")
     pool = (group_labels(truth, groups).join(groups.select("label", "group_id"), "group_id")
             .select("doc_id", "label").distinct()
             .join(truth.withColumn("is_true", F.lit(True)), ["doc_id", "label"], "left")
@@ -107,7 +110,7 @@ def sample_candidates(doc_labels: DataFrame, groups: DataFrame, labels: DataFram
     if not keep_positives:
         pool = pool.withColumn("is_true", F.lit(False))
     w = Window.partitionBy("doc_id").orderBy(F.desc("is_true"), seeded_int(seed, "doc_id", "label"), "label")
-    chosen = pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n)
+    chosen = write_and_read(pool.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).select("doc_id", "label", "is_true"), "chosen")
     have = chosen.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_have"))
     # Permutation of all labels by a seeded hash (numbered without a single-task window).
     lab = labels.select("label").distinct()
@@ -131,7 +134,8 @@ def best_candidates_targets(candidates: DataFrame, doc_labels: DataFrame) -> Dat
     """0/1 target per candidate slot. True labels missing from a doc's
     list replace its non-true candidates, first slots first.
     candidates: (doc_id, slot, label) -> (doc_id, slot, label, target)."""
-    truth = doc_labels.select("doc_id", "label").distinct()
+    candidates = write_and_read(candidates.select("doc_id", "slot", "label"), "candidates")
+    truth = write_and_read(doc_labels.select("doc_id", "label").distinct(), "truth")
     flagged = (candidates.join(truth.withColumn("_t", F.lit(1)), ["doc_id", "label"], "left")
                .withColumn("target", F.coalesce("_t", F.lit(0))).drop("_t"))
     missing = truth.join(candidates.select("doc_id", "label"), ["doc_id", "label"], "left_anti")

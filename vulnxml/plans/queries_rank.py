@@ -10,6 +10,7 @@ from vulnxml.functions.arrays import sigmoid
 from vulnxml.operators import metrics as M
 from vulnxml.operators import rank as R
 from vulnxml.operators import vectors as V
+from vulnxml.session import write_and_read
 from vulnxml.sources.fixtures import fx_groups, fx_labelmap, fx_labels, fx_scores, fx_truth, fx_vectors, with_fx
 
 Q, S = {}, {}
@@ -358,12 +359,12 @@ S["R11_sample_candidates"] = with_fx(["fx_labels", "fx_groups"], "select doc_id,
 
 
 def _q_r13(spark, sf):
-    cands = R.sample_candidates(fx_labels(spark, sf), fx_groups(spark, sf), fx_groups(spark, sf), n=8, seed=7,
-                                keep_positives=False)
+    labels = write_and_read(fx_labels(spark, sf), "labels")
+    cands = R.sample_candidates(labels, fx_groups(spark, sf), fx_groups(spark, sf), n=8, seed=7, keep_positives=False)
     slots = cands.select("doc_id", "label", F.row_number().over(
         Window.partitionBy("doc_id").orderBy("label")).alias("slot"))
     out = R.best_candidates_targets(slots.select("doc_id", F.col("slot").cast("long").alias("slot"), "label"),
-                                    fx_labels(spark, sf))
+                                    labels)
     return out.select("doc_id", "slot", "label", F.col("target").cast("int").alias("target"))
 
 
