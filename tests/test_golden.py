@@ -209,6 +209,22 @@ def test_vector_blocks_any_size(spark, monkeypatch):
     assert len(none) == 40 and all(r["nearest"] is None for r in none)
 
 
+def test_key_blocks_and_matched_labels_are_not_broadcast(spark):
+    import vulnxml.operators.vectors as V
+    from vulnxml.operators.cpe_matcher import match_or_nearest
+    sets = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, "red bolt bolt")], "report_id long, key string")
+    labels = spark.createDataFrame([("red ring", "A"), ("blue bolt", "B"), ("blue bolt", "C")], "key string, label string")
+    vecs = V.hashed_text_vectors(labels.select("key").distinct(), "key")
+    out = match_or_nearest(sets, labels, vecs, V.hashed_text_vectors(sets, "key"))
+    # The files of the tables are tiny, whatever their rows take in memory.
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert sorted(map(tuple, out.collect())) == [(1, "A", "red ring"), (2, "B", "blue bolt"), (2, "C", "blue bolt"),
+                                                 (3, "B", "blue bolt"), (3, "C", "blue bolt")]
+    blocks = V.pack_keys(vecs.selectExpr("key as name", "vec", "0.0D as bias"), "string", cosine=True).blocks
+    assert blocks.selectExpr("max(length(mat))").first()[0] < 2 * 64 * 8 // 4
+
+
 def _groups_brute_force(vecs, max_leaf, eps, seed):
     """Plain-Python twin of the level-synchronous balanced 2-means."""
     import hashlib
