@@ -824,3 +824,33 @@ def test_shared_inputs_are_computed_once(spark):
         assert seen.value - before == rows
     got = match_or_nearest(sets, selected, vecs, queries).collect()
     assert sorted(map(tuple, got)) == [(1, "l1", "k1"), (2, "l2", "k2")]
+
+
+def test_doc_terms_give_the_same_features_as_rows(spark, monkeypatch):
+    """Terms counted once per doc, known to every task or not; a doc that
+    comes twice, is empty or has no id."""
+    from vulnxml.operators import vocab as W
+    rows = [(i % 37, " ".join(f"t{(i * j) % 23} u{i % 5}" for j in range(i % 9))) for i in range(80)] + [(None, "t1 t1 u2 zz"), (99, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    train = docs.filter("doc_id % 3 > 0")
+    model = W.tfidf_fit(train)
+    counts = W.doc_terms(docs)
+    assert counts.count() == counts.select("doc_id").distinct().count() == 39
+    for most in (1, 5, 1 << 16):
+        monkeypatch.setattr(W, "TOP_TERMS", most)
+        fitted = W.tfidf_fit(counts.filter("doc_id % 3 > 0"))
+        assert sorted(map(tuple, fitted.select(*model.columns).collect())) == sorted(map(tuple, model.collect()))
+        lists = W.tfidf_transform(counts, fitted)
+        got = {(r["doc_id"], t): round(w, 9) for r in lists.collect() for t, w in zip(r["term_ids"], r["weights"])}
+        assert got == {(r["doc_id"], r["term_id"]): round(r["weight"], 9) for r in W.tfidf_transform(docs, model).collect()}
+        assert all(r["term_ids"] == sorted(r["term_ids"]) and r["term_ids"] for r in lists.collect())
+
+
+def test_svmlight_lines_are_split_once(spark, tmp_path):
+    """No line is split again above the explode, once per entry."""
+    from vulnxml.sources import formats as IO
+    spark.createDataFrame([("1,2 " + " ".join(f"{j}:0.5" for j in range(50)),)], "value string").write.text(str(tmp_path / "svm"))
+    back = IO.read_svmlight(spark, str(tmp_path / "svm"))
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" in plan and "split(trim(" not in plan[:plan.index("Generate")]
+    assert back.count() == 50 and back.selectExpr("max(labels)").first()[0] == [1, 2]

@@ -30,8 +30,9 @@ def _labels_array(spark, sf):
 
 def _q_svmlight(spark, sf):
     d = docs(spark, sf)
-    model = W.tfidf_fit(d.join(doc_split(spark, sf).filter("split = 'train'"), "doc_id"))
-    feats = W.tfidf_transform(d, model)
+    counts = W.doc_terms(d)
+    model = W.tfidf_fit(counts.join(doc_split(spark, sf).filter("split = 'train'"), "doc_id"))
+    feats = W.tfidf_transform(counts, model)
     path = IO.scratch_dir(spark, "svmlight")
     IO.write_svmlight(feats, fx_truth(spark, sf), path)
     back = IO.read_svmlight(spark, path)

@@ -155,15 +155,30 @@ def read_cve_json(spark: SparkSession, path: str, with_children: bool = True) ->
 
 
 # -------------------------------------------------------------- svmlight
+def _svmlight_line(labels: str, term_ids: str, weights: str) -> Column:
+    """``l1,l2 idx:val idx:val`` of a doc's lists; each may be null."""
+    body = F.array_join(F.zip_with(term_ids, weights, lambda i, w: F.concat(i.cast("string"), F.lit(":"), w.cast("string"))), " ")
+    return F.concat_ws(" ", F.array_join(F.coalesce(labels, F.array()), ","), body).alias("line")
+
+
 def svmlight_lines(features: DataFrame, doc_labels: DataFrame, label_col: str = "label_id") -> DataFrame:
     """(doc_id, line) with ``l1,l2 idx:val idx:val`` (indices ascending, labels
-    ascending). A doc's own entries are gathered - bounded by that doc."""
-    feats = features.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("f"))
+    ascending), in doc_id order across the partitions. ``features`` has a row per
+    entry (doc_id, term_id, weight), gathered here - bounded by that doc - or
+    per doc (doc_id, term_ids, weights). Lists and labels are put in ranges of
+    docs once and meet there; lines are made after that, as they are longer."""
+    if "weights" not in features.columns:
+        features = (features.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("term_id", "weight"))).alias("f"))
+                    .select("doc_id", F.col("f.term_id").alias("term_ids"), F.col("f.weight").alias("weights")))
     labs = doc_labels.groupBy("doc_id").agg(F.array_sort(F.collect_list(label_col)).alias("l"))
-    body = F.array_join(F.transform("f", lambda s: F.concat(s["term_id"].cast("string"), F.lit(":"),
-                                                          s["weight"].cast("string"))), " ")
-    return (feats.join(labs, "doc_id", "full_outer")
-            .select("doc_id", F.concat_ws(" ", F.array_join(F.coalesce("l", F.array()), ","), body).alias("line")))
+    # Written, so that the sample that finds the ranges doesn't compute it again.
+    rows = write_and_read(features.select("doc_id", "term_ids", "weights").unionByName(labs, allowMissingColumns=True)
+                          .withColumn("_k", F.col("doc_id").cast("long")), "svmlight-rows")
+    # A doc without an id has no labels, as in a join.
+    apart = F.when(F.col("doc_id").isNull(), F.col("weights").isNull())
+    met = rows.repartitionByRange(F.asc_nulls_first("_k")).groupBy("_k", "doc_id", apart.alias("_a")).agg(
+        *[F.first(c, ignorenulls=True).alias(c) for c in ("l", "term_ids", "weights")])
+    return met.sortWithinPartitions(F.asc_nulls_first("_k")).select("doc_id", _svmlight_line("l", "term_ids", "weights"))
 
 
 def write_svmlight(features: DataFrame, doc_labels: DataFrame, path: str, header: tuple | None = None) -> None:
@@ -171,13 +186,13 @@ def write_svmlight(features: DataFrame, doc_labels: DataFrame, path: str, header
     (range-partitioned sort, no single writer). With ``header=(rows, features,
     labels)`` the first line is ``n f l``: the header row carries a key below
     every doc id, so the sort puts it at the top of the first part file."""
-    # Written, so that the sample that finds the ranges doesn't compute it again.
-    lines = write_and_read(svmlight_lines(features, doc_labels).select(F.col("doc_id").cast("long").alias("_k"), "line"), "svmlight-lines")
+    lines = svmlight_lines(features, doc_labels)
     if header is not None:
         spark = features.sparkSession
         head = spark.createDataFrame([(" ".join(str(x) for x in header),)], "line string")
-        lines = head.select(F.lit(None).cast("long").alias("_k"), "line").unionByName(lines)
-    lines.orderBy(F.asc_nulls_first("_k")).select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+        keyed = write_and_read(head.select(F.lit(None).cast("long").alias("_k"), "line").unionByName(lines.select(F.col("doc_id").cast("long").alias("_k"), "line")), "svmlight-lines")
+        lines = keyed.orderBy(F.asc_nulls_first("_k"))
+    lines.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
 
 
 def read_svmlight(spark: SparkSession, path: str, has_header: bool = False) -> DataFrame:
@@ -189,7 +204,9 @@ def read_svmlight(spark: SparkSession, path: str, has_header: bool = False) -> D
     first_is_labels = ~F.get(parts, 0).contains(":")
     labels = F.when(first_is_labels, F.filter(F.split(F.get(parts, 0), ","), lambda x: x != "")).otherwise(F.array())
     feats = F.when(first_is_labels, F.slice(parts, 2, 1 << 30)).otherwise(parts)
-    return (lines.select("doc_id", labels.cast("array<int>").alias("labels"), F.explode_outer(feats).alias("kv"))
+    # Taken apart below the explode: above it, a line would be split again for each of its entries.
+    apart = lines.select("doc_id", labels.cast("array<int>").alias("labels"), feats.alias("kvs"))
+    return (apart.select("doc_id", "labels", F.explode_outer("kvs").alias("kv"))
             .select("doc_id", "labels", F.split("kv", ":").getItem(0).cast("int").alias("idx"),
                     F.split("kv", ":").getItem(1).cast("double").alias("val")))
 
@@ -204,7 +221,8 @@ def with_line_numbers(lines: DataFrame, col: str = "line_no") -> DataFrame:
     blocks = keyed.groupBy("_f", "_b").agg(F.count(F.lit(1)).alias("_n"), F.min("_r").alias("_r0"))
     before = F.sum("_n").over(Window.orderBy(F.length("_f"), "_f", "_b")) - F.col("_n")
     shift = blocks.select("_f", "_b", (before - F.col("_r0")).alias("_shift"))
-    return (keyed.join(shift, ["_f", "_b"]).withColumn(col, F.col("_r") + F.col("_shift"))
+    # One row per block of a file, so that lines stay where they are read.
+    return (keyed.join(F.broadcast(shift), ["_f", "_b"]).withColumn(col, F.col("_r") + F.col("_shift"))
             .drop("_f", "_b", "_r", "_shift"))
 
 
